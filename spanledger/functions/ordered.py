@@ -59,30 +59,49 @@ def prior_row(df: DataFrame, keys: list[str], order: list[str], time: str, out:
             .withColumn(out, F.coalesce(F.lag("_o").over(w), "_c")).drop("_b", "_c", "_o"))
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str], slices: int = 256, descending: bool = False) -> DataFrame:
-    """Adds ``cum_<c>`` for each column of ``sums``: inclusive running sum over the whole table.
+def running_sums(df: DataFrame, order: str, sums: list[str], within: list[str] | None = None, slices: int = 256,
+                 descending: bool = False) -> DataFrame:
+    """Adds ``cum_<c>`` for each column of ``sums``: inclusive running sum over the table, or per group.
 
-    ``order`` must be unique. The order column is cut into slices of about equal row count by
-    approximate quantiles, so no single task sees the table and no value range can be hot.
+    ``order`` must be unique within a group. It is cut into slices of about equal row count by
+    approximate quantiles, so no single task sees the table and no value range can be hot. There
+    must be few groups (features, say): a group has ``slices`` summary rows, which are broadcast.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000))
-    rows = (df.withColumn("_q", cuts.scalar())
-            .withColumn("_b", F.coalesce(F.size(F.filter("_q", lambda x: x < F.col(order))), F.lit(0))).drop("_q"))
-    if descending:
-        rows = rows.withColumn("_b", -F.col("_b"))
+    within = within or []
+    quantiles = F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000)
+    if within:
+        rows = df.join(F.broadcast(df.groupBy(*within).agg(quantiles.alias("_q"))), within)
+    else:
+        rows = df.withColumn("_q", df.agg(quantiles).scalar())
+    below = F.coalesce(F.size(F.filter("_q", lambda x: x < F.col(order))), F.lit(0))
+    rows = rows.withColumn("_b", -below if descending else below).drop("_q")
     first = F.desc(order) if descending else F.asc(order)
-    # At most ``slices`` summary rows, whatever the table.
-    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy("_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
-    carry = totals.select("_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_c{i}")
-                                  for i in range(len(sums))])
-    w = W.partitionBy("_b").orderBy(first).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(carry), "_b")
+    before = W.partitionBy(*(within or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*within, "_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    carry = totals.select(*within, "_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_c{i}")
+                                           for i in range(len(sums))])
+    w = W.partitionBy(*within, "_b").orderBy(first).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(carry), [*within, "_b"])
     for i, c in enumerate(sums):
         out = out.withColumn(f"cum_{c}", F.sum(c).over(w) + F.col(f"_c{i}"))
     return out.drop("_b", *[f"_c{i}" for i in range(len(sums))])
 
 
+def exact_quantiles(counts: DataFrame, group: str, value: str, n: str, at: list[float]) -> DataFrame:
+    """(group, p, q): exact quantiles with linear interpolation, from distinct values and their counts."""
+    ranked = running_sums(counts, value, [n], within=[group])
+    totals = F.broadcast(counts.groupBy(group).agg(F.sum(n).alias("_n")))
+    points = F.explode(F.array(*[F.lit(float(p)) for p in at]))
+    target = totals.withColumn("p", points).withColumn("_x", F.col("p") * (F.col("_n") - 1))
+    lo, hi = F.floor("_x"), F.ceil("_x")
+    first = F.col(f"cum_{n}") - F.col(n)
+    has = lambda i: (first <= i) & (i < F.col(f"cum_{n}"))
+    return (ranked.join(F.broadcast(target), group).where(has(lo) | has(hi))
+            .groupBy(group, "p", "_x")
+            .agg(F.max(F.when(has(lo), F.col(value))).alias("_lo"), F.max(F.when(has(hi), F.col(value))).alias("_hi"))
+            .select(group, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_x") - F.floor("_x"))).alias("q")))
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, out: str, within: list[str] | None = None,
               slices: int = 1024) -> DataFrame:
     """Adds ``out``: 1-based rank of the row in hash order of a unique id, per ``within`` group.
