@@ -291,7 +291,7 @@ def _grid_sql() -> str:
     n = {s: S.visits(s) for s in ("click", "view", "error")}
     return EP + f""", {S.ANCHORS},
 la AS (SELECT client, k, cut, s, least(e, cut + {S.HORIZON}) AS e FROM ep, anchors WHERE service = 'signup' AND s <= cut + {S.HORIZON}),
-ld AS ({S.label_sql('la', 'client, k, cut', f'(any_value(cut) + {S.HORIZON})').replace('GROUP BY client, k, cut', 'GROUP BY client, k, cut')}),
+ld AS ({S.label_sql('la', 'client, k, cut', f'(cut + {S.HORIZON})')}),
 h AS (SELECT client, service, k, cut, s, least(e, cut - 1) AS e, kind, amount, e AS e_full FROM ep, anchors WHERE s <= cut - 1),
 seen AS (SELECT client, k, cut FROM ep, anchors GROUP BY ALL
  HAVING bool_or(s <= cut) AND bool_or(s <= cut - 1)),
@@ -306,7 +306,7 @@ w1 AS (SELECT client, k, {S.STAY} AS x FROM w WHERE service = 'signup' GROUP BY
 w2 AS (SELECT client, k, {S.PLAIN} AS x FROM w WHERE service = 'purchase' GROUP BY client, k),
 w3 AS (SELECT client, k, {n['click']} AS a, {n['view']} AS b, {n['error']} AS c FROM w
  WHERE service IN ('click', 'view', 'error') GROUP BY client, k),
-g AS (SELECT client AS "ClientID", strftime(make_timestamp(cut * 1000000), '%Y-%m-%d') AS "Date",
+g AS (SELECT client AS "ClientID", strftime(make_timestamp(seen.cut * 1000000), '%Y-%m-%d') AS "Date",
  coalesce(t1.x, 0) AS "Total_signup", coalesce(t2.x, 0) AS "Total_purchase", coalesce(t3.a, 0) AS "Total_click",
  coalesce(t3.b, 0) AS "Total_view", coalesce(t3.c, 0) AS "Total_error", round(coalesce(inc.x, 0), 2) AS "IncomeTotal",
  coalesce(w1.x, 0) AS "3-Day_signup", coalesce(w2.x, 0) AS "3-Day_purchase", coalesce(w3.a, 0) AS "3-Day_click",

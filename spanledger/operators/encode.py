@@ -1,4 +1,4 @@
-"""Encoders fitted as tables: vocabularies and moments. Small, checked, joined back by broadcast."""
+"""Encoders fitted as tables: vocabularies and moments. Small; joined back by whatever join their size allows."""
 
 from __future__ import annotations
 
@@ -12,13 +12,6 @@ from spanledger.operators.collapse import unpivot
 # Fixed value: name of code 0, which no category uses.
 DUMMY = "DUMMY_VAL"
 UNKNOWN_CODE = -1
-# A vocabulary up to this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the table is known to be small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def onehot_multi(df: DataFrame, keys: Sequence[str], vocab: Mapping[str, Sequence[str]], null_as: str = "None") -> DataFrame:
@@ -42,7 +35,7 @@ def ordinal_encode(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFra
 def ordinal_encode_join(df: DataFrame, vocab: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The same with the vocabulary as a table, for vocabularies too large for literals."""
     for c in columns:
-        v = small(vocab.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("code").alias(f"_{c}")))
+        v = vocab.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("code").alias(f"_{c}"))
         df = df.join(v, c, "left").withColumn(c, F.coalesce(f"_{c}", F.lit(UNKNOWN_CODE))).drop(f"_{c}")
     return df
 

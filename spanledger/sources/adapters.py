@@ -62,8 +62,8 @@ class Tables:
         return df.withColumn("DateEnd", F.coalesce("DateEnd", F.lit(EVENT_CFG.run_ts).cast("timestamp")))
 
     def clients(self) -> DataFrame:
-        return (self.customer.join(F.broadcast(self.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-                .join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey"))
+        return (self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+                .join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
                 .select(F.col("c_custkey").alias("ClientID"), "c_name", "c_acctbal", "c_mktsegment", "n_name", "r_name"))
 
     def incomes(self) -> DataFrame:
