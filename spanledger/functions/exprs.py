@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanledger.config import DAY
 
@@ -12,6 +12,17 @@ from spanledger.config import DAY
 YEAR_DAYS = 365.2425
 
 
+def col(name: str) -> Column:
+    """Column by its exact name; category values in names may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fill_null(df: DataFrame, values: dict) -> DataFrame:
+    """Nulls of the named columns replaced; types stay."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[F.coalesce(col(c), F.lit(values[c]).cast(types[c])).alias(c) if c in values else col(c) for c in df.columns])
+
+
 def secs(c: Column | str) -> Column:
     """Whole epoch seconds of a timestamp, date or parsable string; null when it cannot be read."""
     c = F.col(c) if isinstance(c, str) else c

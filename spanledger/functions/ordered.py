@@ -9,6 +9,8 @@ per-key step sees one row per bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spanledger.config import DAY
@@ -59,21 +61,35 @@ def prior_row(df: DataFrame, keys: list[str], order: list[str], time: str, out:
             .withColumn(out, F.coalesce(F.lag("_o").over(w), "_c")).drop("_b", "_c", "_o"))
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str], within: list[str] | None = None, slices: int = 256,
+def slice_count(df: DataFrame) -> int:
+    """As many slices as the session has shuffle partitions, within what the quantile sketch resolves."""
+    return max(16, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _slice(value: Column, cuts: Column, steps: int) -> Column:
+    """Number of cuts below the value, found in two short scans: every ``steps``-th cut, then between."""
+    coarse = F.size(F.filter(cuts["coarse"], lambda x: x < value))
+    fine = F.slice(cuts["fine"], coarse * steps + 1, steps)
+    return coarse * steps + F.size(F.filter(fine, lambda x: x < value))
+
+
+def running_sums(df: DataFrame, order: str, sums: list[str], within: list[str] | None = None, slices: int | None = None,
                  descending: bool = False) -> DataFrame:
     """Adds ``cum_<c>`` for each column of ``sums``: inclusive running sum over the table, or per group.
 
-    ``order`` must be unique within a group. It is cut into slices of about equal row count by
-    approximate quantiles, so no single task sees the table and no value range can be hot. There
-    must be few groups (features, say): a group has ``slices`` summary rows, which are broadcast.
+    ``order`` must be unique within a group and not null. It is cut into slices of about equal row
+    count by approximate quantiles, so no single task sees the table and no value range can be hot.
+    There must be few groups (features, say): a group has ``slices`` summary rows, which are broadcast.
     """
-    within = within or []
-    quantiles = F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000)
+    within, slices = within or [], slices or slice_count(df)
+    steps = math.isqrt(slices) + 1
+    points = F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000)
+    cuts = F.struct(F.filter(points, lambda x, i: (i + 1) % steps == 0).alias("coarse"), points.alias("fine"))
     if within:
-        rows = df.join(F.broadcast(df.groupBy(*within).agg(quantiles.alias("_q"))), within)
+        rows = df.join(F.broadcast(df.groupBy(*within).agg(cuts.alias("_q"))), within)
     else:
-        rows = df.withColumn("_q", df.agg(quantiles).scalar())
-    below = F.coalesce(F.size(F.filter("_q", lambda x: x < F.col(order))), F.lit(0))
+        rows = df.withColumn("_q", df.agg(cuts).scalar())
+    below = _slice(F.col(order), F.col("_q"), steps)
     rows = rows.withColumn("_b", -below if descending else below).drop("_q")
     first = F.desc(order) if descending else F.asc(order)
     before = W.partitionBy(*(within or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -81,10 +97,8 @@ def running_sums(df: DataFrame, order: str, sums: list[str], within: list[str] |
     carry = totals.select(*within, "_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_c{i}")
                                            for i in range(len(sums))])
     w = W.partitionBy(*within, "_b").orderBy(first).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(carry), [*within, "_b"])
-    for i, c in enumerate(sums):
-        out = out.withColumn(f"cum_{c}", F.sum(c).over(w) + F.col(f"_c{i}"))
-    return out.drop("_b", *[f"_c{i}" for i in range(len(sums))])
+    cums = {f"cum_{c}": F.sum(c).over(w) + F.col(f"_c{i}") for i, c in enumerate(sums)}
+    return rows.join(F.broadcast(carry), [*within, "_b"]).withColumns(cums).drop("_b", *[f"_c{i}" for i in range(len(sums))])
 
 
 def exact_quantiles(counts: DataFrame, group: str, value: str, n: str, at: list[float]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from spanledger.functions.exprs import YEAR_DAYS, secs
+from spanledger.functions.exprs import YEAR_DAYS, fill_null, secs
 
 
 def exclude_clients(df: DataFrame, ids: Iterable[int] | DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def fill_policy(df: DataFrame, multi: Iterable[str] = (), single: Iterable[str]
     values |= {c: "Unknown" for c in single}
     values |= {c: -1 for c in numeric}
     values |= {c: 0 for c in zero}
-    return df.fillna({k: v for k, v in values.items() if k in df.columns})
+    return fill_null(df, {k: v for k, v in values.items() if k in df.columns})
 
 
 def parse_amounts(df: DataFrame, *columns: str) -> DataFrame:

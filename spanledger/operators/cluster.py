@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spanledger.functions.exprs import sq_distance
@@ -103,6 +104,61 @@ def cao_init(df: DataFrame, k: int) -> list[tuple[int, ...]]:
     return seeds
 
 
+def _sweep(df: DataFrame, runs: Sequence[Sequence[Centroid]], gamma: float, width: int, cats: int) -> list:
+    """One pass for all restarts: (run, cluster, n, s, cost, modes), at most runs * k rows.
+
+    Tasks assign their Arrow batches by matrix products and send on sums per cluster; category counts
+    are merged by Spark.
+    """
+    k = len(runs[0])
+    cx = np.array([c.x for cents in runs for c in cents]).reshape(len(runs) * k, width)
+    cc = np.array([c.c for cents in runs for c in cents], dtype=int).reshape(len(runs) * k, cats)
+
+    def task(batches):
+        n, s, cost = np.zeros(len(cx)), np.zeros((len(cx), width)), np.zeros(len(cx))
+        seen: dict[tuple[int, int, int], int] = {}
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            c = b.column("c").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, cats).astype(int)
+            d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ cx.T + (cx * cx).sum(1)[None, :], 0)
+            for j in range(cats):
+                d += gamma * (c[:, j, None] != cc[None, :, j])
+            d = d.reshape(b.num_rows, len(runs), k)
+            best = d.argmin(2)
+            for r in range(len(runs)):
+                slot = r * k + best[:, r]
+                n += np.bincount(slot, minlength=len(cx))
+                cost += np.bincount(slot, d[np.arange(b.num_rows), r, best[:, r]], minlength=len(cx))
+                for i in np.unique(slot):
+                    mine = slot == i
+                    s[i] += x[mine].sum(0)
+                    for j in range(cats):
+                        for v, m in zip(*np.unique(c[mine, j], return_counts=True)):
+                            seen[i, j, v] = seen.get((i, j, v), 0) + int(m)
+        rows = [(int(i), -1, 0, int(n[i]), s[i].tolist(), float(cost[i])) for i in np.flatnonzero(n)]
+        rows += [(int(i), int(j), int(v), m, [], 0.0) for (i, j, v), m in seen.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("slot", "pos", "v", "n", "s", "cost"), r)) for r in rows], schema=_PARTIAL)
+
+    parts = df.mapInArrow(task, "slot int, pos int, v int, n long, s array<double>, cost double")
+    merged = parts.groupBy("slot", "pos", "v").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).cast("array<double>").alias("s"),
+        F.sum("cost").alias("cost"))
+    # Most frequent category per position, the lowest code on ties.
+    top = (merged.groupBy("slot", "pos").agg(F.max(F.struct("n", (-F.col("v")).alias("v"), "s", "cost")).alias("m")).collect())
+    out: dict[int, dict] = {}
+    for r in sorted(top, key=lambda r: r["pos"]):
+        if r["pos"] < 0:
+            out[r["slot"]] = {"run": r["slot"] // k, "cluster": r["slot"] % k, "n": r["m"]["n"], "s": r["m"]["s"],
+                              "cost": r["m"]["cost"], "modes": []}
+        else:
+            out[r["slot"]]["modes"].append(-r["m"]["v"])
+    return list(out.values())
+
+
+_PARTIAL = pa.schema([("slot", pa.int32()), ("pos", pa.int32()), ("v", pa.int32()), ("n", pa.int64()),
+                      ("s", pa.list_(pa.float64())), ("cost", pa.float64())])
+
+
 @dataclass(frozen=True)
 class Clustering:
     centroids: list[Centroid]
@@ -129,17 +185,15 @@ def kprototypes(df: DataFrame, k: int, n_runs: int = 15, max_iter: int = 100, se
     df = df.select("x", "c").persist()
     for it in range(1, max_iter + 1):
         order = list(runs)
-        hits = df.select("x", "c", F.inline(_nearest(df, [runs[r] for r in order], gamma)))
-        # n_runs * k rows come back.
         new: dict[int, dict[int, Centroid]] = {}
         cost: dict[int, float] = {}
-        for row in update(hits, width, cats, ("run", "cluster")).collect():
+        for row in _sweep(df, [runs[r] for r in order], gamma, width, cats):
             r = order[row["run"]]
-            new.setdefault(r, {})[row["cluster"]] = Centroid(tuple(row["x"]), tuple(row["c"]))
+            new.setdefault(r, {})[row["cluster"]] = Centroid(tuple(v / row["n"] for v in row["s"]), tuple(row["modes"]))
             cost[r] = cost.get(r, 0.0) + row["cost"]
         for r in order:
-            # An empty cluster keeps its centroid.
-            moved = [new[r].get(i + 1, old) for i, old in enumerate(runs[r])]
+        # An empty cluster keeps its centroid.
+            moved = [new[r].get(i, old) for i, old in enumerate(runs[r])]
             still = all(np.allclose(a.x, b.x, rtol=0, atol=1e-9) and a.c == b.c for a, b in zip(moved, runs[r]))
             runs[r] = moved
             if still or it == max_iter:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from spanledger.functions.exprs import secs
+from spanledger.functions.exprs import col, fill_null, secs
 from spanledger.operators.grid import Grid
 
 
@@ -59,7 +59,7 @@ def collapse_asof(df: DataFrame, grid: Grid, spec: Collapse, client: str = "Clie
     run = [F.max(c).over(w).alias(c) for c in spec.largest]
     run += [F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in spec.summed]
     run += [F.max(c).over(w)["v"].alias(c) for c in spec.newest]
-    run += [F.max(n).over(w).alias(n) for _, _, n in spec.flags()]
+    run += [F.max(col(n)).over(w).alias(n) for _, _, n in spec.flags()]
     return (part.select("client", F.col("k").alias("_k"), until.alias("_u"), *run)
             .withColumn("k", F.explode(F.sequence("_k", "_u"))).drop("_k", "_u"))
 
@@ -113,21 +113,21 @@ def vocabulary_lists(vocab: DataFrame, columns: Sequence[str]) -> dict[str, list
 # --- joins ---------------------------------------------------------------------------------------
 
 def join_label(features: DataFrame, labels: DataFrame, on: Sequence[str]) -> DataFrame:
-    return features.join(labels, list(on), "left").fillna({"GroundTruth": 0})
+    return fill_null(features.join(labels, list(on), "left"), {"GroundTruth": 0})
 
 
 def join_answers(features: DataFrame, answers: DataFrame, on: str, clients_only: bool, answers_only: bool = False) -> DataFrame:
     """Questionnaire columns beside the features: inner for clients with answers, else left."""
     out = features.join(answers, on, "inner" if clients_only else "left")
-    return out.select(on, *[c for c in answers.columns if c != on]) if clients_only and answers_only else out
+    return out.select(on, *[col(c) for c in answers.columns if c != on]) if clients_only and answers_only else out
 
 
 def coalesce_update(df: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
     """Cells of ``df`` overwritten by the matching non-null cells of ``new``."""
     shared = [c for c in new.columns if c in df.columns and c not in on]
-    other = new.select(*on, *[F.col(c).alias(f"_new_{c}") for c in shared])
+    other = new.select(*on, *[col(c).alias(f"_new_{c}") for c in shared])
     out = df.join(other, list(on), "left")
-    return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in shared else F.col(c) for c in df.columns])
+    return out.select(*[F.coalesce(col(f"_new_{c}"), col(c)).alias(c) if c in shared else col(c) for c in df.columns])
 
 
 def label_balance(df: DataFrame, label: str = "GroundTruth") -> DataFrame:

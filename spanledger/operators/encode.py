@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from spanledger.functions.exprs import col
 from spanledger.functions.ordered import exact_quantiles
 from spanledger.operators.collapse import unpivot
 
@@ -23,7 +24,7 @@ def onehot_multi(df: DataFrame, keys: Sequence[str], vocab: Mapping[str, Sequenc
 
 def _code(feature: str, values: Sequence[str]) -> Column:
     """Code of a value by its position in the vocabulary; one array lookup, inside codegen."""
-    pos = F.array_position(F.array(*[F.lit(v) for v in values]).cast("array<string>"), F.col(feature).cast("string"))
+    pos = F.array_position(F.array(*[F.lit(v) for v in values]).cast("array<string>"), col(feature).cast("string"))
     return F.when(pos > 0, pos.cast("int")).otherwise(UNKNOWN_CODE)
 
 
@@ -42,15 +43,15 @@ def ordinal_encode_join(df: DataFrame, vocab: DataFrame, columns: Sequence[str])
 
 def onehot_single(encoded: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFrame:
     """0/1 columns from ordinal codes, in front of the remaining columns."""
-    hot = [(F.col(f) == i + 1).cast("int").alias(f"{f}_{v}") for f, vs in vocab.items() for i, v in enumerate(vs)]
-    return encoded.select(*hot, *[c for c in encoded.columns if c not in vocab])
+    hot = [(col(f) == i + 1).cast("int").alias(f"{f}_{v}") for f, vs in vocab.items() for i, v in enumerate(vs)]
+    return encoded.select(*hot, *[col(c) for c in encoded.columns if c not in vocab])
 
 
 def decode_ordinal(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFrame:
     """Codes back to values; code 0 is the dummy, unknown codes stay null."""
     def name(f, vs):
         values = F.array(F.lit(DUMMY), *[F.lit(v) for v in vs])
-        return F.when(F.col(f) >= 0, F.get(values, F.col(f).cast("int")))
+        return F.when(col(f) >= 0, F.get(values, col(f).cast("int")))
     return df.withColumns({f: name(f, vs) for f, vs in vocab.items()})
 
 
@@ -58,10 +59,11 @@ def decode_ordinal(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFra
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, mean, std): population std, 1 where it is zero. One pass, one row per column."""
-    wide = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns])
+    wide = df.agg(*[F.struct(F.avg(col(c)).alias("mean"), F.stddev_pop(col(c)).alias("std")).alias(f"m{i}") for i, c in enumerate(columns)])
     return (wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"),
-                 F.when(F.col(c)["std"] > 0, F.col(c)["std"]).otherwise(1.0).alias("std")) for c in columns]))))
+        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}.mean").alias("mean"),
+                 F.when(F.col(f"m{i}.std") > 0, F.col(f"m{i}.std")).otherwise(1.0).alias("std"))
+        for i, c in enumerate(columns)]))))
 
 
 def _lookup(m: Sequence[Row]) -> dict[str, tuple[float, float]]:
@@ -71,14 +73,14 @@ def _lookup(m: Sequence[Row]) -> dict[str, tuple[float, float]]:
 def standard_scale(df: DataFrame, fitted: DataFrame) -> DataFrame:
     """Scaled columns first, as the scorer expects, the rest after. Moments are one row per column."""
     m = _lookup(fitted.collect())
-    return df.select(*[((F.col(c) - mu) / sd).alias(c) for c, (mu, sd) in m.items()],
-                     *[c for c in df.columns if c not in m])
+    return df.select(*[((col(c) - mu) / sd).alias(c) for c, (mu, sd) in m.items()],
+                     *[col(c) for c in df.columns if c not in m])
 
 
 def inverse_scale(df: DataFrame, fitted: DataFrame, round_all: bool = True) -> DataFrame:
     """Back to the original range; ``rint`` rounds halves to even."""
     m = _lookup(fitted.collect())
-    back = {c: F.col(c) * sd + mu for c, (mu, sd) in m.items() if c in df.columns}
+    back = {c: col(c) * sd + mu for c, (mu, sd) in m.items() if c in df.columns}
     return df.withColumns({c: F.rint(x) if round_all else x for c, x in back.items()})
 
 
@@ -86,7 +88,7 @@ def inverse_scale(df: DataFrame, fitted: DataFrame, round_all: bool = True) -> D
 
 def long_numbers(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])))
+        F.struct(F.lit(c).alias("feature"), col(c).cast("double").alias("value")) for c in columns])))
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:

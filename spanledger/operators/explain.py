@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spanledger.functions.ordered import prior_row
@@ -124,19 +124,19 @@ def local_fit(scored: DataFrame, key: str, num_features: int) -> DataFrame:
     """(key, pos, weight): per example a ridge fit of the score on ``same``, then refitted on the
     ``num_features`` strongest. A group is one example's perturbations, fixed by configuration.
     """
-    schema = f"{key} long, pos int, weight double"
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("sample")
-        x = np.stack(g["same"].to_numpy()).astype(float)
+    def one(g: pa.Table) -> pa.Table:
+        g = g.sort_by("sample").combine_chunks()
+        x = g["same"].combine_chunks().flatten().to_numpy().astype(float).reshape(g.num_rows, -1)
         y, w = g["score"].to_numpy(), g["weight"].to_numpy()
         n = w.sum()
         strong = np.argsort(-np.abs(_ridge(x, y, w, SELECT_ALPHA * len(y) / n) * x[0]), kind="stable")[:num_features]
         coef = _ridge(x[:, strong], y, w, FIT_ALPHA * len(y) / n)
         order = np.argsort(-np.abs(coef), kind="stable")
-        return pd.DataFrame({key: g[key].iloc[0], "pos": strong[order].astype("int32"), "weight": coef[order]})
+        return pa.table({key: pa.array([g[key][0].as_py()] * len(coef), pa.int64()),
+                         "pos": pa.array(strong[order], pa.int32()), "weight": pa.array(coef[order], pa.float64())})
 
-    return scored.select(key, "sample", "same", "score", "weight").groupBy(key).applyInPandas(one, schema)
+    return (scored.select(key, "sample", "same", "score", "weight").groupBy(key)
+            .applyInArrow(one, f"{key} long, pos int, weight double"))
 
 
 def rules(examples: DataFrame, ex: Explainer, key: str) -> DataFrame:

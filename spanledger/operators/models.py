@@ -8,10 +8,10 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanledger.functions.exprs import col
 from spanledger.operators import encode, metrics as M, split
 
 # Sizes of the models.
@@ -21,7 +21,7 @@ LAYERS = (80, 60, 60)
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep").transform(df)
+    return df.withColumn(out, array_to_vector(F.array(*[col(c).cast("double") for c in columns])))
 
 
 def with_weights(df: DataFrame, label: str, pos_weight: float) -> DataFrame:

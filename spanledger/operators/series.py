@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from spanledger.functions.exprs import col
 
 
 def lag_name(i: int, feature: str) -> str:
@@ -20,7 +22,16 @@ def lag_assembly(df: DataFrame, features: Sequence[str], t_x: int, since=None, c
     row per anchor, so the window is bounded by the grid.
     """
     w = W.partitionBy(client).orderBy(date)
-    rest = [c for c in df.columns if c not in features]
-    lags = [F.coalesce(F.lag(f, i).over(w), F.lit(0)).alias(lag_name(i, f)) for i in range(t_x - 1, 0, -1) for f in features]
-    out = df.select(*rest, *lags, *features)
+    rest = [col(c) for c in df.columns if c not in features]
+    lags = [F.coalesce(F.lag(col(f), i).over(w), F.lit(0)).alias(lag_name(i, f)) for i in range(t_x - 1, 0, -1) for f in features]
+    out = df.select(*rest, *lags, *[col(f) for f in features])
     return out.where(F.col(date) >= since) if since is not None else out
+
+
+def split_sequence(features: Column, t_x: int, step_features: int) -> tuple[Column, Column]:
+    """An assembled feature array as its static part and its ``t_x`` steps, oldest first."""
+    tail = t_x * step_features
+    static = F.slice(features, F.lit(1), F.size(features) - tail)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(t_x - 1)), lambda i: F.slice(
+        features, F.size(features) - tail + i * step_features + 1, F.lit(step_features)))
+    return static, steps

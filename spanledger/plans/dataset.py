@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from spanledger.config import Settings
-from spanledger.functions.exprs import secs
+from spanledger.functions.exprs import col, fill_null, secs
 from spanledger.operators import cleanse, encode, grid as G
 from spanledger.operators.collapse import (Collapse, collapse, collapse_asof, join_answers, join_label, split_kinds,
                                            vocabulary, vocabulary_lists)
@@ -106,7 +106,7 @@ def _finish(df: DataFrame, keys: list[str], numeric: list[str], single: list[str
     meta = meta or FeatureMeta(multi, codes, [c for c in df.columns if c in numeric or c in tail], cfg.horizon_weeks)
     coded = encode.ordinal_encode(df, codes)
     hot = encode.onehot_single(coded, codes)
-    hot = hot.select(*keys, *[c for c in hot.columns if c not in keys])
+    hot = hot.select(*keys, *[col(c) for c in hot.columns if c not in keys])
     if labels is not None:
         coded, hot = join_label(coded, labels, keys), join_label(hot, labels, keys)
     return Dataset(coded, hot, meta, tuple(keys))
@@ -193,7 +193,7 @@ def series_features(df: DataFrame, grid: G.Grid, cfg: Settings, spec: Collapse |
         out = out.join(collapse_asof(df, grid, spec), on, "left")
     if "IncomeType" in df.columns:
         out = out.join(G.income_totals(_incomes(df), grid, ["e", "amount"]), on, "left").fillna(0.0, ["IncomeTotal"])
-    out = out.join(G.step_features(windows, steps), on, "left").fillna(0, list(steps.values()))
+    out = fill_null(out.join(G.step_features(windows, steps), on, "left"), dict.fromkeys(steps.values(), 0))
     if "DOB" in df.columns:
         born = df.groupBy(F.col("ClientID").alias("client")).agg(F.min(secs("DOB")).alias("_dob"))
         out = (out.join(born, "client", "left")
