@@ -95,7 +95,8 @@ def perturb(examples: DataFrame, ex: Explainer, key: str, samples: int, seed: in
             keep = first | (F.col(f) == 0)
             values.append(F.when(keep, F.col(f)).otherwise(slot).cast("double").alias(f))
             same.append(F.when(keep | (slot == F.col(f)), 1).otherwise(0))
-    return rows.select(key, "sample", *values, F.array(*same).cast("array<int>").alias("same"))
+    # Two steps: a lambda reads an alias of its own select before the input column of that name.
+    return (rows.withColumn("same", F.array(*same).cast("array<int>")).select(key, "sample", *values, "same"))
 
 
 def kernel_weight(distance: Column, width: float) -> Column:

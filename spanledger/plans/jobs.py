@@ -48,15 +48,21 @@ def split_roles(ds: Dataset, cfg: Settings) -> DataFrame:
     return split.hash_split(ds.encoded, "ClientID", t.train_split, t.val_split, t.test_split, cfg.seed)
 
 
+def row_id(df: DataFrame):
+    """One number per example: the client, or client and anchor day."""
+    if "Date" not in df.columns:
+        return F.col("ClientID").cast("long")
+    return F.col("ClientID").cast("long") * 131_072 + F.datediff("Date", F.lit("1970-01-01").cast("date"))
+
+
 def rebalance(train: DataFrame, columns: list[str], cfg: Settings) -> DataFrame:
     """Training rows after the chosen over-sampling; class weights and none leave them as they are."""
     how = cfg.train.imbalance
     if how in ("none", "class_weight"):
         return train
     if how in ("smote", "adasyn"):
-        ids = F.xxhash64(*[k for k in ("ClientID", "Date") if k in train.columns])
-        points = train.select(ids.alias("id"), F.array(*[col(c).cast("double") for c in columns]).alias("x"), F.col(LABEL).alias("y"))
-        points = points.withColumn("id", F.abs("id") % F.lit(1 << 62)).persist()
+        points = train.select(row_id(train).alias("id"), F.array(*[col(c).cast("double") for c in columns]).alias("x"), F.col(LABEL).alias("y"))
+        points = points.persist()
         make = neighbours.smote if how == "smote" else neighbours.adasyn
         few = min(points.groupBy("y").count().collect(), key=lambda r: r["count"])["y"]
         new = make(points, "y", seed=cfg.seed)
@@ -171,7 +177,7 @@ def predict(episodes: DataFrame, cfg: Settings, meta: FeatureMeta, trained: Trai
 def explain_predictions(features: DataFrame, meta: FeatureMeta, trained: Trained, explainer: L.Explainer, cfg: Settings) -> DataFrame:
     """(example, ClientID, rank, rule, weight) for every row of the feature table."""
     keys = [k for k in ("ClientID", "Date") if k in features.columns]
-    examples = features.withColumn("example", F.xxhash64(*keys))
+    examples = features.withColumn("example", row_id(features))
 
     def score(rows: DataFrame) -> DataFrame:
         wide = trained.score(to_inputs(rows, meta))

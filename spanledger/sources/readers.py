@@ -50,7 +50,7 @@ def read_answers(spark: SparkSession, path: str, root: str = "VISPDATS", encodin
     ``pos`` keeps the file order within a file. Line breaks inside the document are dropped, as
     they are put in by the export and can stand inside strings.
     """
-    doc = F.decode("content", F.lit(encoding))
+    doc = F.decode("content", encoding)
     doc = F.regexp_replace(doc, "^﻿", "")
     doc = F.regexp_replace(doc, "[\r\n]", "")
     parsed = F.from_json(doc, f"{root} array<struct<{_ddl(ANSWER_FIELDS)}>>")
