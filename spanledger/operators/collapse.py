@@ -132,4 +132,4 @@ def coalesce_update(df: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFra
 
 def label_balance(df: DataFrame, label: str = "GroundTruth") -> DataFrame:
     pos, n = F.sum(label), F.count("*")
-    return df.agg(pos.alias("num_pos"), (n - pos).alias("num_neg"), (100.0 * pos / n).alias("pct_pos"))
+    return df.agg(pos.alias("num_pos"), (n - pos).alias("num_neg"), F.try_divide(100.0 * pos, n).alias("pct_pos"))

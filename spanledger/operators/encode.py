@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from spanledger.functions.exprs import col
 from spanledger.functions.ordered import exact_quantiles
@@ -100,9 +100,9 @@ def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def value_freqs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value, n, freq): how often each value occurs, and its share."""
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    return (unpivot(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
-            .withColumn("freq", F.col("n") / total))
+    counts = unpivot(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_all"))
+    return counts.join(totals, "feature").select("feature", "value", "n", (F.col("n") / F.col("_all")).alias("freq"))
 
 
 def bin_edges(df: DataFrame, columns: Sequence[str], parts: int) -> DataFrame:

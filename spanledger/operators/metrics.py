@@ -15,7 +15,7 @@ RECALL_FACTOR = 4.5
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b).otherwise(0.0)
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
 def prf_thresholds(df: DataFrame, thresholds: Sequence[float], y: str = "y", p: str = "p", strict: bool = False) -> DataFrame:
@@ -44,10 +44,10 @@ def score_counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Area under the ROC curve by ranks: negatives below each positive, ties half."""
+    """Area under the ROC curve by ranks: negatives below each positive, ties half; null with one class only."""
     cum = running_sums(score_counts(df, y, p), "score", ["neg"])
     wins = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
-    return cum.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return cum.agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def roc_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -55,8 +55,8 @@ def roc_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     counts = score_counts(df, y, p)
     total = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     return (running_sums(counts, "score", ["pos", "neg"], descending=True).withColumn("_t", total)
-            .select(F.col("score").alias("threshold"), (F.col("cum_neg") / F.col("_t.n")).alias("fpr"),
-                    (F.col("cum_pos") / F.col("_t.p")).alias("tpr")))
+            .select(F.col("score").alias("threshold"), F.try_divide("cum_neg", "_t.n").alias("fpr"),
+                    F.try_divide("cum_pos", "_t.p").alias("tpr")))
 
 
 def confusion(df: DataFrame, threshold: float = 0.5, y: str = "y", p: str = "p") -> DataFrame:

@@ -80,13 +80,13 @@ def class_weights(df: DataFrame, label: str, pos_weight: float = 0.5) -> DataFra
     pos, n = F.sum(label), F.count("*")
     return (df.agg(pos.alias("p"), (n - pos).alias("q"))
             .select(F.inline(F.array(
-                F.struct(F.lit(0).alias(label), ((1 - pos_weight) * (F.col("p") + F.col("q")) / F.col("q")).alias("weight")),
-                F.struct(F.lit(1).alias(label), (pos_weight * (F.col("p") + F.col("q")) / F.col("p")).alias("weight"))))))
+                F.struct(F.lit(0).alias(label), F.try_divide((1 - pos_weight) * (F.col("p") + F.col("q")), F.col("q")).alias("weight")),
+                F.struct(F.lit(1).alias(label), F.try_divide(pos_weight * (F.col("p") + F.col("q")), F.col("p")).alias("weight"))))))
 
 
 def log_odds(df: DataFrame, label: str) -> DataFrame:
     pos, n = F.sum(label), F.count("*")
-    return df.agg(F.log(pos / (n - pos)).alias("log_odds"))
+    return df.agg(F.log(F.try_divide(pos, n - pos)).alias("log_odds"))
 
 
 def oversample_parity(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:

@@ -99,10 +99,11 @@ def _incomes(df: DataFrame) -> DataFrame:
 
 
 def _finish(df: DataFrame, keys: list[str], numeric: list[str], single: list[str], multi: dict[str, list[str]],
-            labels: DataFrame | None, meta: FeatureMeta | None, cfg: Settings, tail: list[str]) -> Dataset:
-    """Fill, encode, join the label. ``tail`` columns stay last."""
+            labels: DataFrame | None, meta: FeatureMeta | None, cfg: Settings, tail: list[str], attributes: DataFrame) -> Dataset:
+    """Fill, encode, join the label. ``tail`` columns stay last; ``attributes`` holds the same values of
+    the single-valued columns without the span features, so that learning codes costs one aggregation."""
     df = cleanse.fill_policy(df, single=single, numeric=numeric)
-    codes = meta.single if meta else vocabulary_lists(vocabulary(df, single), single)
+    codes = meta.single if meta else vocabulary_lists(vocabulary(cleanse.fill_policy(attributes, single=single), single), single)
     meta = meta or FeatureMeta(multi, codes, [c for c in df.columns if c in numeric or c in tail], cfg.horizon_weeks)
     coded = encode.ordinal_encode(df, codes)
     hot = encode.onehot_single(coded, codes)
@@ -145,7 +146,7 @@ def static_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
     labels = None
     if include_label:
         labels = G.static_labels(intervals(full), grid, cfg).drop("k").withColumnRenamed("client", "ClientID")
-    return _finish(df, ["ClientID"], numeric, single, values, labels, meta, cfg, [])
+    return _finish(df, ["ClientID"], numeric, single, values, labels, meta, cfg, [], df if answers is not None else base)
 
 
 def series_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None = None, training: bool = True,
@@ -178,7 +179,9 @@ def series_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
         labels = (G.labels(intervals(df), grid, cfg).withColumn("Date", grid.date(F.col("k"))).drop("k")
                   .withColumnRenamed("client", "ClientID"))
     tail = [lag_name(i, f) for i in range(cfg.series.t_x - 1, 0, -1) for f in steps] + steps
-    return _finish(lagged, ["ClientID", "Date"], numeric, single, values, labels, meta, cfg, tail)
+    attributes = (G.presence(intervals(df), grid, cfg, any_service=False).where(F.col("k") >= since_k)
+                  .join(collapse_asof(df, grid, Collapse(newest=single)), ["client", "k"], "left"))
+    return _finish(lagged, ["ClientID", "Date"], numeric, single, values, labels, meta, cfg, tail, attributes)
 
 
 def series_features(df: DataFrame, grid: G.Grid, cfg: Settings, spec: Collapse | None = None) -> DataFrame:

@@ -21,17 +21,23 @@ KINDS = {"logreg": LogisticRegressionModel, "forest": RandomForestClassification
 
 def preprocess(episodes: DataFrame, cfg: Settings, out: str, series: bool, answers: DataFrame | None = None) -> Dataset:
     """Builds the training dataset, stores both forms and the feature meta-data, returns what was stored."""
+    spark = episodes.sparkSession
     ds = series_dataset(episodes, cfg) if series else static_dataset(episodes, cfg, answers=answers)
     by = ["Date"] if series else []
     sinks.write_dataset(ds.features, f"{out}/features", by)
-    sinks.write_dataset(ds.encoded, f"{out}/encoded", by)
-    ds.meta.save(episodes.sparkSession, f"{out}/meta")
-    return load_dataset(episodes.sparkSession, out)
+    ds.meta.save(spark, f"{out}/meta")
+    # The one-hot form follows row by row from what was stored; the features are built once.
+    stored = spark.read.parquet(f"{out}/features")
+    hot = to_inputs(stored.select(*[col(c) for c in ds.features.columns]), ds.meta)
+    sinks.write_dataset(hot.select(*[col(c) for c in ds.encoded.columns]), f"{out}/encoded", by)
+    return load_dataset(spark, out)
 
 
 def load_dataset(spark: SparkSession, path: str) -> Dataset:
     features, encoded = spark.read.parquet(f"{path}/features"), spark.read.parquet(f"{path}/encoded")
     keys = ("ClientID", "Date") if "Date" in features.columns else ("ClientID",)
+    # A partition column reads back last; keys go first again.
+    features, encoded = (d.select(*keys, *[col(c) for c in d.columns if c not in keys]) for d in (features, encoded))
     return Dataset(features, encoded, FeatureMeta.load(spark, f"{path}/meta"), keys)
 
 
