@@ -227,7 +227,7 @@ def _fit_score(t: Tables, kind: str, **kw):
     rows = _train_rows(t).persist()
     fitted = N.moments(rows.where("role = 'train'"), _X)
     model = models.fit(kind, N.standard_scale(rows.where("role = 'train'"), fitted), _X, "y", seed=SEED, **kw)
-    scored = models.score(model, N.standard_scale(rows.where("role = 'test'"), fitted), _X)
+    scored = models.score(model, N.standard_scale(rows.where("role = 'test'"), fitted), _X).select("y", "p").persist()
     return models.evaluate(scored, CFG.train.thresholds)
 
 
@@ -251,27 +251,26 @@ def fit_score_mlp(t: Tables):
     return _fit_score(t, "mlp")
 
 
-def _series(t: Tables, weeks: float = 1):
+def _series(t: Tables, weeks: float = 1, meta=None, labels=None):
     cfg = replace(CFG, horizon_weeks=weeks)
-    ds = D.series_dataset(t.raw_episodes(), cfg, n_anchors=7)
+    ds = D.series_dataset(t.raw_episodes(), cfg, meta, n_anchors=7, labels=labels)
     cols = [c for c in ds.encoded.columns if c not in ("ClientID", "Date", "GroundTruth")]
     # Column names with dots or brackets are awkward to assemble; positions serve as well.
     names = {c: f"f{i}" for i, c in enumerate(cols)}
     df = ds.encoded.select("ClientID", "Date", F.col("GroundTruth").cast("int").alias("y"),
                            *[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()])
-    return df, list(names.values())
+    return df, list(names.values()), ds.meta
 
 
 @query("fit_score_lags")
 def fit_score_lags(t: Tables):
-    df, cols = _series(t)
-    df = df.persist()
-    roles = split.date_split(df, "Date")
-    rows = split.apply_dates(df, roles, "Date")
+    df, cols, _ = _series(t)
+    rows = split.apply_dates(df, split.date_split(df, "Date"), "Date").persist()
     train = rows.where("role = 'train'")
     fitted = N.moments(train, cols)
     model = models.fit("logreg", N.standard_scale(train, fitted), cols, "y", seed=SEED, regParam=0.01)
-    return models.evaluate(models.score(model, N.standard_scale(rows.where("role = 'test'"), fitted), cols), CFG.train.thresholds)
+    scored = models.score(model, N.standard_scale(rows.where("role = 'test'"), fitted), cols).select("y", "p").persist()
+    return models.evaluate(scored, CFG.train.thresholds)
 
 
 @query("multi_train")
@@ -295,20 +294,22 @@ def kfold_cv(t: Tables):
 
 @query("forward_cv")
 def forward_cv(t: Tables):
-    df, cols = _series(t)
+    df, cols, _ = _series(t)
     return models.forward_cv(df, "Date", 2, kind="logreg", columns=cols, label="y", scaled=cols, regParam=0.01)
 
 
 @query("horizon_search")
 def horizon_search(t: Tables):
-    cols = {}
+    labels = D.label_table(t.raw_episodes(), CFG, series=True, n_anchors=7).persist()
+    learnt = {}
 
     def build(n):
-        df, cols["x"] = _series(t, n)
+        df, learnt["cols"], meta = _series(t, n, learnt.get("meta"), labels)
+        learnt.setdefault("meta", meta)
         return df
 
     def validate(df):
-        return models.forward_cv(df, "Date", 2, kind="logreg", columns=cols["x"], label="y", scaled=cols["x"], regParam=0.01)
+        return models.forward_cv(df, "Date", 2, kind="logreg", columns=learnt["cols"], label="y", scaled=learnt["cols"], regParam=0.01)
 
     return models.horizon_search(build, [0, 1], validate)
 

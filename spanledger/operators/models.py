@@ -73,15 +73,15 @@ def prediction_table(scored: DataFrame, key: str, horizon_weeks: float, names: S
 
 
 def evaluate(scored: DataFrame, thresholds: Sequence[float], y: str = "y", p: str = "p") -> DataFrame:
-    """(metric, threshold, value): all test metrics as one long table."""
-    prf = M.prf_thresholds(scored, thresholds, y, p)
-    out = prf.select("threshold", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                                                     for m in ("precision", "recall", "f1score")])))
+    """(metric, threshold, value): all test metrics as one long table, few rows whatever the scores."""
     none = F.lit(None).cast("double").alias("threshold")
-    al = M.accuracy_logloss(scored, y, p)
-    for m in ("accuracy", "loss"):
-        out = out.unionByName(al.select(none, F.lit(m).alias("metric"), F.col(m).alias("value")))
-    return out.unionByName(M.roc_auc(scored, y, p).select(none, F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+    prf, al, auc = M.prf_thresholds(scored, thresholds, y, p), M.accuracy_logloss(scored, y, p), M.roc_auc(scored, y, p)
+
+    def long(df: DataFrame, threshold: Column, names: Sequence[str]) -> DataFrame:
+        return df.select(threshold, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])))
+
+    return (long(prf, F.col("threshold"), ("precision", "recall", "f1score")).unionByName(long(al, none, ("accuracy", "loss")))
+            .unionByName(long(auc, none, ("auc",))))
 
 
 def run_metrics(scored: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5) -> dict[str, float]:

@@ -113,9 +113,24 @@ def _finish(df: DataFrame, keys: list[str], numeric: list[str], single: list[str
     return Dataset(coded, hot, meta, tuple(keys))
 
 
+def label_table(episodes: DataFrame, cfg: Settings, series: bool, n_anchors: int | None = None) -> DataFrame:
+    """(client, k, GroundTruth). Depends on the label dates only, so one table serves every horizon."""
+    rows = intervals(clean(episodes, cfg))
+    if not series:
+        return G.static_labels(rows, G.Grid.static(cfg), cfg)
+    return G.labels(rows, _series_grid(cfg, True, n_anchors), cfg)
+
+
+def _series_grid(cfg: Settings, training: bool, n_anchors: int | None) -> G.Grid:
+    if n_anchors:
+        return G.Grid.ending(cfg.label_date, n_anchors, cfg.series.step_days, cfg.horizon_days if training else 0)
+    return G.Grid.series(cfg, training)
+
+
 def static_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None = None, include_label: bool = True,
-                   answers: DataFrame | None = None) -> Dataset:
-    """One row per client. With ``meta`` from training the fitted vocabularies are reused."""
+                   answers: DataFrame | None = None, labels: DataFrame | None = None) -> Dataset:
+    """One row per client. With ``meta`` from training the fitted vocabularies are reused, with
+    ``labels`` an existing label table."""
     grid = G.Grid.static(cfg)
     full = clean(episodes, cfg)
     cut = cleanse.asof_cut(full, _cut_text(grid))
@@ -143,21 +158,19 @@ def static_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
         single = [c for c in single if c in df.columns]
     df = cleanse.drop_features(df, cfg.drop_last)
     numeric = [c for c in df.columns if c != "ClientID" and c not in single and c not in {n for _, _, n in Collapse(present=values).flags()}]
-    labels = None
     if include_label:
-        labels = G.static_labels(intervals(full), grid, cfg).drop("k").withColumnRenamed("client", "ClientID")
-    return _finish(df, ["ClientID"], numeric, single, values, labels, meta, cfg, [], df if answers is not None else base)
+        labels = labels if labels is not None else G.static_labels(intervals(full), grid, cfg)
+        labels = labels.drop("k").withColumnRenamed("client", "ClientID")
+    return _finish(df, ["ClientID"], numeric, single, values, labels if include_label else None, meta, cfg, [], df if answers is not None else base)
 
 
 def series_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None = None, training: bool = True,
-                   n_anchors: int | None = None, since_k: int | None = None) -> Dataset:
+                   n_anchors: int | None = None, since_k: int | None = None, labels: DataFrame | None = None) -> Dataset:
     """One row per client and anchor date, every anchor in the same job, with lagged time steps.
 
     The label stands ``horizon`` after the cut-off in training and is left out when scoring.
     """
-    grid = G.Grid.series(cfg, training)
-    if n_anchors:
-        grid = G.Grid.ending(cfg.label_date, n_anchors, cfg.series.step_days, cfg.horizon_days if training else 0)
+    grid = _series_grid(cfg, training, n_anchors)
     since_k = since_k if since_k is not None else first_kept(cfg, grid, training)
     df = clean(episodes, cfg)
     cats, nums = _columns(df, cfg, series=True)
@@ -174,14 +187,14 @@ def series_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
     numeric = [c for c in wide.columns if c not in ("ClientID", "k", "Date", *single) and c not in flags]
     wide = cleanse.fill_policy(wide, single=single, numeric=numeric)
     lagged = lag_assembly(wide, steps, cfg.series.t_x, since=F.lit(since_k), date="k").drop("k")
-    labels = None
     if training:
-        labels = (G.labels(intervals(df), grid, cfg).withColumn("Date", grid.date(F.col("k"))).drop("k")
+        labels = labels if labels is not None else G.labels(intervals(df), grid, cfg)
+        labels = (labels.withColumn("Date", grid.date(F.col("k"))).drop("k")
                   .withColumnRenamed("client", "ClientID"))
     tail = [lag_name(i, f) for i in range(cfg.series.t_x - 1, 0, -1) for f in steps] + steps
     attributes = (G.presence(intervals(df), grid, cfg, any_service=False).where(F.col("k") >= since_k)
                   .join(collapse_asof(df, grid, Collapse(newest=single)), ["client", "k"], "left"))
-    return _finish(lagged, ["ClientID", "Date"], numeric, single, values, labels, meta, cfg, tail, attributes)
+    return _finish(lagged, ["ClientID", "Date"], numeric, single, values, labels if training else None, meta, cfg, tail, attributes)
 
 
 def series_features(df: DataFrame, grid: G.Grid, cfg: Settings, spec: Collapse | None = None) -> DataFrame:

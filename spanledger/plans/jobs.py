@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanledger.config import Settings
 from spanledger.functions.exprs import col, mix
 from spanledger.operators import cluster as K, encode, explain as L, metrics as M, models, neighbours, split
-from spanledger.plans.dataset import Dataset, FeatureMeta, series_dataset, static_dataset
+from spanledger.plans.dataset import Dataset, FeatureMeta, label_table, series_dataset, static_dataset
 from spanledger.sources import sinks
 
 LABEL = "GroundTruth"
@@ -141,15 +141,18 @@ def experiment(ds: Dataset, cfg: Settings, kind: str, what: str = "single_train"
 
 
 def horizon_search(episodes: DataFrame, cfg: Settings, kind: str, series: bool, **params) -> DataFrame:
-    """(n, fold, metrics...) for each horizon; vocabularies are learnt once, at the first one."""
+    """(n, fold, metrics...) for each horizon; labels and vocabularies are made once, at the first one."""
     meta: FeatureMeta | None = None
+    labels = label_table(episodes, cfg, series).persist()
     out = None
     for n in cfg.horizon.weeks():
         at = replace(cfg, horizon_weeks=n)
-        ds = series_dataset(episodes, at, meta) if series else static_dataset(episodes, at, meta)
+        build = series_dataset if series else static_dataset
+        ds = build(episodes, at, meta, labels=labels)
         meta = meta or ds.meta
         folds = experiment(ds, at, kind, "cross_validation", **params)[0].withColumn("n", F.lit(n))
         out = folds if out is None else out.unionByName(folds)
+    labels.unpersist()
     return out
 
 

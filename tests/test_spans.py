@@ -114,6 +114,20 @@ def test_step_windows_match_the_stepper(rows, histories, bucketed, monkeypatch):
             assert got.get((c, k), (0, 0, 0, 0)) == want, (c, k)
 
 
+def test_a_client_with_most_of_the_rows(spark):
+    """One client, many overlapping records, none of them in one window by client alone."""
+    rng = random.Random(5)
+    h = [(rng.choice(["Stay", "Housing", "Food"]), s := BASE + rng.randrange(0, 20 * DAY), s + rng.randrange(0, 4_000)) for _ in range(20_000)]
+    df = spark.createDataFrame([(1, *r) for r in h] + [(2, "Stay", BASE, BASE + DAY)], "client long, service string, s long, e long")
+    names = {"Stay": "a", "Housing": "b", "Food": "c", "Ride": "d"}
+    flows = G.timed_flows(G.timed_spans(df, CFG), GRID, CFG).unionByName(G.counted_flows(G.counted_since(df, CFG), GRID))
+    got = as_dict(G.running_totals(G.presence(df, GRID, CFG, False), flows, GRID, names), "a", "b", "c")
+    days = as_dict(G.label_days(df, GRID, CFG), "days")
+    for k, cut in enumerate(cutoffs()):
+        assert got[1, k] == (timed_total(h, "Stay", cut - 1), timed_total(h, "Housing", cut - 1), counted(h, ("Food", "Ride"), cut - 1)["Food"])
+        assert days[1, k] == (label_days(h, cut + GRID.horizon, 14),)
+
+
 def test_income_latest_per_type(spark):
     data = [(1, "a", BASE, 10.0), (1, "a", BASE + 5 * DAY, 30.0), (1, None, BASE, 7.0), (1, "b", BASE, None),
             (2, "a", BASE + 7 * DAY, 5.0)]
