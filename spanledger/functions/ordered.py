@@ -31,31 +31,34 @@ def _carry(df: DataFrame, keys: list[str], summary: Column, combine, name: str)
 
 
 def prior_max(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-              bucket_seconds: int | None = BUCKET) -> DataFrame:
+              bucket_seconds: int | None = BUCKET, raw: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the largest ``value`` among rows of the keys with a smaller ``order``.
 
     ``order`` must be unique per key and in epoch seconds, so a bucket holds at most
     ``bucket_seconds`` rows whatever the size of the key. ``bucket_seconds=None`` is for keys that
-    are bounded in time already.
+    are bounded in time already. ``raw`` are the rows ``df`` was collapsed from: the bucket summaries
+    are the same over them, and taken map-side before any shuffle.
     """
     if bucket_seconds is None:
         w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         return df.withColumn(out, F.max(value).over(w))
-    rows = df.withColumn("_b", bucket_of(F.col(order), bucket_seconds))
-    carry = _carry(rows, keys, F.max(value), F.max, "_c")
+    bucket = bucket_of(F.col(order), bucket_seconds)
+    rows = df.withColumn("_b", bucket)
+    carry = _carry(rows if raw is None else raw.withColumn("_b", bucket), keys, F.max(value), F.max, "_c")
     w = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return (rows.join(carry, [*keys, "_b"])
             .withColumn(out, F.greatest(F.max(value).over(w), "_c")).drop("_b", "_c"))
 
 
 def prior_row(df: DataFrame, keys: list[str], order: list[str], time: str, out: str,
-              bucket_seconds: int = DAY) -> DataFrame:
+              bucket_seconds: int = DAY, raw: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: struct of the ``order`` columns of the previous row of the keys (a two-level lag).
 
-    ``time`` is the leading order column, in epoch seconds.
+    ``time`` is the leading order column, in epoch seconds. ``raw`` as in ``prior_max``.
     """
-    rows = df.withColumn("_b", bucket_of(F.col(time), bucket_seconds)).withColumn("_o", F.struct(*order))
-    carry = _carry(rows, keys, F.max("_o"), lambda c: F.max(c), "_c")
+    extra = {"_b": bucket_of(F.col(time), bucket_seconds), "_o": F.struct(*order)}
+    rows = df.withColumns(extra)
+    carry = _carry(rows if raw is None else raw.withColumns(extra), keys, F.max("_o"), F.max, "_c")
     w = W.partitionBy(*keys, "_b").orderBy("_o")
     return (rows.join(carry, [*keys, "_b"])
             .withColumn(out, F.coalesce(F.lag("_o").over(w), "_c")).drop("_b", "_c", "_o"))

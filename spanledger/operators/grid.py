@@ -114,11 +114,11 @@ def counted_since(rows: DataFrame, cfg: Settings) -> DataFrame:
     A visit repeats the previous counted row of the client if service and end are the same; ends
     are compared after clipping, so two open visits of one service look alike until the earlier ends.
     """
-    visits = rows.where(F.col("service").isin(list(cfg.counted_services))).select("client", "s", "service", "e").distinct()
+    visits = rows.where(F.col("service").isin(list(cfg.counted_services))).select("client", "s", "service", "e")
     prev = F.col("prev")
     same = prev.isNotNull() & (prev["service"] == F.col("service"))
     t = F.when(~same, F.col("s")).when(prev["e"] != F.col("e"), F.greatest("s", F.least("e", prev["e"]) + 1))
-    return (prior_row(visits, ["client"], ["s", "service", "e"], "s", "prev")
+    return (prior_row(visits.distinct(), ["client"], ["s", "service", "e"], "s", "prev", raw=visits)
             .select("client", "service", t.alias("t")).where(F.col("t").isNotNull()))
 
 
@@ -233,11 +233,10 @@ def window_timed(rows: DataFrame, grid: Grid, cfg: Settings) -> DataFrame:
 def window_counted(rows: DataFrame, grid: Grid, cfg: Settings) -> DataFrame:
     """(client, service, k, value): visits of each counted service within each time step."""
     visits = (_windows(rows.where(F.col("service").isin(list(cfg.counted_services))), grid)
-              .select("client", "k", F.greatest("s", "w0").alias("s"), "service", F.least("e", "w1").alias("e"))
-              .distinct())
+              .select("client", "k", F.greatest("s", "w0").alias("s"), "service", F.least("e", "w1").alias("e")))
     prev = F.col("prev")
     fresh = prev.isNull() | (prev["service"] != F.col("service")) | (prev["e"] != F.col("e"))
-    return (prior_row(visits, ["client", "k"], ["s", "service", "e"], "s", "prev")
+    return (prior_row(visits.distinct(), ["client", "k"], ["s", "service", "e"], "s", "prev", raw=visits)
             .where(fresh).groupBy("client", "service", "k").agg(F.count("*").alias("value")))
 
 

@@ -42,7 +42,7 @@ def record_spans(rows: DataFrame, keys: list[str], min_seconds: int = 0,
     if min_seconds:
         rows = rows.where(F.col("e") - F.col("s") >= min_seconds)
     one = rows.groupBy(*keys, "s").agg(F.max("e").alias("e"))
-    return (prior_max(one, keys, "s", "e", "last", bucket_seconds)
+    return (prior_max(one, keys, "s", "e", "last", bucket_seconds, raw=rows)
             .where(F.col("last").isNull() | (F.col("e") > F.col("last"))))
 
 
