@@ -388,14 +388,15 @@ def decode_ordinal(t: Tables):
     return N.decode_ordinal(N.ordinal_encode(rows, vocab), vocab).fillna("?", ["l_returnflag"])
 
 
-_SCALE_SQL = """WITH m AS (SELECT avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sd FROM customer WHERE c_custkey % 10 <> 0)"""
+_SCALE_SQL = """WITH m AS (SELECT avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sd FROM customer WHERE c_mktsegment <> 'MACHINERY')"""
 
 
 @query("standard_scale", _SCALE_SQL + """ SELECT round((c_acctbal - mu) / sd, 6) AS c_acctbal, 0.0::DOUBLE AS flat, c_custkey FROM customer, m""")
 def standard_scale(t: Tables):
-    df = t.customer.select("c_custkey", "c_acctbal", F.lit(3.0).alias("flat"))
-    fitted = N.moments(df.where("c_custkey % 10 <> 0"), ["c_acctbal", "flat"])
-    return N.standard_scale(df, fitted).withColumn("c_acctbal", F.round("c_acctbal", 6))
+    df = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment", F.lit(3.0).alias("flat"))
+    # Moments come from the training part alone, every row is scaled with them.
+    fitted = N.moments(df.where("c_mktsegment <> 'MACHINERY'"), ["c_acctbal", "flat"])
+    return N.standard_scale(df, fitted).drop("c_mktsegment").withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
 @query("inverse_scale", "SELECT c_custkey, round_even(c_acctbal, 0) AS c_acctbal FROM customer")

@@ -89,19 +89,25 @@ def split_kinds(df: DataFrame, columns: Sequence[str], key: str = "ClientID") ->
     return [c for c in columns if kinds[c] == "single"], [c for c in columns if kinds[c] == "multi"]
 
 
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value): distinct non-null values, combined map-side."""
+    return unpivot(df, columns).where(F.col("value").isNotNull()).distinct()
+
+
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, code): distinct non-null values, codes 1.. in lexical order per feature."""
-    w = W.partitionBy("feature").orderBy("value")
-    return (unpivot(df, columns).where(F.col("value").isNotNull()).distinct()
-            .withColumn("code", F.row_number().over(w)))
+    """(feature, value, code): distinct values with codes 1.. in lexical order per feature."""
+    return distinct_values(df, columns).withColumn("code", F.row_number().over(W.partitionBy("feature").orderBy("value")))
 
 
 MAX_COLUMNS = 20_000
 
 
-def vocabulary_lists(vocab: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """The vocabulary as column names need it. Wide output is what bounds it; checked, not cut."""
-    rows = vocab.where(F.col("feature").isin(list(columns))).limit(MAX_COLUMNS + 1).collect()
+def vocabulary_lists(values: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Distinct values per feature in lexical order, as column names need them.
+
+    Wide output is what bounds the vocabulary; its size is checked, it is never cut.
+    """
+    rows = values.where(F.col("feature").isin(list(columns))).limit(MAX_COLUMNS + 1).collect()
     if len(rows) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} one-hot columns; drop a free-text feature first")
     out: dict[str, list[str]] = {c: [] for c in columns}

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from spanledger.functions.ordered import prior_row
+from spanledger.functions.ordered import prior_row, slice_count
 from spanledger.operators.encode import bin_edges, bin_index
 
 SELECT_ALPHA = 0.01
@@ -113,31 +113,63 @@ def neighbour_weights(perturbed: DataFrame, width: float) -> DataFrame:
     return perturbed.withColumn("weight", kernel_weight(F.sqrt(differ.cast("double")), width))
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
-    w = w / w.sum()
-    xm, ym = w @ x, w @ y
-    xc, yc, n = x - xm, y - ym, len(y)
-    # Weights are normalised, so the penalty is too.
-    return np.linalg.solve(xc.T @ (xc * w[:, None]) + np.eye(x.shape[1]) * alpha / n, xc.T @ (w * yc))
+class _Gram:
+    """Weighted sums of one example's perturbations, enough for any ridge fit on its features."""
+
+    def __init__(self, d: int):
+        self.w, self.y, self.x, self.xy, self.xx = 0.0, 0.0, np.zeros(d), np.zeros(d), np.zeros((d, d))
+
+    def add(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        xw = x * w[:, None]
+        self.w += w.sum()
+        self.y += w @ y
+        self.x += xw.sum(0)
+        self.xy += xw.T @ y
+        self.xx += xw.T @ x
+
+    def ridge(self, alpha: float, use: np.ndarray) -> np.ndarray:
+        xm, ym = self.x[use] / self.w, self.y / self.w
+        cov = self.xx[np.ix_(use, use)] / self.w - np.outer(xm, xm)
+        return np.linalg.solve(cov + np.eye(len(use)) * alpha / self.w, self.xy[use] / self.w - xm * ym)
 
 
 def local_fit(scored: DataFrame, key: str, num_features: int) -> DataFrame:
     """(key, pos, weight): per example a ridge fit of the score on ``same``, then refitted on the
-    ``num_features`` strongest. A group is one example's perturbations, fixed by configuration.
+    ``num_features`` strongest.
+
+    The rows of an example must follow one another, as ``perturb`` and a row-wise ``score`` leave
+    them. So nothing is shuffled: tasks stream their batches and keep one set of sums.
     """
-    def one(g: pa.Table) -> pa.Table:
-        g = g.sort_by("sample").combine_chunks()
-        x = g["same"].combine_chunks().flatten().to_numpy().astype(float).reshape(g.num_rows, -1)
-        y, w = g["score"].to_numpy(), g["weight"].to_numpy()
-        n = w.sum()
-        strong = np.argsort(-np.abs(_ridge(x, y, w, SELECT_ALPHA * len(y) / n) * x[0]), kind="stable")[:num_features]
-        coef = _ridge(x[:, strong], y, w, FIT_ALPHA * len(y) / n)
-        order = np.argsort(-np.abs(coef), kind="stable")
-        return pa.table({key: pa.array([g[key][0].as_py()] * len(coef), pa.int64()),
-                         "pos": pa.array(strong[order], pa.int32()), "weight": pa.array(coef[order], pa.float64())})
+    schema = pa.schema([(key, pa.int64()), ("pos", pa.int32()), ("weight", pa.float64())])
 
-    return (scored.select(key, "sample", "same", "score", "weight").groupBy(key)
-            .applyInArrow(one, f"{key} long, pos int, weight double"))
+    def solve(example: int, g: _Gram) -> pa.RecordBatch:
+        # The example itself has every feature present, so the coefficient is the feature's effect.
+        strong = np.argsort(-np.abs(g.ridge(SELECT_ALPHA, np.arange(len(g.x)))), kind="stable")[:num_features]
+        coef = g.ridge(FIT_ALPHA, strong)
+        order = np.argsort(-np.abs(coef), kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array([example] * len(coef), pa.int64()), pa.array(strong[order], pa.int32()),
+                                           pa.array(coef[order], pa.float64())], schema=schema)
+
+    def task(batches):
+        example, sums = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in (key, "score", "weight"))
+            x = b.column("same").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if ids[lo] != example:
+                    if sums is not None:
+                        yield solve(example, sums)
+                    example, sums = int(ids[lo]), _Gram(x.shape[1])
+                sums.add(x[lo:hi], y[lo:hi], w[lo:hi])
+        if sums is not None:
+            yield solve(example, sums)
+
+    return (scored.select(F.col(key).cast("long").alias(key), F.col("score").cast("double").alias("score"),
+                          F.col("weight").cast("double").alias("weight"), "same")
+            .mapInArrow(task, f"{key} long, pos int, weight double"))
 
 
 def rules(examples: DataFrame, ex: Explainer, key: str) -> DataFrame:
@@ -159,8 +191,10 @@ def rules(examples: DataFrame, ex: Explainer, key: str) -> DataFrame:
 
 def explain(examples: DataFrame, ex: Explainer, score, key: str, samples: int, num_features: int,
             width: float | None = None, seed: int = 7) -> DataFrame:
-    """(key, rank, rule, weight) for every example. ``score`` maps feature rows to rows with ``score``."""
+    """(key, rank, rule, weight) for every example. ``score`` adds ``score`` to feature rows, row by row."""
     width = width or default_width(len(ex.features))
+    # Each example becomes ``samples`` rows, so the few input rows are spread out first.
+    examples = examples.repartition(slice_count(examples), key)
     near = score(neighbour_weights(perturb(examples, ex, key, samples, seed), width))
     fits = local_fit(near, key, num_features)
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.abs("weight")), "pos"))

@@ -121,11 +121,13 @@ def multi_run(parts: DataFrame, runs: int, parallel: int = 4, seed: int = 7, **k
 
 def kfold_cv(df: DataFrame, key: str, k: int, seed: int = 7, parallel: int = 2, **kw) -> DataFrame:
     """(fold, metrics...) of a k-fold cross validation; validation folds are as large as test folds."""
+    df = df.persist()
     folds = split.kfold_assign(df, key, k, seed).persist()
     with ThreadPool(parallel) as pool:
         rows = pool.map(lambda i: {"fold": i + 1} | train_round(folds.withColumn("role", split.fold_role(F.col("fold"), i, k)).drop("fold"), **kw),
                         range(k))
     folds.unpersist()
+    df.unpersist()
     return _table(df.sparkSession, rows, "fold")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from spanledger.config import Settings
 from spanledger.functions.exprs import col, fill_null, secs
 from spanledger.operators import cleanse, encode, grid as G
-from spanledger.operators.collapse import (Collapse, collapse, collapse_asof, join_answers, join_label, split_kinds,
-                                           vocabulary, vocabulary_lists)
+from spanledger.operators.collapse import (Collapse, collapse, collapse_asof, distinct_values, join_answers, join_label,
+                                           split_kinds, vocabulary_lists)
 from spanledger.operators.series import lag_assembly, lag_name
 from spanledger.operators.spans import intervals
 
@@ -103,7 +103,7 @@ def _finish(df: DataFrame, keys: list[str], numeric: list[str], single: list[str
     """Fill, encode, join the label. ``tail`` columns stay last; ``attributes`` holds the same values of
     the single-valued columns without the span features, so that learning codes costs one aggregation."""
     df = cleanse.fill_policy(df, single=single, numeric=numeric)
-    codes = meta.single if meta else vocabulary_lists(vocabulary(cleanse.fill_policy(attributes, single=single), single), single)
+    codes = meta.single if meta else vocabulary_lists(distinct_values(cleanse.fill_policy(attributes, single=single), single), single)
     meta = meta or FeatureMeta(multi, codes, [c for c in df.columns if c in numeric or c in tail], cfg.horizon_weeks)
     coded = encode.ordinal_encode(df, codes)
     hot = encode.onehot_single(coded, codes)
@@ -139,7 +139,7 @@ def static_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
     single = [c for c in single if c in cats]
     # A filled-in None is a category of its own here.
     filled = cut.fillna("None", subset=multi) if multi else cut
-    values = meta.multi if meta else vocabulary_lists(vocabulary(filled, multi), multi)
+    values = meta.multi if meta else vocabulary_lists(distinct_values(filled, multi), multi)
     base = collapse(filled, ["ClientID"], _spec(values, single, nums + (["CurrentAge"] if "CurrentAge" in cut.columns else [])))
 
     rows = intervals(cut)
@@ -177,7 +177,7 @@ def series_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
     single, multi = (list(meta.single), list(meta.multi)) if meta else split_kinds(df, cats)
     single = [c for c in single if c in cats]
     # Only observed values get a column here, a filled-in None does not.
-    values = meta.multi if meta else vocabulary_lists(vocabulary(df, multi), multi)
+    values = meta.multi if meta else vocabulary_lists(distinct_values(df, multi), multi)
 
     wide = series_features(df, grid, cfg, _spec(values, single, nums))
     wide = wide.withColumn("Date", grid.date(F.col("k"))).withColumnRenamed("client", "ClientID")
