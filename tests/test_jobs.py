@@ -159,3 +159,15 @@ def test_full_export(spark):
     assert by["Service Restriction"]["Modules"] == "module_types|module_types" and by["Diet"]["DateStart"].year == 2020
     answers = {r["AssessmentQuestionID"]: r for r in X.answers_export(src).collect()}
     assert answers[1]["QuestionE"] == "a b" and answers[1]["ScoreValue"] == "3" and answers[2]["ScoreValue"] == "CommonPlace_types"
+
+
+def test_series_job_round_trip(spark, tmp_path):
+    rows = Tables(spark, "/root/testdata/sf0.001").raw_episodes()
+    ds = jobs.preprocess(rows, CFG, str(tmp_path / "series"), series=True)
+    assert ds.keys == ("ClientID", "Date") and dict(ds.features.dtypes)["Date"] == "date"
+    assert ds.features.count() == ds.encoded.count() > 0
+    pruned = ds.encoded.where(F.col("Date") == F.lit("2024-01-24").cast("date"))
+    assert "PartitionFilters: [isnotnull(Date" in pruned._jdf.queryExecution().toString()
+    roles = {r["role"] for r in jobs.split_roles(ds, CFG).select("role").distinct().collect()}
+    assert roles == {"train", "val", "test"}
+    assert jobs.inputs(ds)[-1].startswith("3-Day_")
