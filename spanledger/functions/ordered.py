@@ -120,8 +120,9 @@ def exact_quantiles(counts: DataFrame, group: str, value: str, n: str, at: list[
 
 
 def hash_rank(df: DataFrame, key: str, seed: int, out: str, within: list[str] | None = None,
-              slices: int = 1024) -> DataFrame:
-    """Adds ``out``: 1-based rank of the row in hash order of a unique id, per ``within`` group.
+              slices: int = 1024, size: str | None = None) -> DataFrame:
+    """Adds ``out``: 1-based rank of the row in hash order of a unique id, per ``within`` group, and
+    the group's row count as ``size`` if named.
 
     Hash ranges are the buckets, so a hot group is spread evenly over ``slices`` tasks and the
     per-group step sees at most ``slices`` rows.
@@ -130,8 +131,10 @@ def hash_rank(df: DataFrame, key: str, seed: int, out: str, within: list[str] |
     width = -(-2_147_483_647 // slices)
     rows = df.withColumn("_h", mix(F.col(key), seed)).withColumn("_b", int_div(F.col("_h"), width))
     before = W.partitionBy(*(within or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = (rows.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
-             .select(*within, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c")))
+    whole = W.partitionBy(*(within or [F.lit(0)]))
+    counts = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c")]
+    counts += [F.sum("_n").over(whole).alias(size)] if size else []
+    carry = rows.groupBy(*within, "_b").agg(F.count("*").alias("_n")).select(*within, "_b", *counts)
     w = W.partitionBy(*within, "_b").orderBy("_h", key)
     return (rows.join(carry, [*within, "_b"])
             .withColumn(out, F.row_number().over(w) + F.col("_c")).drop("_h", "_b", "_c"))

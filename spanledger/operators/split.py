@@ -18,7 +18,7 @@ def hash_split(df: DataFrame, key: str, train: float, val: float, test: float, s
 
     The role depends on the key alone, so encoded and raw tables of the same keys split alike.
     """
-    rows = with_count(hash_rank(df, key, seed, "_r"))
+    rows = hash_rank(df, key, seed, "_r", size="_n")
     n_test = F.ceil(F.col("_n") * F.lit(test))
     n_val = F.ceil((F.col("_n") - n_test) * F.lit(val / (train + val)))
     return (rows.withColumn("role", F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val")
@@ -58,7 +58,7 @@ def apply_dates(df: DataFrame, roles: DataFrame, date: str) -> DataFrame:
 
 def kfold_assign(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Adds ``fold`` 0..k-1 in hash order; the first n mod k folds have one row more."""
-    rows = with_count(hash_rank(df, key, seed, "_r"))
+    rows = hash_rank(df, key, seed, "_r", size="_n")
     size, more = int_div(F.col("_n"), 1) - F.pmod("_n", F.lit(k)), F.pmod("_n", F.lit(k))
     q = int_div(size, k)
     head = more * (q + 1)
