@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanledger.llm.byte_bpe import decode_bytes, encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
 from spanledger.llm.packing import best_fit_packing, token_pieces
+from spanledger.llm.sharding import shard_records
 from spanledger.llm.token_files import read_token_files, write_token_files
 
 
@@ -21,3 +23,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = write_token_files(docs, new_folder(spark, "token-files"), vocabulary("word_bpe_49k.json"), end_id=1)
     return read_token_files(spark, files)
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    decoded = decode_bytes(encode_bytes(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_records(spark, table(spark, sf_dir, "documents"), new_folder(spark, "slot-map"), shards=24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+                        "virtual_slot", "map_version")
