@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.byte_bpe import decode_bytes, encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
+from spanledger.llm.line_dedup import drop_boilerplate, url_host
+from spanledger.llm.native_sql import LINE_DEDUP, QUALITY_RULES
 from spanledger.llm.packing import best_fit_packing, token_pieces
+from spanledger.llm.quality_rules import quality_rules
 from spanledger.llm.sharding import shard_records
 from spanledger.llm.token_files import read_token_files, write_token_files
 
@@ -37,3 +40,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shard_records(spark, table(spark, sf_dir, "documents"), new_folder(spark, "slot-map"), shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
                         "virtual_slot", "map_version")
+
+
+@query("op5_line_dedup", LINE_DEDUP)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every tag ends a line.
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    out = drop_boilerplate(pages, url_host())
+    return out.select("page_id", F.coalesce(url_host(), F.lit("")).alias("host"), "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_quality_rules", QUALITY_RULES)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
