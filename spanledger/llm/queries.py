@@ -12,6 +12,7 @@ from spanledger.llm.native_sql import LINE_DEDUP, QUALITY_RULES
 from spanledger.llm.packing import best_fit_packing, token_pieces
 from spanledger.llm.quality_rules import quality_rules
 from spanledger.llm.sharding import shard_records
+from spanledger.llm.substring_dedup import drop_repeats
 from spanledger.llm.token_files import read_token_files, write_token_files
 
 
@@ -54,3 +55,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
