@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.byte_bpe import decode_bytes, encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
+from spanledger.llm.jaccard_join import near_duplicates
 from spanledger.llm.line_dedup import drop_boilerplate, url_host
 from spanledger.llm.native_sql import LINE_DEDUP, QUALITY_RULES
 from spanledger.llm.packing import best_fit_packing, token_pieces
@@ -61,3 +62,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
