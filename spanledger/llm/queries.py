@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.byte_bpe import decode_bytes, encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
+from spanledger.llm.embedding_dedup import embedding_dedup
 from spanledger.llm.jaccard_join import near_duplicates
 from spanledger.llm.line_dedup import drop_boilerplate, url_host
 from spanledger.llm.native_sql import LINE_DEDUP, QUALITY_RULES
 from spanledger.llm.packing import best_fit_packing, token_pieces
+from spanledger.llm.quality_classifier import THRESHOLD, held_out as classifier_held_out, quality_scores
 from spanledger.llm.quality_rules import quality_rules
 from spanledger.llm.sharding import shard_records
 from spanledger.llm.substring_dedup import drop_repeats
@@ -67,3 +69,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", classifier_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op7_embedding_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
