@@ -26,6 +26,8 @@ RULES = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "wor
          "same_lines": ("n_dup_lines", "n_lines")}
 RISK, ERROR, COST = 0.02, 0.05, 20
 MIN_WORDS, MAX_REPEAT = 50, 50
+#: Labels that may be broadcast to pick their documents before the figures are made (about 10 MB); more are joined with the figures of all.
+PICKED_LABELS = 500_000
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -39,36 +41,37 @@ def _let(value: Column, body) -> Column:
 def text_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines and n_repeat_words (all long) of every whole text.
 
-    Null and empty texts have zeros. Windows of three words are compared by 64-bit hashes, sorted within the row, so a text of n words
-    takes n log n steps. Columns of these names are replaced."""
-    body, words, hashes, keys, low, again = fresh_names(docs, "body", "words", "hashes", "keys", "low", "again")
+    Null and empty texts have zeros. Windows of three words are compared by 64-bit hashes; these are sorted within the row with the
+    position in their low bits, so a text of n words takes n log n steps. Columns of these names are replaced."""
+    body, words, each, wide, keys, mask, pairs, again = fresh_names(docs, "body", "words", "each", "wide", "keys", "mask", "pairs", "again")
     df = docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumn(words, F.filter(F.split(body, GAP), lambda w: w != ""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(IN_WORD))
+    n = F.size(words)
     df = df.withColumns({
-        "n_words": F.size(words).cast("long"),
+        "n_words": n.cast("long"),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
         "n_symbols": (F.char_length(body) - F.char_length(F.regexp_replace(body, SYMBOLS, ""))).cast("long"),
         "n_capitals": (F.char_length(body) - F.char_length(F.regexp_replace(body, r"\p{Lu}+", ""))).cast("long"),
         "n_lines": _let(lines, lambda x: F.size(x)).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        # Enough low bits for a position.
-        low: F.ceil(F.log2(F.size(words) + 2)).cast("int"),
-        hashes: F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3),
-                                                       lambda i: F.xxhash64(F.col(words)[i], F.col(words)[i + 1], F.col(words)[i + 2]))),
+        each: F.when(n >= 3, F.transform(words, lambda w: F.xxhash64(w))),
+        # Low bits that a position needs are blanked in the hashes.
+        mask: F.expr(f"~(shiftleft(1L, cast(ceil(log2(size(`{words}`) + 2)) AS int)) - 1)"),
     })
-    h, k = F.col(hashes), F.col(keys)
-    mask = F.expr(f"shiftleft(1L, `{low}`) - 1")
-    packed = F.transform(h, lambda x, i: F.call_function("shiftleft", F.call_function("shiftright", x, F.col(low)), F.col(low)).bitwiseOR(i.cast("long")))
-    df = df.withColumn(keys, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(packed)))
-    at = lambda x: x.bitwiseAND(mask).cast("int")
-
-    def met(x: Column, j: Column) -> Column:
-        mine = h[at(x)]
-        return ((j > 0) & (h[at(k[j - 1])] == mine)) | ((j < F.size(k) - 1) & (h[at(k[j + 1])] == mine))
-
-    places = F.sort_array(F.transform(F.filter(k, met), at))
-    df = df.withColumn(again, F.when(F.col(keys).isNotNull(), places))
+    n = F.size(each)
+    part = lambda i: F.slice(each, F.lit(i), n - 2)
+    combine = lambda x, y: F.xxhash64(x, y)
+    df = df.withColumn(wide, F.zip_with(F.zip_with(part(1), part(2), combine), part(3), combine))
+    low, h, k = F.col(mask), F.col(wide), F.col(keys)
+    df = df.withColumn(keys, F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(low).bitwiseOR(i.cast("long")))))
+    at = lambda x: x.bitwiseAND(F.bitwise_not(low)).cast("int")
+    same = F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.greatest(F.size(k) - 1, F.lit(0))),
+                      lambda x, y: F.when(x.bitwiseXOR(y).bitwiseAND(low) == 0, F.struct(at(x).alias("x"), at(y).alias("y"))))
+    df = df.withColumn(pairs, F.when(F.size(k) > 1, F.filter(same, lambda p: p.isNotNull())))
+    true = F.filter(pairs, lambda p: h[p["x"]] == h[p["y"]])
+    places = _let(true, lambda t: F.sort_array(F.array_distinct(F.concat(F.transform(t, lambda p: p["x"]), F.transform(t, lambda p: p["y"])))))
+    df = df.withColumn(again, F.when(F.size(pairs) > 0, places))
     d = F.col(again)
     covered = F.aggregate(d, F.lit(0).cast("long"), lambda n, _: n + 3)
     overlap = F.aggregate(F.sequence(F.lit(1), F.size(d) - 1), F.lit(0).cast("long"), lambda n, j: n + F.greatest(F.lit(0), 3 - (d[j] - d[j - 1])))
@@ -109,14 +112,18 @@ def allowed_false(n: Column, rate: float, error: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor(n * rate)), start, step)["k"]).otherwise(F.lit(-1).cast("long"))
 
 
-def chosen_cutoffs(figures: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", risk: float = RISK, error: float = ERROR, cost: float = COST) -> DataFrame:
+def chosen_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", risk: float = RISK, error: float = ERROR, cost: float = COST) -> DataFrame:
     """Cutoff of every stratum and rule that has one: stratum, rule, cutoff, n_good.
 
-    ``labels`` has the key and ``quality``; rows with a null label, repeated labels (each key counts once, by its lowest quality) and base failures are
+    ``docs`` has the text, or its figures. ``labels`` has the key and ``quality``; rows with a null label, repeated labels (each key counts once, by its lowest quality) and base failures are
     left out. A null stratum is a stratum of its own, ''. One row per stratum, rule and grid point is all that is sorted."""
     marks = labels.where(F.col("quality").isNotNull() & ~held_out(key)).groupBy(key).agg(F.min("quality").alias("quality"))
-    known = figures.where(~base_failed()).select(key, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *{c for ab in RULES.values() for c in ab})
-    known = known.join(marks, key)
+    ready = all(c in docs.columns for c in FIGURES)
+    few = not ready and marks.count() <= PICKED_LABELS
+    known = docs.join(F.broadcast(marks), key) if few else docs
+    figures = known if ready else text_figures(known)
+    known = figures.select(key, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), base_failed().alias("failed"), *sorted({c for ab in RULES.values() for c in ab}), *["quality"] * few)
+    known = (known if few else known.join(marks, key)).where(~F.col("failed"))
     # Counted per stratum, rule and grid point before anything is shuffled.
     wide = known.groupBy("stratum").agg(
         F.count(F.when(F.col("quality") == 1, 1)).alias("n_good"),
@@ -139,7 +146,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key
     Rows stay one for one, also repeated ones; a null key, text or stratum crashes nothing. The map of cutoffs is one row per stratum (the strata are
     those of the labelled rows) and is joined to the rows; Spark may broadcast it by its size."""
     figures = text_figures(docs)
-    cuts = chosen_cutoffs(figures, labels, stratum, key, **limits).groupBy("stratum").agg(
+    cuts = chosen_cutoffs(docs.drop(*FIGURES), labels, stratum, key, **limits).groupBy("stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     mine, cut = fresh_names(figures, "stratum", "cuts")
     own = figures.withColumn(mine, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
