@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once inside a task; a longer text is one chunk of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 # The white space that separates words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SPACE = np.zeros(256, bool)

@@ -7,6 +7,7 @@ pairs at its two neighbours. Then the ids of the words are dealt back to the tex
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,15 +15,18 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from spanledger.llm.arrays import chunks, texts_of
+from spanledger.llm.arrays import chunks, ragged, texts_of
 from spanledger.llm.pretokens import Encoder, read_ranks
 
 #: Words of one replay: bounds the memory of its index.
-REPLAY_WORDS = 40_000
+REPLAY_WORDS = 30_000
+#: Ids that are decoded at once.
+DECODE_IDS = 1_000_000
 _SHIFT = 21
 _END = (1 << _SHIFT) - 1
 
@@ -43,9 +47,9 @@ class Merges:
         order = np.argsort(self.keys)
         self.keys, self.values = self.keys[order], np.fromiter(self.pairs.values(), np.int64, len(order))[order]
 
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word. A word that is a token itself is that token."""
-        out = [(r,) if (r := self.ranks.get(w)) is not None else None for w in words]
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as unsigned 32-bit numbers. A word that is a token itself is that token."""
+        out = [array("I", (r,)).tobytes() if (r := self.ranks.get(w)) is not None else None for w in words]
         rest = [i for i, ids in enumerate(out) if ids is None]
         for a in range(0, len(rest), REPLAY_WORDS):
             part = rest[a:a + REPLAY_WORDS]
@@ -53,7 +57,7 @@ class Merges:
                 out[i] = ids
         return out
 
-    def _merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge(self, words: list[bytes]) -> list[bytes]:
         token, starts = [], []
         for w in words:
             starts.append(len(token))
@@ -108,47 +112,72 @@ class Merges:
             while token[p] != _END:
                 ids.append(token[p])
                 p = after[p]
-            out.append(tuple(ids))
+            out.append(array("I", ids).tobytes())
         return out
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(Merges(read_ranks(path)).replay, join_space=True)
+    return Encoder(Merges(read_ranks(path)).replay, join_space=True, capacity=250_000)
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str) -> list[bytes]:
+def _tokens(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens one after the other, where each begins, and its length (-1: no such id)."""
     ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return out
+    size = np.full(max(ranks.values()) + 1, -1)
+    size[list(ranks.values())] = [len(t) for t in ranks]
+    return np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8), np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), size
 
 
-def encode_bytes(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """Key and ids of every whole text. Null text is empty and has no ids; null and repeated keys stay as they are."""
+def bytes_of(ids: np.ndarray, at: np.ndarray, path: str) -> pa.Array:
+    """The bytes that the ids of each row stand for; ``at``: ids before each row (with the end). An id outside the vocabulary is an error."""
+    data, begin, size = _tokens(path)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
+        raise ValueError("an id outside the vocabulary")
+    each = size[ids]
+    text = data[ragged(begin[ids], each)]
+    edges = np.concatenate([[0], np.cumsum(each)])[at].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(text.tobytes())])
+
+
+def encode_bytes(docs: DataFrame, path: str, key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """Key and ids of every whole text; with ``decoded``, also the bytes that the ids stand for, decoded in the same task.
+
+    Null text is empty and has no ids; null and repeated keys stay as they are."""
     kind = docs.select(key).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for rows, _, _ in chunks(batches):
             ids, at = encoder.ids(texts_of(rows.column("text")))
-            yield pa.RecordBatch.from_arrays([rows.column(key), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], [key, "ids"])
+            out = {key: rows.column(key), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))}
+            if decoded:
+                out["decoded"] = bytes_of(ids, at, path)
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode_bytes(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for; null ids give null. An id outside the vocabulary is an error."""
+    """Adds the bytes that the ids stand for; null ids give null. An id outside the vocabulary, or null among ids, is an error."""
     fields = StructType([*encoded.schema.fields, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _tokens(path)
-        for batch in batches:
-            own = batch.column(batch.schema.get_field_index(ids))
-            texts = [None if x is None else b"".join([token[i] for i in x]) for x in own.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out])
+        for whole in batches:
+            place = whole.schema.get_field_index(ids)
+            offsets = whole.column(place).offsets.to_numpy()
+            a = 0
+            while a < len(whole):  # about DECODE_IDS at a time
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + DECODE_IDS, "right")) - 1)
+                batch = whole.slice(a, b - a)
+                own = batch.column(place)
+                if own.flatten().null_count:
+                    raise ValueError("a null among ids")
+                count = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+                texts = bytes_of(own.flatten().to_numpy(), np.concatenate([[0], np.cumsum(count)]), path)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(own.is_null(), None, texts)], [*batch.schema.names, out])
+                a = b
 
     return encoded.mapInArrow(run, fields)
 

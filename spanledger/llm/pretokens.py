@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
@@ -90,9 +91,9 @@ def folded(texts: pa.Array) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of pieces, with a bounded store of pieces already seen by this Python worker."""
+    """Ids of pieces, with a bounded store of pieces already seen by this Python worker. ``encode`` gives each piece's ids as unsigned 32-bit numbers."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[tuple[int, ...]]], join_space: bool, fold: bool = False, capacity: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], join_space: bool, fold: bool = False, capacity: int = 250_000):
         self.encode, self.join_space, self.fold, self.capacity, self.seen = encode, join_space, fold, capacity, {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +118,9 @@ class Encoder:
             seen.clear()
             new = [w for w, u in zip(distinct, used.tolist()) if u]
         seen.update(zip(new, self.encode(new)))
-        own = [seen[w] if u else () for w, u in zip(distinct, used.tolist())]
-        count = np.fromiter(map(len, own), np.int64, len(own))
-        ids = np.fromiter(chain.from_iterable(own), np.uint32, int(count.sum()))
+        own = [seen[w] if u else b"" for w, u in zip(distinct, used.tolist())]
+        count = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        ids = np.frombuffer(b"".join(own), np.uint32)
         each = count[index]
         before = np.concatenate([[0], np.cumsum(each)])
         return ids[ragged((np.cumsum(count) - count)[index], each)], before[rows]
@@ -139,8 +140,8 @@ def library_encoder(path: str, lower: bool) -> Encoder:
 
     model, letters = Tokenizer.from_file(path).model, byte_letters()
 
-    def encode(new: list[bytes]) -> list[tuple[int, ...]]:
-        return [tuple([t.id for t in model.tokenize(w.decode("latin-1").translate(letters))]) for w in new]
+    def encode(new: list[bytes]) -> list[bytes]:
+        return [array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(letters))]).tobytes() for w in new]
 
     return Encoder(encode, join_space=not lower, fold=lower)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm.byte_bpe import decode_bytes, encode_bytes, id_digest
+from spanledger.llm.byte_bpe import encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
 from spanledger.llm.embedding_dedup import embedding_dedup
 from spanledger.llm.jaccard_join import near_duplicates
@@ -35,7 +35,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    decoded = decode_bytes(encode_bytes(table(spark, sf_dir, "documents"), path), path)
+    decoded = encode_bytes(table(spark, sf_dir, "documents"), path, decoded=True)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
