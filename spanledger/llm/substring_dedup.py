@@ -188,7 +188,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", window: int = WINDOW, r
              .groupBy("bucket").applyInArrow(_older(window, key), "minimiser long, content long, run_from int, run_n int"))
     if often.count():
         older = older.unionByName(_older_by_window(strings.join(often, "minimiser", "left_semi"), window))
-    older = older.groupBy("minimiser", "content").agg(F.collect_list(F.struct("run_from", "run_n")).alias("runs"))
+    # Cut here, so that the join below has plain exchanges on both sides, which Spark can split where one content is hot.
+    older = cut_lineage(older.groupBy("minimiser", "content").agg(F.collect_list(F.struct("run_from", "run_n")).alias("runs")))
     judged = (found.join(firsts.select("minimiser", "content", F.col(key).alias("first")), ["minimiser", "content"])
               .join(older, ["minimiser", "content"], "left"))
     all_of_it = F.array(F.struct(F.lit(0).alias("run_from"), F.col("n").alias("run_n")))
