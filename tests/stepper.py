@@ -1,58 +1,72 @@
-"""Row-by-row restatement of the episode rules, the yardstick of the property tests.
+"""The yardstick of the property tests, from definitions over arrays.
 
-Rows are (service, start, end) in epoch seconds for one client.
+Rows are (service, start, end) in epoch seconds for one client. Records stand longest first where starts are equal. From one that counts, the next
+that counts is the first behind it that begins later, ends later and has enough time of its own, which runs from the later of its start
+and the end before. Its days are those of its own time, without a first day on which the time before ended.
 """
 
+from collections import Counter
+from itertools import groupby
+
+import numpy as np
+
 DAY = 86_400
 QUARTER = 900
 
 
-def d(t):
-    return t // DAY
+def arranged(rows):
+    own = np.array([(s, e) for _, s, e in rows], np.int64).reshape(-1, 2)
+    return own[np.lexsort((-own[:, 1], own[:, 0]))]
+
+
+def successors(own, least):
+    """Places of the records that count, each found from the one before."""
+    at, begin, end = -1, 0, 0
+    while True:
+        s, e = own[at + 1:].T
+        fits = np.flatnonzero((s > begin) & (e > end) & (e - np.maximum(s, end) >= least))
+        if not len(fits):
+            return
+        at += 1 + int(fits[0])
+        begin, end = own[at]
+        yield at
 
 
-def in_order(rows):
-    return sorted(rows, key=lambda r: (r[1], -r[2]))
+def days_of(begin, end, before):
+    """Days of the own time, as a set, less the day of the end before if it is the first."""
+    first = begin // DAY
+    return len({*range(first, end // DAY + 1)} - ({first} & {before // DAY}))
+
+
+def own_times(own, least):
+    kept = own[np.fromiter(successors(own, least), np.int64)]
+    ends = np.concatenate([[0], kept[:-1, 1]])[:len(kept)]
+    return kept[:, 0], np.maximum(kept[:, 0], ends), kept[:, 1], ends
 
 
 def label_days(rows, anchor, window_days, stay="Stay"):
-    lo = anchor - window_days * DAY
-    total, last_start, last_end = 0, 0, 0
-    for svc, s, e in in_order(rows):
-        e = min(e, anchor)
-        if svc == stay and s > last_start and e > last_end:
-            if d(s) >= d(lo) or d(e) >= d(lo):
-                a = max(lo, s, last_end)
-                if e - a >= QUARTER:
-                    total += d(e) - d(a) + (d(a) != d(last_end))
-            last_start, last_end = s, e
-    return total
+    low = anchor - window_days * DAY
+    own = arranged([r for r in rows if r[0] == stay])
+    own[:, 1] = np.minimum(own[:, 1], anchor)
+    start, begin, end, before = own_times(own, -np.inf)
+    begin = np.maximum(begin, low)
+    inside = (np.maximum(start, end) // DAY >= low // DAY) & (end - begin >= QUARTER)
+    return sum(days_of(*t) for t in np.stack([begin, end, before], 1)[inside].tolist())
+
+
+def clipped(rows, services, hi, lo):
+    """What lies in lo..hi of the records that touch it."""
+    low = -np.inf if lo is None else lo
+    return [(v, max(s, low), min(e, hi)) for v, s, e in rows if v in services and e >= low and max(s, low) <= hi]
 
 
 def timed_total(rows, service, hi, lo=None, stay="Stay"):
-    mine = [r for r in rows if r[0] == service]
-    if lo is not None:
-        mine = [(v, max(s, lo), e) for v, s, e in mine if e >= lo]
-    mine = [(v, s, min(e, hi)) for v, s, e in mine if s <= hi]
-    total, last_start, last_end = 0, 0, 0
-    for _, s, e in in_order(mine):
-        if s > last_start and e > last_end:
-            a = max(s, last_end)
-            if service == stay and e - a < QUARTER:
-                continue
-            total += d(e) - d(a) + (d(a) != d(last_end))
-            last_start, last_end = s, e
-    return total
+    _, begin, end, before = own_times(arranged(clipped(rows, {service}, hi, lo)), QUARTER if service == stay else -np.inf)
+    return sum(days_of(*t) for t in np.stack([begin, end, before], 1).tolist())
 
 
 def counted(rows, services, hi, lo=None):
-    mine = [r for r in rows if r[0] in services]
-    if lo is not None:
-        mine = [(v, max(s, lo), e) for v, s, e in mine if e >= lo]
-    mine = sorted((s, v, min(e, hi)) for v, s, e in mine if s <= hi)
-    out, ends, last = dict.fromkeys(services, 0), dict.fromkeys(services, 0), ""
-    for _, v, e in mine:
-        if e != ends[v] or v != last:
-            out[v] += 1
-            ends[v], last = e, v
-    return out
+    """Runs of equal service and end, by start and service."""
+    runs = groupby(sorted(clipped(rows, set(services), hi, lo), key=lambda r: (r[1], r[0], r[2])), key=lambda r: (r[0], r[2]))
+    n = Counter(v for (v, _), _ in runs)
+    return {v: n[v] for v in services}
