@@ -66,20 +66,25 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, c in enumerate(columns)]))))
 
 
-def _lookup(m: Sequence[Row]) -> dict[str, tuple[float, float]]:
-    return {r["feature"]: (r["mean"], r["std"]) for r in m}
+def fixed_moments(fitted: DataFrame) -> list[Row]:
+    """The moments, read once; the scalers take them in place of the table."""
+    return fitted.collect()
 
 
-def standard_scale(df: DataFrame, fitted: DataFrame) -> DataFrame:
+def _lookup(m: DataFrame | Sequence[Row]) -> dict[str, tuple[float, float]]:
+    return {r["feature"]: (r["mean"], r["std"]) for r in (m.collect() if isinstance(m, DataFrame) else m)}
+
+
+def standard_scale(df: DataFrame, fitted: DataFrame | Sequence[Row]) -> DataFrame:
     """Scaled columns first, as the scorer expects, the rest after. Moments are one row per column."""
-    m = _lookup(fitted.collect())
+    m = _lookup(fitted)
     return df.select(*[((col(c) - mu) / sd).alias(c) for c, (mu, sd) in m.items()],
                      *[col(c) for c in df.columns if c not in m])
 
 
-def inverse_scale(df: DataFrame, fitted: DataFrame, round_all: bool = True) -> DataFrame:
+def inverse_scale(df: DataFrame, fitted: DataFrame | Sequence[Row], round_all: bool = True) -> DataFrame:
     """Back to the original range; ``rint`` rounds halves to even."""
-    m = _lookup(fitted.collect())
+    m = _lookup(fitted)
     back = {c: col(c) * sd + mu for c, (mu, sd) in m.items() if c in df.columns}
     return df.withColumns({c: F.rint(x) if round_all else x for c, x in back.items()})
 

@@ -7,6 +7,7 @@ scored by the model as ordinary rows, and one weighted ridge fit per example giv
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -63,6 +64,19 @@ def _unit(tag: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(tag)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
 
 
+def _draw(u: Column, cum: np.ndarray) -> Column:
+    """How many cumulative shares are at most ``u``: every ``steps``-th is looked at, then those between."""
+    if not len(cum):
+        return F.lit(0)
+    steps = math.isqrt(len(cum)) + 1
+
+    def count(v: Column) -> Column:
+        coarse = F.size(F.filter(F.lit(cum[steps - 1::steps]), lambda x: x <= v)) if len(cum) >= steps else F.lit(0)
+        return F.transform(F.array(coarse), lambda c: c * steps + F.size(F.filter(F.slice(F.lit(cum), c * steps + 1, steps), lambda x: x <= v)))[0]
+
+    return F.transform(F.array(u), count)[0]
+
+
 def perturb(examples: DataFrame, ex: Explainer, key: str, samples: int, seed: int = 7) -> DataFrame:
     """(key, sample, <features>, same): drawn neighbours of each example, sample 0 is the example itself.
 
@@ -76,12 +90,8 @@ def perturb(examples: DataFrame, ex: Explainer, key: str, samples: int, seed: in
     for i, f in enumerate(ex.features):
         ids = (F.col(key), F.col("sample"))
         u = _unit(seed * 1_000 + 3 * i, *ids)
-        cum = np.cumsum([r[1] for r in ex.table[f]])
-        slot = F.lit(ex.table[f][-1][0])
-        pick = F.lit(len(cum) - 1)
-        for j in range(len(cum) - 2, -1, -1):
-            slot = F.when(u < float(cum[j]), ex.table[f][j][0]).otherwise(slot)
-            pick = F.when(u < float(cum[j]), j).otherwise(pick)
+        pick = _draw(u, np.cumsum([r[1] for r in ex.table[f]])[:-1])
+        slot = F.element_at(F.lit(np.array([r[0] for r in ex.table[f]])), pick + 1)
         if f in ex.numeric:
             own = _bin(f, ex.edges)
             r = F.element_at(F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(t[2:], ("m", "s", "lo", "hi"))])

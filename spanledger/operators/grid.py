@@ -223,9 +223,8 @@ def window_timed(rows: DataFrame, grid: Grid, cfg: Settings) -> DataFrame:
            .select("client", "service", "k", F.greatest("s", "w0").alias("s"), F.least("e", "w1").alias("e"))
            .where(F.col("e") - F.col("s") >= MIN_STAY_SECONDS)
            .groupBy("client", "service", "k", "s").agg(F.max("e").alias("e")))
-    small = grid.step <= 31 * DAY
     a = F.greatest("s", F.coalesce("last", F.lit(0)))
-    stays = (thin_spans(cut, ["client", "service", "k"], bucketed=not small)
+    stays = (thin_spans(cut, ["client", "service", "k"], bucketed=True)
              .groupBy("client", "service", "k").agg(F.sum(span_days(a, F.col("e"), F.col("last"))).alias("value")))
     return timed.unionByName(stays)
 

@@ -30,6 +30,14 @@ def with_weights(df: DataFrame, label: str, pos_weight: float) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, w[1]).otherwise(w[0]))
 
 
+def replicated(df: DataFrame, weight: str = "weight") -> DataFrame:
+    """Rows repeated in proportion to their weight, to the nearest whole number, for a model that takes no weights."""
+    low = df.where(F.col(weight) > 0).agg(F.min(weight)).first()[0]
+    if low is None:
+        return df
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col(weight) / low)).cast("int")))).drop("_copy")
+
+
 def estimator(kind: str, label: str, seed: int, width: int, weight: str | None = None, **params):
     common = {"labelCol": label, "featuresCol": "features"}
     if weight and kind != "mlp":
@@ -51,6 +59,8 @@ def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int
     rows = df.withColumn(label, F.col(label).cast("int"))
     if pos_weight is not None:
         rows = with_weights(rows, label, pos_weight)
+        if kind == "mlp":
+            rows = replicated(rows)
     rows = assemble(rows, columns).withColumn(label, F.col(label).cast("double"))
     return estimator(kind, label, seed, len(columns), "weight" if pos_weight is not None else None, **params).fit(rows)
 
@@ -97,14 +107,11 @@ METRICS = ("recall", "f1score", "precision", "auc", "loss", "accuracy")
 
 def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str, scaled: Sequence[str], seed: int = 7,
                 pos_weight: float | None = None, **params) -> dict[str, float]:
-    """Scale on train, fit on train, measure on test. ``parts`` has a ``role`` column."""
-    parts = parts.persist()
+    """Scale on train, fit on train, measure on test. ``parts`` has a ``role`` column; who runs several rounds keeps it cached meanwhile."""
     train = parts.where("role = 'train'")
-    fitted = encode.moments(train, list(scaled))
+    fitted = encode.fixed_moments(encode.moments(train, list(scaled)))
     model = fit(kind, encode.standard_scale(train, fitted), columns, label, seed, pos_weight, **params)
-    out = run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label)
-    parts.unpersist()
-    return out
+    return run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label)
 
 
 def _table(spark, rows: list[dict], first: str) -> DataFrame:
@@ -114,20 +121,20 @@ def _table(spark, rows: list[dict], first: str) -> DataFrame:
 
 def multi_run(parts: DataFrame, runs: int, parallel: int = 4, seed: int = 7, **kw) -> DataFrame:
     """(run, metrics...): the same round under different seeds, several at a time."""
+    parts = parts.persist()
     with ThreadPool(parallel) as pool:
         rows = pool.map(lambda i: {"run": i} | train_round(parts, seed=seed + i, **kw), range(1, runs + 1))
+    parts.unpersist()
     return _table(parts.sparkSession, rows, "run")
 
 
 def kfold_cv(df: DataFrame, key: str, k: int, seed: int = 7, parallel: int = 2, **kw) -> DataFrame:
     """(fold, metrics...) of a k-fold cross validation; validation folds are as large as test folds."""
-    df = df.persist()
     folds = split.kfold_assign(df, key, k, seed).persist()
     with ThreadPool(parallel) as pool:
         rows = pool.map(lambda i: {"fold": i + 1} | train_round(folds.withColumn("role", split.fold_role(F.col("fold"), i, k)).drop("fold"), **kw),
                         range(k))
     folds.unpersist()
-    df.unpersist()
     return _table(df.sparkSession, rows, "fold")
 
 

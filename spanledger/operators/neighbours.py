@@ -9,6 +9,8 @@ k candidates per compared block. Over-sampling follows SMOTE (Chawla 2002) and A
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -18,7 +20,6 @@ from spanledger.functions.ordered import hash_rank
 from spanledger.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
 # Distances are compared with this slack, so rounding cannot rule out a true neighbour.
 SLACK = 1e-9
 
@@ -34,7 +35,7 @@ def _cells(df: DataFrame, pivots: np.ndarray, block_rows: int, seed: int) -> Dat
 
     rows = df.select("id", "x").mapInPandas(assign, "id long, x array<double>, cell int, pd double")
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_chunks"))
-    # One row per cell, at most MAX_PIVOTS.
+    # One row per cell.
     return (rows.join(F.broadcast(sizes), "cell")
             .withColumn("chunk", F.pmod(mix(F.col("id"), seed), F.col("_chunks")).cast("int")).drop("_chunks"))
 
@@ -50,14 +51,22 @@ def _compare(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> Dat
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "nb": [], "d2": []})
         x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        nbs, out = b["id"].to_numpy(), []
-        for i, v in zip(a["id"].to_numpy(), x):
-            d = ((y - v) ** 2).sum(1)
-            d[nbs == i] = np.inf
-            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-            near = near[np.isfinite(d[near])]
-            near = near[np.lexsort((nbs[near], d[near]))][:k]
-            out.append(pd.DataFrame({"id": i, "nb": nbs[near], "d2": d[near]}))
+        ids, nbs = a["id"].to_numpy(), b["id"].to_numpy()
+        size, out = (y * y).sum(1), []
+        for at in range(0, len(x), 512):
+            own, who = x[at:at + 512], ids[at:at + 512]
+            # By one product, with slack for its rounding; the few that may be nearest are measured again.
+            about = size[None, :] - 2 * own @ y.T + (own * own).sum(1)[:, None]
+            about[who[:, None] == nbs[None, :]] = np.inf
+            most = np.partition(about, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            slack = 1e-9 * (size.max() + (own * own).sum(1))
+            row, column = np.nonzero((about <= (most + slack)[:, None]) & np.isfinite(about))
+            d2 = ((own[row] - y[column]) ** 2).sum(1)
+            order = np.lexsort((nbs[column], d2, row))
+            row, column, d2 = row[order], column[order], d2[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < k
+            out.append(pd.DataFrame({"id": who[row[keep]], "nb": nbs[column[keep]], "d2": d2[keep]}))
         return pd.concat(out)
 
     keys = lkeys + rkeys
@@ -76,18 +85,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int, seed: int = 7, block_rows:
     Both sides have ``id`` and ``x``. Exact.
     """
     n = base.count()
-    n_pivots = int(min(MAX_PIVOTS, max(1, n // block_rows)))
+    # Cells and their number both grow with the root of the table.
+    n_pivots = min(max(1, n // block_rows), 1 + math.isqrt(n) // 8)
     chosen = base.withColumn("_h", mix(F.col("id"), seed)).orderBy("_h", "id").limit(n_pivots).collect()
     if not chosen:
         return queries.select("id", F.lit(0).cast("long").alias("nb"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).where("false")
     pivots = np.array([r["x"] for r in chosen])
     left, right = _cells(queries, pivots, block_rows, seed), _cells(base, pivots, block_rows, seed)
     lblocks = left.groupBy("cell", "chunk").agg(F.max("pd").alias("far"))
-    if n_pivots == 1 and n <= block_rows:
-        pairs = (lblocks.select(F.col("cell").alias("lcell"), F.col("chunk").alias("lchunk"))
-                 .withColumns({"rcell": F.lit(0), "rchunk": F.lit(0)}))
-        return _best(_compare(left, right, pairs, k), k)
-
     own = (lblocks.select(F.col("cell").alias("lcell"), F.col("chunk").alias("lchunk"))
            .withColumn("rcell", F.col("lcell")).withColumn("rchunk", F.lit(0)))
     first = cut_lineage(_compare(left, right, own, k))
@@ -162,7 +167,9 @@ def adasyn_weights(df: DataFrame, label: str, k: int = 5, **kw) -> DataFrame:
     other = df.select(F.col("id").alias("nb"), (F.col(label) != few).cast("int").alias("_o"))
     ratio = near.join(other, "nb").groupBy("id").agg((F.sum("_o") / F.lit(float(k))).alias("ratio"))
     ratio = cut_lineage(ratio)
-    return ratio.withColumn("n_new", F.rint(F.col("ratio") / ratio.agg(F.sum("ratio")).scalar() * need).cast("long"))
+    # Where no minority row has a neighbour of another class, none is due.
+    share = F.try_divide(F.col("ratio"), ratio.agg(F.sum("ratio")).scalar())
+    return ratio.withColumn("n_new", F.coalesce(F.rint(share * need).cast("long"), F.lit(0).cast("long")))
 
 
 def adasyn(df: DataFrame, label: str, k: int = 5, seed: int = 7, **kw) -> DataFrame:

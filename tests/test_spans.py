@@ -98,11 +98,7 @@ def test_running_totals_match_the_stepper(rows, histories):
     assert got == want
 
 
-@pytest.mark.parametrize("bucketed", [False, True])
-def test_step_windows_match_the_stepper(rows, histories, bucketed, monkeypatch):
-    if bucketed:
-        thin = G.thin_spans
-        monkeypatch.setattr(G, "thin_spans", lambda r, k, bucketed: thin(r, k, bucketed=True))
+def test_step_windows_match_the_stepper(rows, histories):
     names = {"Stay": "a", "Housing": "b", "Food": "c", "Ride": "d"}
     got = as_dict(G.step_features(G.window_timed(rows, GRID, CFG).unionByName(G.window_counted(rows, GRID, CFG)), names),
                   *names.values())

@@ -256,3 +256,38 @@ def test_text_list_counts_repeats_and_cuts(spark):
     df = spark.createDataFrame([(1, "bb")] * 50 + [(1, "a"), (2, None), (3, "z")], "k int, m string")
     got = {r["k"]: r["t"] for r in X.text_list(df, "k", "m", "t").collect()}
     assert got == {1: ("a" + "|bb" * 50)[:30], 3: "z"}
+
+
+def test_perturb_with_thousands_of_codes(spark):
+    table = {"f": [(i, 1 / 5000, 0.0, 0.0, 0.0, 0.0) for i in range(5000)]}
+    ex = L.Explainer((), ("f",), {}, table, {})
+    one = spark.createDataFrame([(1, 7.0), (2, 0.0)], "id long, f double")
+    got = L.perturb(one, ex, "id", 400).collect()
+    assert all(r.f == 0 for r in got if r.id == 2)
+    drawn = {r.f for r in got if r.id == 1 and r["sample"]}
+    assert len(drawn) > 300 and drawn <= set(range(5000))
+
+
+def test_adasyn_of_separated_classes(spark):
+    rows = [(i, [float(i), 0.0], 1) for i in range(6)] + [(100 + i, [float(i), 1e6], 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    assert {r.n_new for r in B.adasyn_weights(df, "y", k=3).collect()} == {0}
+    assert B.adasyn(df, "y", k=3).count() == 0
+
+
+def test_knn_over_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.standard_normal((150, 3)), np.zeros((5, 3))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    got = {}
+    for r in B.knn(df, df, 4, block_rows=16).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.nb
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        assert [got[i][k] for k in range(1, 5)] == np.lexsort((np.arange(len(x)), d[i]))[:4].tolist()
+
+
+def test_weights_of_a_model_without_weights(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 0.5), (3, 0.0)], "id int, weight double")
+    assert {r.id: r["count"] for r in models.replicated(df).groupBy("id").count().collect()} == {1: 4, 2: 1, 3: 1}
