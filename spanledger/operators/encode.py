@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
@@ -23,9 +24,17 @@ def onehot_multi(df: DataFrame, keys: Sequence[str], vocab: Mapping[str, Sequenc
 
 
 def _code(feature: str, values: Sequence[str]) -> Column:
-    """Code of a value by its position in the vocabulary; one array lookup, inside codegen."""
-    pos = F.array_position(F.array(*[F.lit(v) for v in values]).cast("array<string>"), col(feature).cast("string"))
-    return F.when(pos > 0, pos.cast("int")).otherwise(UNKNOWN_CODE)
+    """Code of a value by its position in the vocabulary. A long one is in lexical order and is searched in two short scans."""
+    value, known = col(feature).cast("string"), F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    if len(values) <= 64 or list(values) != sorted(values):
+        pos = F.array_position(known, value)
+        return F.when(pos > 0, pos.cast("int")).otherwise(UNKNOWN_CODE)
+    steps = math.isqrt(len(values)) + 1
+    heads = F.array(*[F.lit(v) for v in values[::steps]]).cast("array<string>")
+    first = F.greatest(F.size(F.filter(heads, lambda x: x <= value)) - 1, F.lit(0)) * steps
+    inside = lambda b: F.array_position(F.slice(known, b + 1, steps), value)
+    at = F.transform(F.array(first), lambda b: F.when(inside(b) > 0, inside(b) + b))[0]
+    return F.when(at > 0, at.cast("int")).otherwise(UNKNOWN_CODE)
 
 
 def ordinal_encode(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFrame:

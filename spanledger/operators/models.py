@@ -106,11 +106,12 @@ METRICS = ("recall", "f1score", "precision", "auc", "loss", "accuracy")
 
 
 def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str, scaled: Sequence[str], seed: int = 7,
-                pos_weight: float | None = None, **params) -> dict[str, float]:
-    """Scale on train, fit on train, measure on test. ``parts`` has a ``role`` column; who runs several rounds keeps it cached meanwhile."""
+                pos_weight: float | None = None, balance: Callable[[DataFrame], DataFrame] | None = None, **params) -> dict[str, float]:
+    """Scale on train, balance it, fit, measure on test. ``parts`` has a ``role`` column; who runs several rounds keeps it cached meanwhile."""
     train = parts.where("role = 'train'")
     fitted = encode.fixed_moments(encode.moments(train, list(scaled)))
-    model = fit(kind, encode.standard_scale(train, fitted), columns, label, seed, pos_weight, **params)
+    ready = encode.standard_scale(train, fitted)
+    model = fit(kind, balance(ready) if balance else ready, columns, label, seed, pos_weight, **params)
     return run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanledger.config import Settings
 from spanledger.functions.exprs import col, mix
 from spanledger.operators import cluster as K, encode, explain as L, metrics as M, models, neighbours, split
+from spanledger.operators.answers import questionnaire
 from spanledger.plans.dataset import Dataset, FeatureMeta, label_table, series_dataset, static_dataset
 from spanledger.sources import sinks
 
@@ -20,8 +21,12 @@ KINDS = {"logreg": LogisticRegressionModel, "forest": RandomForestClassification
 
 
 def preprocess(episodes: DataFrame, cfg: Settings, out: str, series: bool, answers: DataFrame | None = None) -> Dataset:
-    """Builds the training dataset, stores both forms and the feature meta-data, returns what was stored."""
+    """Builds the training dataset, stores both forms and the feature meta-data, returns what was stored.
+
+    ``answers`` are raw questionnaire records (columns of ``read_answers``) or a table with one row per client. With
+    ``include_answers`` or ``answers_only`` set they are needed, and in a static dataset they are joined as known at the label date."""
     spark = episodes.sparkSession
+    answers = answer_table(answers, cfg, series)
     ds = series_dataset(episodes, cfg) if series else static_dataset(episodes, cfg, answers=answers)
     by = ["Date"] if series else []
     sinks.write_dataset(ds.features, f"{out}/features", by)
@@ -33,6 +38,15 @@ def preprocess(episodes: DataFrame, cfg: Settings, out: str, series: bool, answe
     return load_dataset(spark, out)
 
 
+def answer_table(answers: DataFrame | None, cfg: Settings, series: bool, when: str | None = None) -> DataFrame | None:
+    """One row per client, from raw records where those are given; an error where the settings ask for answers and there are none."""
+    if answers is None:
+        if (cfg.include_answers or cfg.answers_only) and not series:
+            raise ValueError("the settings ask for answers, but none are given")
+        return None
+    return questionnaire(answers, when or cfg.label_date) if "QuestionE" in answers.columns else answers
+
+
 def load_dataset(spark: SparkSession, path: str) -> Dataset:
     features, encoded = spark.read.parquet(f"{path}/features"), spark.read.parquet(f"{path}/encoded")
     keys = ("ClientID", "Date") if "Date" in features.columns else ("ClientID",)
@@ -123,7 +137,10 @@ def train(ds: Dataset, cfg: Settings, kind: str, **params) -> Trained:
 
 def experiment(ds: Dataset, cfg: Settings, kind: str, what: str = "single_train", ranges: dict | None = None, **params):
     """Dispatch: single_train, multi_train, hparam_search or cross_validation."""
-    common = dict(kind=kind, columns=inputs(ds), label=LABEL, scaled=numeric_inputs(ds))
+    columns = inputs(ds)
+    # The strategy for unequal classes holds in every round of every experiment.
+    common = dict(kind=kind, columns=columns, label=LABEL, scaled=numeric_inputs(ds), balance=lambda rows: rebalance(rows, columns, cfg),
+                  pos_weight=cfg.train.pos_weight if cfg.train.imbalance == "class_weight" else None)
     if what == "single_train":
         return train(ds, cfg, kind, **params)
     if what == "multi_train":
@@ -172,10 +189,11 @@ def fit_explainer(ds: Dataset) -> L.Explainer:
 
 
 def predict(episodes: DataFrame, cfg: Settings, meta: FeatureMeta, trained: Trained, series: bool,
-            feature_values: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(result table, ordinal features) for raw records, with everything fitted in training reused."""
+            feature_values: bool = True, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(result table, ordinal features) for raw records, with everything fitted in training reused; ``answers`` as in ``preprocess``."""
     now = replace(cfg, horizon_weeks=0)
-    ds = series_dataset(episodes, now, meta, training=False) if series else static_dataset(episodes, now, meta, include_label=False)
+    ds = (series_dataset(episodes, now, meta, training=False) if series
+          else static_dataset(episodes, now, meta, include_label=False, answers=answer_table(answers, now, series)))
     scored = trained.score(ds.encoded).select(*ds.keys, "p")
     rows = ds.features.join(scored, list(ds.keys))
     named = encode.decode_ordinal(rows, {f: vs for f, vs in meta.single.items() if f in rows.columns})

@@ -62,6 +62,29 @@ def test_balancing_strategies(stored, how):
     assert jobs.train(stored, cfg, "logreg", maxIter=5).metrics.count() == 18
 
 
+def test_every_round_is_balanced(stored, monkeypatch):
+    """The strategy of the settings reaches each training round, with its weight."""
+    seen = []
+    fit = jobs.models.fit
+
+    def watch(kind, df, columns, label, seed=7, pos_weight=None, **params):
+        n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+        seen.append((max(n.values()) - min(n.values()) if len(n) > 1 else None, pos_weight))
+        return fit(kind, df, columns, label, seed, pos_weight, **params)
+
+    monkeypatch.setattr(jobs.models, "fit", watch)
+    jobs.experiment(stored, replace(CFG, train=replace(CFG.train, imbalance="random_oversample")), "logreg", "cross_validation", maxIter=2)
+    assert len(seen) == CFG.kfolds and all(gap in (0, 1, None) for gap, _ in seen)
+    seen.clear()
+    jobs.experiment(stored, replace(CFG, train=replace(CFG.train, imbalance="class_weight")), "logreg", "cross_validation", maxIter=2)
+    assert {w for _, w in seen} == {CFG.train.pos_weight}
+
+
+def test_settings_that_ask_for_answers_need_them(episodes, tmp_path):
+    with pytest.raises(ValueError, match="answers"):
+        jobs.preprocess(episodes, replace(CFG, include_answers=True), str(tmp_path / "x"), series=False)
+
+
 def test_cross_validation_tables(stored):
     folds, summary = jobs.experiment(stored, CFG, "logreg", "cross_validation", maxIter=5)
     assert folds.count() == 3 and summary.count() == 6

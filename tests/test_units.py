@@ -291,3 +291,10 @@ def test_knn_over_many_blocks(spark):
 def test_weights_of_a_model_without_weights(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 0.5), (3, 0.0)], "id int, weight double")
     assert {r.id: r["count"] for r in models.replicated(df).groupBy("id").count().collect()} == {1: 4, 2: 1, 3: 1}
+
+
+def test_codes_of_a_long_vocabulary(spark):
+    values = sorted({f"v{i * 7919 % 100_003}" for i in range(1500)} | {"é", "", "Z"})
+    rows = [(v,) for v in values] + [("zz",), ("v",), (None,), ("a",)]
+    got = N.ordinal_encode(spark.createDataFrame([(r[0], r[0]) for r in rows], "f string, g string"), {"f": values}).collect()
+    assert {r.g: r.f for r in got} == {v: values.index(v) + 1 if v in values else -1 for v, in rows}
