@@ -165,6 +165,8 @@ class Clustering:
     gamma: float
     cost: float
     iterations: int
+    # False where the most iterations allowed were used up while centroids still moved.
+    converged: bool = True
 
 
 def kprototypes(df: DataFrame, k: int, n_runs: int = 15, max_iter: int = 100, seed: int = 7, gamma: float | None = None) -> Clustering:
@@ -197,7 +199,7 @@ def kprototypes(df: DataFrame, k: int, n_runs: int = 15, max_iter: int = 100, se
             still = all(np.allclose(a.x, b.x, rtol=0, atol=1e-9) and a.c == b.c for a, b in zip(moved, runs[r]))
             runs[r] = moved
             if still or it == max_iter:
-                done[r] = Clustering(moved, gamma, cost[r], it)
+                done[r] = Clustering(moved, gamma, cost[r], it, still)
                 del runs[r]
         if not runs:
             break

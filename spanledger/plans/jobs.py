@@ -126,13 +126,18 @@ def train(ds: Dataset, cfg: Settings, kind: str, **params) -> Trained:
     """Split, scale on the training part, balance, fit, and measure on the test part."""
     columns = inputs(ds)
     parts = split_roles(ds, cfg).persist()
+    # One row per column: read once, and kept as values.
     fitted = encode.moments(parts.where("role = 'train'"), numeric_inputs(ds))
+    fitted = parts.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
     ready = rebalance(encode.standard_scale(parts.where("role = 'train'"), fitted), columns, cfg)
     pos_weight = cfg.train.pos_weight if cfg.train.imbalance == "class_weight" else None
     model = models.fit(kind, ready, columns, LABEL, cfg.seed, pos_weight, **params)
     out = Trained(kind, model, fitted, columns)
     scored = out.score(parts.where("role = 'test'"))
-    return replace(out, metrics=models.evaluate(scored, cfg.train.thresholds, LABEL))
+    metrics = models.evaluate(scored, cfg.train.thresholds, LABEL)
+    metrics = parts.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
+    parts.unpersist()
+    return replace(out, metrics=metrics)
 
 
 def experiment(ds: Dataset, cfg: Settings, kind: str, what: str = "single_train", ranges: dict | None = None, **params):
