@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import fresh_names
+from spanledger.llm.common import cut_lineage, fresh_names
 
 # White space between words, and symbols.
 GAP = r"[\x20\x09-\x0D]+"
@@ -26,8 +26,10 @@ RULES = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "wor
          "same_lines": ("n_dup_lines", "n_lines")}
 RISK, ERROR, COST = 0.02, 0.05, 20
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Labels that may be broadcast to pick their documents before the figures are made (about 10 MB); more are joined with the figures of all.
-PICKED_LABELS = 500_000
+#: Strata whose cutoffs may be broadcast (less than 5 MB).
+BROADCAST_STRATA = 10_000
+#: Labels that may be broadcast to pick their documents before the figures are made (about 15 MB as a hash table); more are joined with the figures of all.
+PICKED_LABELS = 200_000
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -130,8 +132,9 @@ def chosen_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ke
         *(F.count(F.when(over(r, F.lit(c)) & (F.col("quality") == q), 1)).alias(f"{r}_{c}_{q}") for r in RULES for c in GRID for q in (0, 1)))
     cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.lit(i).alias("level"), F.col(f"{r}_{c}_0").alias("bad"), F.col(f"{r}_{c}_1").alias("good"))
                       for r in RULES for i, c in enumerate(GRID)))
-    strata = F.broadcast(wide.agg(F.count("*").alias("n_strata")))
-    limit = wide.crossJoin(strata).withColumn("allowed", allowed_false(F.col("n_good"), risk / len(RULES), error / (len(RULES) * F.col("n_strata"))))
+    wide = cut_lineage(wide)
+    each_error = error / (len(RULES) * max(1, wide.count()))
+    limit = wide.withColumn("allowed", allowed_false(F.col("n_good"), risk / len(RULES), F.lit(each_error)))
     each = limit.select("stratum", "n_good", "allowed", F.inline(cells))
     walk = Window.partitionBy("stratum", "rule").orderBy("level")
     passed = each.withColumn("stop", F.max((F.col("good") > F.col("allowed")).cast("int")).over(walk)).where("stop = 0")
@@ -144,13 +147,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key
     """All columns of ``docs``, the figures, ``base_failed``, ``rejected_by`` (names of rules, null if none) and ``kept``.
 
     Rows stay one for one, also repeated ones; a null key, text or stratum crashes nothing. The map of cutoffs is one row per stratum (the strata are
-    those of the labelled rows) and is joined to the rows; Spark may broadcast it by its size."""
+    those of the labelled rows); it is broadcast up to BROADCAST_STRATA rows and joined by stratum beyond."""
     figures = text_figures(docs)
     cuts = chosen_cutoffs(docs.drop(*FIGURES), labels, stratum, key, **limits).groupBy("stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     mine, cut = fresh_names(figures, "stratum", "cuts")
     own = figures.withColumn(mine, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    judged = own.join(cuts.select(F.col("stratum").alias(mine), F.col("cuts").alias(cut)), mine, "left")
+    cuts = cut_lineage(cuts.select(F.col("stratum").alias(mine), F.col("cuts").alias(cut)))
+    judged = own.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts, mine, "left")
     hits = F.filter(F.array(*(F.when(over(r, F.col(cut)[r]), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
     judged = judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.when(F.size(hits) > 0, F.array_join(hits, ",")))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop(mine, cut)

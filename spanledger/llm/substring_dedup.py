@@ -27,7 +27,7 @@ RUN = 8
 BUCKET_WORDS = 1_500_000
 #: A minimiser with more different contents is dealt out by window instead of sorted in one bucket.
 HOT_CONTENTS = 20_000
-#: Documents whose keys may be broadcast to pick their texts before a shuffle (about 8 MB); more are joined by key.
+#: Documents whose keys may be broadcast to pick their texts before a shuffle (about 35 MB as a hash table); more are joined by key.
 PICKED_DOCS = 500_000
 SUPER = "start int, n int, minimiser long, content long"
 
