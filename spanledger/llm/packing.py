@@ -118,7 +118,7 @@ def best_fit_packing(items: DataFrame, length: str = "length", capacity: int = C
     names = [*df.columns, "sequence_id", "offset"]
     done = [now.where(F.col("fill") == capacity)]
     left = now.where(F.col("fill") < capacity)
-    parts, before = now.rdd.getNumPartitions(), None
+    parts, before = max(1, now.rdd.getNumPartitions()), None
     while True:
         # Neighbouring partitions meet without a shuffle: a bin's items stand in one partition already.
         now = cut_lineage(pack_round(left.coalesce(parts).sortWithinPartitions("sequence_id", "offset"), capacity))
