@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanledger.llm.common import cut_lineage, fresh_names
 
 RATIO = 0.3
-#: Hosts with fewer pages say nothing about frequency and keep all lines.
+#: Hosts with fewer pages keep all lines, unless a caller passes another ``min_pages``; the SQL of op5 has this floor.
 MIN_PAGES = 20
 #: Boilerplate lines of all hosts together that may be broadcast (about 5 MB); more are joined by host.
 BROADCAST_LINES = 100_000
@@ -31,7 +31,8 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host and its boilerplate lines as sorted keys. A page counts a line once. At most (lines per page) / ratio keys per host pass.
+    """host and its boilerplate lines as sorted keys. A page counts a line once, and a line of a single page is none, whatever the ratio.
+    At most (lines per page) / ratio keys per host pass.
 
     The hot host and the hot line are summed where they lie before a shuffle; only hashes travel."""
     rows = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
@@ -39,7 +40,7 @@ def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float
     lines = rows.select("host", F.explode(F.array_distinct(F.transform(F.split("body", "\n"), line_key))).alias("line")).where("line is not null")
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
     # A line over the ratio is on min_pages * ratio pages at least.
-    often = counted.where(F.col("n") > ratio * min_pages).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    often = counted.where((F.col("n") > 1) & (F.col("n") > ratio * min_pages)).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
