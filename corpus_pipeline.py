@@ -41,9 +41,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5, for sources of any size: boilerplate lines of a source go; a document whose lines are all boilerplate stays, with an empty text."""
+    """Operator 5, for sources of any size: boilerplate lines of a source go; a document whose lines are all boilerplate stays, with an empty text.
+
+    Copies of a document count as one page of the source: which of them stays is for the next stage."""
     used = ("text", "source")
-    return _back(docs, drop_boilerplate(_aside(docs, *used), F.col("source"), min_pages=1), used, F.col("text"), F.col("n_removed") > 0)
+    return _back(docs, drop_boilerplate(_aside(docs, *used), F.col("source"), min_pages=1, copies=False), used, F.col("text"), F.col("n_removed") > 0)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

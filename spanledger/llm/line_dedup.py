@@ -30,26 +30,34 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.md5(bare))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """host and its boilerplate lines as sorted keys. A page counts a line once, and a line of a single page is none, whatever the ratio.
-    At most (lines per page) / ratio keys per host pass.
+    At most (lines per page) / ratio keys per host pass. Without ``copies``, pages of a host with equal text are one page.
 
     The hot host and the hot line are summed where they lie before a shuffle; only hashes travel."""
     rows = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    lines = rows.select("host", F.explode(F.array_distinct(F.transform(F.split("body", "\n"), line_key))).alias("line")).where("line is not null")
+    keys = F.array_distinct(F.transform(F.split("body", "\n"), line_key))
+    if copies:
+        one, keyed = rows.select("host"), rows.select("host", keys.alias("keys"))
+    else:
+        # Copies meet by the hash of their text; of each text one array of hashes travels.
+        hashed = rows.select("host", F.unhex(F.md5("body")).alias("copy"), "body")
+        one = hashed.select("host", "copy").distinct().select("host")
+        keyed = hashed.select("host", "copy", keys.alias("keys")).groupBy("host", "copy").agg(F.any_value("keys").alias("keys")).select("host", "keys")
+    totals = one.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    lines = keyed.select("host", F.explode("keys").alias("line")).where("line is not null")
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
     # A line over the ratio is on min_pages * ratio pages at least.
     often = counted.where((F.col("n") > 1) & (F.col("n") > ratio * min_pages)).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """All columns of ``pages`` with the text less its host's boilerplate lines, and ``n_lines``, ``n_removed``.
 
     Null text stays null with no lines; a page without boilerplate keeps its text as it is; a null host is the host ''. Rows stay one for one, also
-    repeated ones. Columns called n_lines or n_removed are replaced."""
-    found = cut_lineage(boilerplate(pages, host, text, ratio, min_pages))
+    repeated ones. Without ``copies``, a large group of copies is not its host's boilerplate. Columns called n_lines or n_removed are replaced."""
+    found = cut_lineage(boilerplate(pages, host, text, ratio, min_pages, copies))
     small = (found.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES
     own, gone, left = fresh_names(pages, "host", "lines", "left")
     marks = found.select(F.col("host").alias(own), F.col("lines").alias(gone))

@@ -1,7 +1,8 @@
 """What earlier rounds left out: small sources, copies as pages, marker texts."""
 
+import random
+
 import corpus_pipeline as P
-from pyspark.sql import functions as F
 
 from brute import DOC
 
@@ -17,3 +18,16 @@ def test_small_sources_lose_their_lines_too(sp):
     for i, (text, source) in enumerate(own):
         # One page says nothing about its site; two of eight pages are under the ratio.
         assert left[i] == (text if source in ("s1", "s8") else text.split("\n")[1])
+
+
+def test_a_group_of_copies_keeps_one_document(sp):
+    rng = random.Random(4)
+    text = lambda: "\n".join(" ".join(f"w{rng.randrange(5000)}" for _ in range(20)) for _ in range(4))
+    spread, inside = text(), text()
+    own = [(spread if i % 3 == 0 else f"menu\n{text()}", f"s{i % 4}") for i in range(240)]
+    own += [(inside if i % 2 else f"menu\n{text()}", "s9") for i in range(30)]
+    lines = P.drop_site_lines(sp, documents(sp, own), "").cache()
+    assert all(r.text for r in lines.collect()) and not any("menu" in r.text for r in lines.collect())
+    left = [r.text for r in P.keep_one_of_each(sp, lines, "").collect()]
+    assert left.count(spread) == left.count(inside) == 1
+    assert len(left) == sum(t not in (spread, inside) for t, _ in own) + 2
