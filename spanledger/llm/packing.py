@@ -32,13 +32,13 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """One row per piece of every document: its ids and the end id, cut from the end into pieces of ``capacity``; the first may be shorter.
 
-    Null text is empty and gives one piece with the end id alone. A null or repeated key is kept as it is.
+    Null text is empty and gives one piece with the end id alone. Added tokens of the file are one id each. A null or repeated key is kept as it is.
     ``keep_ids`` adds the ids themselves as an array."""
     kind = docs.select(key).dtypes[0][1]
     fields = f"{key} {kind}, {PIECES}" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path, lower=False)
+        encoder = library_encoder(path, lower=False, added=True)
         for rows, _, _ in chunks(batches):
             ids, at = encoder.ids(texts_of(rows.column("text")))
             out: list[list] = [[], [], [], [], []]

@@ -7,6 +7,8 @@ runs of letters, numbers, white space and the rest; a space joins the run behind
 from __future__ import annotations
 
 import base64
+import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -15,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from spanledger.llm.arrays import ragged
 
@@ -91,13 +94,37 @@ def folded(texts: pa.Array) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of pieces, with a bounded store of pieces already seen by this Python worker. ``encode`` gives each piece's ids as unsigned 32-bit numbers."""
+    """Ids of pieces, with a bounded store of pieces already seen by this Python worker. ``encode`` gives each piece's ids as unsigned 32-bit numbers.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], join_space: bool, fold: bool = False, capacity: int = 250_000):
+    ``added``: contents that are one id each wherever they stand; what lies between them is encoded as texts of its own."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], join_space: bool, fold: bool = False, capacity: int = 250_000,
+                 added: dict[bytes, int] | None = None):
         self.encode, self.join_space, self.fold, self.capacity, self.seen = encode, join_space, fold, capacity, {}
+        self.added = added or {}
+        self.cuts = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk of binary texts, and how many stand before each row (with the end)."""
+        if not any(pc.any(pc.match_substring(texts, c)).as_py() for c in self.added):
+            return self._between(texts)
+        parts, behind, rows = [], [], [0]
+        for text in texts.to_pylist():
+            a = 0
+            for m in self.cuts.finditer(text):
+                parts.append(text[a:m.start()])
+                behind.append(self.added[m.group()])
+                a = m.end()
+            parts.append(text[a:])
+            behind.append(-1)
+            rows.append(len(parts))
+        ids, at = self._between(pa.array(parts, pa.large_binary()))
+        own = np.array(behind, np.int64)
+        some = own >= 0
+        before = at + np.concatenate([[0], np.cumsum(some)])
+        return np.insert(ids, at[1:][some], own[some].astype(np.uint32)), before[rows]
+
+    def _between(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         from spanledger.llm.arrays import flat
 
         data, off = flat(pa.array(folded(texts), pa.large_binary()) if self.fold else texts)
@@ -133,9 +160,21 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in shown else 256 + b - sum(x < b for x in shown) for b in range(256)}
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Contents that the vocabulary file at ``path`` adds to its model, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    for t in found:
+        if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token with conditions: {t}")
+    return {t["content"].encode(): t["id"] for t in found if t["content"]}
+
+
 @lru_cache(maxsize=4)
-def library_encoder(path: str, lower: bool) -> Encoder:
-    """Pieces are encoded by the model of the tokenizers library from the vocabulary file at ``path``."""
+def library_encoder(path: str, lower: bool, added: bool = False) -> Encoder:
+    """Pieces are encoded by the model of the tokenizers library from the vocabulary file at ``path``.
+
+    ``added``: contents of the file's added tokens get their ids, as the library does by default; else they are text (its encode_special_tokens)."""
     from tokenizers import Tokenizer
 
     model, letters = Tokenizer.from_file(path).model, byte_letters()
@@ -143,7 +182,7 @@ def library_encoder(path: str, lower: bool) -> Encoder:
     def encode(new: list[bytes]) -> list[bytes]:
         return [array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(letters))]).tobytes() for w in new]
 
-    return Encoder(encode, join_space=not lower, fold=lower)
+    return Encoder(encode, join_space=not lower, fold=lower, added=added_tokens(path) if added else None)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

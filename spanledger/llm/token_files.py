@@ -73,14 +73,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, key:
     """Writes all documents in ascending order of ``key`` (nulls first, equal keys by text); returns one row per file:
     part, file, docs, tokens and start (tokens of all files before it).
 
-    Null text is empty: its document is the end id alone. An empty table writes nothing. A task writes under a name of its own attempt and
+    Null text is empty: its document is the end id alone. Added tokens of the file are one id each. An empty table writes nothing. A task writes under a name of its own attempt and
     then renames, so a second attempt replaces the same file by the same bytes. Other columns are not read."""
     wide = pa.uint16() if id_bits == 16 else pa.uint32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, own, ready = task.partitionId(), f".{task.taskAttemptId()}", None
-        encoder = library_encoder(path, lower)
+        encoder = library_encoder(path, lower, added=True)
         store, root = _store(folder)
         keys, counts = [], []
         for rows, _, _ in chunks(batches):
