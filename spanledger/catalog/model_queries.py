@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from spanledger.catalog.registry import query
+from spanledger.config import Settings
 from spanledger.operators import cluster as K, encode as N, explain as L, metrics as M, models, neighbours as B, split
 from spanledger.plans import dataset as D
 from spanledger.sources.adapters import EVENT_CFG as CFG, Tables
@@ -289,7 +290,7 @@ def hparam_trials(t: Tables):
 @query("kfold_cv")
 def kfold_cv(t: Tables):
     df = _train_rows(t).drop("role")
-    return models.kfold_cv(df, "id", 4, kind="logreg", columns=_X, label="y", scaled=_X)
+    return models.kfold_cv(df, "id", Settings().series.folds, kind="logreg", columns=_X, label="y", scaled=_X)
 
 
 @query("forward_cv")
@@ -457,14 +458,14 @@ def _scaled_mixed(t: Tables):
 @query("kprototypes")
 def kprototypes(t: Tables):
     _, _, rows = _scaled_mixed(t)
-    model = K.kprototypes(rows, 4, n_runs=5, max_iter=30)
+    model = K.kprototypes(rows, Settings().cluster.k, n_runs=Settings().cluster.n_runs, max_iter=30)
     return K.assign(rows, model.centroids, model.gamma).select("id", "cluster", "cost")
 
 
 @query("centroid_report")
 def centroid_report(t: Tables):
     df, fitted, rows = _scaled_mixed(t)
-    model = K.kprototypes(rows, 4, n_runs=5, max_iter=30)
+    model = K.kprototypes(rows, Settings().cluster.k, n_runs=Settings().cluster.n_runs, max_iter=30)
     share = K.cluster_share(K.assign(rows, model.centroids, model.gamma))
     table = N.inverse_scale(K.centroid_table(rows, model, ["c_acctbal", "age"], ["kind"]), fitted)
     table = table.withColumn("p", 1 / (1 + F.exp(-F.col("c_acctbal") / 4000)))
