@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from spanledger.llm import curriculum as C
 from spanledger.llm import line_dedup as L
 from spanledger.llm import quality_rules as Q
 
@@ -44,3 +47,27 @@ z AS (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {Q.
 q AS (SELECT stratum, rule, cutoff FROM z WHERE place = 1 AND bad > {Q.COST} * good),
 u AS (SELECT DISTINCT doc_id FROM j JOIN q USING (stratum) WHERE CASE rule {_RATIO} END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND u.doc_id IS NULL AS kept FROM j LEFT JOIN u USING (doc_id)"""
+
+
+#: Weights over the time of the training, for the sources in turn: first much and then less, more and more, always the same. Their integrals are 3, 1 and 2.
+SCHEDULES = (((0.0, 4.0), (0.5, 4.0), (1.0, 0.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 2.0), (1.0, 2.0)))
+_WEIGHTS = ", ".join(str(C.integral(s)) for s in SCHEDULES)
+_TIME = re.sub(r"(\d)D\b", r"\1::DOUBLE", C.time_of(SCHEDULES, "kind", "(a / goal)"))
+CURRICULUM = rf"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> ''))::BIGINT AS size,
+  md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h FROM documents),
+o AS (SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+k AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % {len(SCHEDULES)} AS kind FROM o),
+w AS (SELECT *, list_extract([{_WEIGHTS}]::DOUBLE[], kind::INT + 1) AS weight FROM k),
+-- Sources stop in the order of words / weight: the first number of stopped ones that leaves none of the others above its bound.
+c AS (SELECT *, coalesce(sum(2.0 * words) OVER s, 0) AS gone, sum(weight) OVER () - coalesce(sum(weight) OVER s, 0) AS left_weight, 1.5 * sum(words) OVER () AS total, row_number() OVER (ORDER BY words / weight, source NULLS LAST) AS m FROM w
+  WINDOW s AS (ORDER BY words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((total - gone) / left_weight, m) FILTER (WHERE (total - gone) / left_weight * weight <= 2.0 * words) AS level FROM c),
+t AS (SELECT w.*, least(level * weight, 2.0 * words) AS target, floor(least(level * weight, 2.0 * words) + 0.5) AS goal FROM w, l),
+g AS (SELECT source, h, max(size) AS size, count(*) AS n FROM d GROUP BY ALL),
+b AS (SELECT g.*, sum(n * size) OVER (PARTITION BY source ORDER BY h) - n * size AS b FROM g),
+v AS (SELECT b.source, h, n, size, kind, words, target, goal, b + p * words AS a, p FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS x(p)),
+y AS (SELECT *, (greatest(0, least(goal - a, n * size))::BIGINT // n)::BIGINT AS x FROM v),
+z AS (SELECT source, h, max(words)::BIGINT AS source_size, max(target) AS target, sum(x)::BIGINT AS taken,
+  max(CASE WHEN x > 0 THEN {_TIME} END) FILTER (WHERE p = 0) AS position, max(CASE WHEN x > 0 THEN {_TIME} END) FILTER (WHERE p = 1) AS again FROM y GROUP BY ALL)
+SELECT doc_id, d.size, source_size, target, taken, position, again FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source AND d.h = z.h"""

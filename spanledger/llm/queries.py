@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.byte_bpe import encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
+from spanledger.llm.curriculum import curriculum
 from spanledger.llm.embedding_dedup import embedding_dedup
 from spanledger.llm.jaccard_join import near_duplicates
 from spanledger.llm.line_dedup import drop_boilerplate, url_host
-from spanledger.llm.native_sql import LINE_DEDUP, QUALITY_RULES
+from spanledger.llm.native_sql import CURRICULUM, LINE_DEDUP, QUALITY_RULES, SCHEDULES
 from spanledger.llm.packing import best_fit_packing, token_pieces
 from spanledger.llm.quality_classifier import THRESHOLD, held_out as classifier_held_out, quality_scores
 from spanledger.llm.quality_rules import quality_rules
@@ -80,3 +81,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_curriculum_mix", CURRICULUM)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum(table(spark, sf_dir, "documents"), SCHEDULES)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.get("positions", F.lit(1)).alias("again"))
