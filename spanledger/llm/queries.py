@@ -9,9 +9,10 @@ from spanledger.llm.byte_bpe import encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
 from spanledger.llm.curriculum import curriculum
 from spanledger.llm.embedding_dedup import embedding_dedup
+from spanledger.llm.hard_negatives import hard_negatives
 from spanledger.llm.jaccard_join import near_duplicates
 from spanledger.llm.line_dedup import drop_boilerplate, url_host
-from spanledger.llm.native_sql import CURRICULUM, LINE_DEDUP, QUALITY_RULES, SCHEDULES
+from spanledger.llm.native_sql import CURRICULUM, HARD_NEGATIVES, LINE_DEDUP, QUALITY_RULES, SCHEDULES
 from spanledger.llm.packing import best_fit_packing, token_pieces
 from spanledger.llm.quality_classifier import THRESHOLD, held_out as classifier_held_out, quality_scores
 from spanledger.llm.quality_rules import quality_rules
@@ -87,3 +88,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents"), SCHEDULES)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.get("positions", F.lit(1)).alias("again"))
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(F.floor(256 * x.cast("double")).cast("double")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.cast("int").alias("label"), whole.alias("vector"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
