@@ -111,7 +111,7 @@ def curriculum(docs: DataFrame, schedules: Sequence[Schedule], share: float = 1.
     sums = groups.groupBy(*own, "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("s"))
     ahead = sums.select(*own, "bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("ahead"))
     inside = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy(*own, "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    groups = groups.withColumn("inside", inside - F.col("n") * F.col("size")).join(ahead, [*own, "bucket"])
+    groups = groups.withColumn("inside", inside - F.col("n") * F.col("size")).join(ahead.repartition(*own, "bucket"), [*own, "bucket"])  # else the join deals all rows by source, as the sums are
     begin, goal = F.col("ahead") + F.col("inside"), F.floor(F.col("target") + 0.5)
     first = [begin + F.col("words") * p for p in range(most)]
     part = [F.expr("x div n") for _ in first]
