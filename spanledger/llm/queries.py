@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.byte_bpe import encode_bytes, id_digest
 from spanledger.llm.common import new_folder, query, table, vocabulary
+from spanledger.llm.conversation_repair import damaged, repair_report
 from spanledger.llm.curriculum import curriculum
 from spanledger.llm.embedding_dedup import embedding_dedup
 from spanledger.llm.hard_negatives import hard_negatives
@@ -96,3 +97,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(F.floor(256 * x.cast("double")).cast("double")))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.cast("int").alias("label"), whole.alias("vector"))
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    report = repair_report(damaged(conversations), conversations)
+    return report.select(F.col("conversation").cast("long").alias("conv_id"), *report.columns[1:])
