@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from spanledger.llm import conversation_repair as R
 from spanledger.llm import curriculum as C
 from spanledger.llm import line_dedup as L
 from spanledger.llm import quality_rules as Q
@@ -83,3 +84,51 @@ SELECT anchor_id, positive_id, row_number() OVER n ::INT AS rank, s.vec_id AS ne
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 WINDOW n AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id)
 QUALIFY row_number() OVER n <= 5"""
+
+
+def _repair_sql() -> str:
+    """The least of the cheapest edits by recursion from the last turn to the first, with whole audits and texts kept for every state."""
+    states = dict(enumerate("esua"))
+
+    def put(cost: str, way: str, line: str, rest: str) -> str:
+        return f"{{'c': {rest}.c + {cost}, 'a': '{way}' || {rest}.a, 'l': list_concat([{line}]::VARCHAR[], {rest}.l)}}"
+
+    def settled(own: str) -> str:
+        """Insertions before the next turn; ``own`` is a struct of the best of every state."""
+        for _ in range(2):
+            own = "struct_pack(" + ", ".join(
+                f"{q} := list_sort([o.{q}, " + put(str(R.INSERT), "I", f"'{R.NAMES[R.NEXT[i]]}:'", f"o.{states[R.NEXT[i]]}") + "])[1]" for i, q in states.items()) + f") FOR o IN [{own}]"
+            own = f"([{own}])[1]"
+        return own
+
+    ways = []
+    for i, q in states.items():
+        to = states[R.NEXT[i]]
+        kept = " ".join(f"WHEN initial = '{role}' THEN " + put("stays", "K", "role || ':' || text", f"b.{states[z]}") for role, z in R.MOVES[i].items())
+        moved = put(f"{R.REROLE} + stays", "R", f"'{R.NAMES[R.NEXT[i]]}:' || text", f"b.{to}")
+        deleted = put(str(R.DELETE), "D", "", f"b.{q}")
+        ways.append(f"{q} := list_sort(CASE WHEN gone THEN [{deleted}] ELSE list_filter([{deleted}, {moved}, CASE {kept} END], lambda x: x IS NOT NULL) END)[1]")
+    none = "{'c': 1000000000, 'a': '', 'l': []::VARCHAR[]}"
+    end = "{'c': 0, 'a': '', 'l': []::VARCHAR[]}"
+    last = settled(f"struct_pack(e := {end}, s := {none}, u := {none}, a := {end})")
+    step = settled(f"struct_pack({', '.join(ways)})")
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {space}) AS body, substr(role, 1, 1) AS initial FROM d),
+f AS (SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS later, NOT right(body, 1) IN ('.', '!', '?') AS cut FROM n),
+g AS (SELECT *, blank OR later AS gone, CASE WHEN cut THEN {R.TRUNCATED} ELSE 0 END AS stays, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM f),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE later AND NOT blank) AS duplicate,
+  count(*) FILTER (WHERE cut AND NOT blank AND NOT later) AS truncated, count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM g GROUP BY ALL),
+r AS (SELECT conv_id, n AS i, {last} AS b FROM facts
+  UNION ALL SELECT r.conv_id, r.i - 1, {step} FROM r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.i = g.i)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.e.c, 0)::BIGINT AS cost, coalesce(b.e.a, '') AS audit, sha256(coalesce(array_to_string(b.e.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON c.conv_id IS NOT DISTINCT FROM facts.conv_id LEFT JOIN (SELECT * FROM r WHERE i = 0) z ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+CONVERSATION_REPAIR = _repair_sql()

@@ -13,7 +13,7 @@ from spanledger.llm.embedding_dedup import embedding_dedup
 from spanledger.llm.hard_negatives import hard_negatives
 from spanledger.llm.jaccard_join import near_duplicates
 from spanledger.llm.line_dedup import drop_boilerplate, url_host
-from spanledger.llm.native_sql import CURRICULUM, HARD_NEGATIVES, LINE_DEDUP, QUALITY_RULES, SCHEDULES
+from spanledger.llm.native_sql import CONVERSATION_REPAIR, CURRICULUM, HARD_NEGATIVES, LINE_DEDUP, QUALITY_RULES, SCHEDULES
 from spanledger.llm.packing import best_fit_packing, token_pieces
 from spanledger.llm.quality_classifier import THRESHOLD, held_out as classifier_held_out, quality_scores
 from spanledger.llm.quality_rules import quality_rules
@@ -99,7 +99,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
-@query("op11_conversation_repair")
+@query("op11_conversation_repair", CONVERSATION_REPAIR)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     report = repair_report(damaged(conversations), conversations)
