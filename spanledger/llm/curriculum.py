@@ -19,6 +19,8 @@ from spanledger.llm.common import cut_lineage, fresh_names
 BUCKET_ROWS = 50_000
 #: Bits of the order hash that name a bucket at most.
 MOST_BITS = 32
+#: Sources whose facts are sent to all tasks; more are joined.
+SENT_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 Schedule = Sequence[tuple[float, float]]
@@ -100,13 +102,14 @@ def curriculum(docs: DataFrame, schedules: Sequence[Schedule], share: float = 1.
     weights = F.array(*[F.lit(float(integral(s))) for s in schedules])
     kind = F.pmod("place", F.lit(len(schedules))).cast("int")
     sources = cut_lineage(sources.select(*own, "words", "n_rows", kind.alias("kind"), F.get(weights, kind).alias("weight")))
-    total = share * (sources.agg(F.sum("words")).first()[0] or 0)
+    n_sources, words = sources.agg(F.count("*"), F.sum("words")).first()
+    total = share * (words or 0)
     level = fill_level(sources, total, most)
     bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_rows") / BUCKET_ROWS)))).cast("int")
     sources = sources.select(*own, "words", "kind", bits.alias("bits"), F.least(F.lit(level) * F.col("weight"), F.col("words") * F.lit(float(most))).alias("target"))
     # Equal rows are one group from here on, so no group of copies is met in one task.
-    groups = rows.groupBy(*own, "h").agg(F.max("size").alias("size"), F.count("*").alias("n")).join(sources, own)
-    groups = groups.withColumn("bucket", F.expr(f"shiftright(cast(conv(substr(h, 1, {MOST_BITS // 4}), 16, 10) AS long), {MOST_BITS} - bits)"))
+    groups = rows.groupBy(*own, "h").agg(F.max("size").alias("size"), F.count("*").alias("n")).join(F.broadcast(sources) if n_sources <= SENT_SOURCES else sources, own)
+    groups = groups.withColumn("bucket", F.expr(f"shiftright(cast(conv(substr(h, 1, {MOST_BITS // 4}), 16, 10) AS long), {MOST_BITS} - bits)")).repartition(*own, "bucket")
     earlier = Window.partitionBy(*own).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = groups.groupBy(*own, "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("s"))
     ahead = sums.select(*own, "bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("ahead"))
