@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spanledger.llm.common import cut_lineage, fresh_names
 
 #: Rows of a source that are ordered in one task at most, on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_096
 #: Bits of the order hash that name a bucket at most.
 MOST_BITS = 32
 #: Sources whose facts are sent to all tasks; more are joined.
