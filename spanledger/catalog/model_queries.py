@@ -340,16 +340,92 @@ def _explained(t: Tables):
     return df, ex, lambda rows: rows.withColumn("score", p)
 
 
-@query("perturb_neighbourhood")
+_FEATURES = """f AS (SELECT c_custkey AS id, c_acctbal AS a, (c_custkey % 1000)::DOUBLE AS b, (c_nationkey % 4)::DOUBLE AS c FROM customer),
+edges AS (SELECT list_distinct([quantile_cont(a, 0.25), quantile_cont(a, 0.5), quantile_cont(a, 0.75)]) AS ea, list_distinct([quantile_cont(b, 0.25), quantile_cont(b, 0.5), quantile_cont(b, 0.75)]) AS eb FROM f),
+own AS (SELECT f.*, len(list_filter(ea, lambda e: e < a)) AS ba, len(list_filter(eb, lambda e: e < b)) AS bb FROM f, edges),
+slots AS (SELECT 0 AS i, ba::INT AS slot, count(*) AS n, avg(a) AS m, stddev_pop(a) AS s, min(a) AS lo, max(a) AS hi FROM own GROUP BY 2
+ UNION ALL SELECT 1, bb::INT, count(*), avg(b), stddev_pop(b), min(b), max(b) FROM own GROUP BY 2
+ UNION ALL SELECT 2, c::INT, count(*), c, 0, c, c FROM own GROUP BY 2, 4),
+-- Columns of equal height: the poorest slot is filled up from the richest one.
+mass AS (SELECT i, slot, m, s, lo, hi, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS k, n * count(*) OVER (PARTITION BY i) AS mass, sum(n) OVER (PARTITION BY i)::BIGINT AS whole FROM slots),
+fill AS (SELECT i, NULL::BIGINT AS k, NULL::BIGINT AS cut, NULL::BIGINT AS other, list({'m': mass::BIGINT, 'k': k}) AS rest, any_value(whole) AS whole FROM mass GROUP BY i
+ UNION ALL SELECT i, poor.k, (poor.m::HUGEINT * 2147483647 // whole)::BIGINT, rich.k,
+  list_transform(list_filter(rest, lambda x: x.k <> poor.k), lambda x: {'m': CASE WHEN x.k = rich.k THEN x.m - (whole - poor.m) ELSE x.m END, 'k': x.k}), whole
+ FROM (SELECT i, whole, rest, list_sort(rest)[1] AS poor, list_sort(list_transform(rest, lambda x: {'m': -x.m, 'k': x.k}))[1] AS rich FROM fill) WHERE poor.m < whole),
+cols AS (SELECT mass.i, list(coalesce(cut, 2147483647) ORDER BY mass.k) AS cut, list(coalesce(other, mass.k) ORDER BY mass.k) AS other, list(slot ORDER BY mass.k) AS slot,
+ list(m ORDER BY mass.k) AS m, list(s ORDER BY mass.k) AS s, list(lo ORDER BY mass.k) AS lo, list(hi ORDER BY mass.k) AS hi, count(*) AS n FROM mass LEFT JOIN fill ON mass.i = fill.i AND mass.k = fill.k GROUP BY 1)"""
+
+
+def _near_sql(samples: int, where: str = "TRUE") -> str:
+    """Drawn neighbours: one look at the columns of each feature."""
+    draw = lambda i, j: mix_sql(f"(id * {samples} + sample)", SEED * 1_000 + 3 * i + j)
+    cols = ", ".join(f"c{i} AS (SELECT * FROM cols WHERE i = {i})" for i in range(3))
+    at = ", ".join(f"{draw(i, 0)} * c{i}.n AS x{i}, {draw(i, 1)} AS u{i}, {draw(i, 2)} AS v{i}" for i in range(3))
+    pick = ", ".join(f"CASE WHEN x{i} % 2147483647 < c{i}.cut[(x{i} // 2147483647) + 1] THEN x{i} // 2147483647 ELSE c{i}.other[(x{i} // 2147483647) + 1] END + 1 AS k{i}, "
+                     f"sqrt(-2 * ln((u{i} + 1) / 2147483647.0::DOUBLE)) * cos(v{i} * (2 * pi() / 2147483647)) AS z{i}" for i in range(3))
+    value = lambda i, x: f"CASE WHEN sample = 0 THEN {x} ELSE greatest(c{i}.lo[k{i}], least(c{i}.hi[k{i}], c{i}.m[k{i}] + c{i}.s[k{i}] * z{i})) END"
+    return f"""{_FEATURES}, {cols},
+d AS (SELECT own.*, sample, {at} FROM own, c0, c1, c2, (SELECT unnest(range({samples})) AS sample) WHERE {where}),
+p AS (SELECT d.*, {pick} FROM d, c0, c1, c2),
+v AS (SELECT id, sample, {value(0, 'a')} AS a, {value(1, 'b')} AS b, CASE WHEN sample = 0 OR c = 0 THEN c ELSE c2.slot[k2] END AS kind,
+ (sample = 0 OR c0.slot[k0] = ba)::INT AS sa, (sample = 0 OR c1.slot[k1] = bb)::INT AS sb, (sample = 0 OR c = 0 OR c2.slot[k2] = c)::INT AS sc FROM p, c0, c1, c2),
+near AS (SELECT *, sqrt(exp(-(3 - sa - sb - sc) / (0.75::DOUBLE * sqrt(3)) ** 2)) AS w FROM v)"""
+
+
+def _fit_sql(samples: int, where: str = "TRUE") -> str:
+    """Ridge with all three features by determinants, its rules in order."""
+    s = {f"g{n}": f"(sum(w * {a} * {b}) - sum(w * {a}) * sum(w * {b}) / sum(w))" for n, a, b in
+         [("aa", "sa", "sa"), ("bb", "sb", "sb"), ("cc", "sc", "sc"), ("ab", "sa", "sb"), ("ac", "sa", "sc"), ("bc", "sb", "sc"), ("ay", "sa", "y"), ("by", "sb", "y"), ("cy", "sc", "y")]}
+    det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    rows = [["(gaa + 1)", "gab", "gac"], ["gab", "(gbb + 1)", "gbc"], ["gac", "gbc", "(gcc + 1)"]]
+    put = lambda j: [[y if i == j else x for i, x in enumerate(r)] for r, y in zip(rows, ("gay", "gby", "gcy"))]
+    rule = lambda f, e, b: (f"CASE WHEN {b} = 0 THEN '{f} <= ' || printf('%.2f', {e}[1]) WHEN {b} = len({e}) THEN '{f} > ' || printf('%.2f', {e}[len({e})]) "
+                            f"ELSE printf('%.2f', {e}[{b}]) || ' < {f} <= ' || printf('%.2f', {e}[{b} + 1]) END")
+    return f"""WITH RECURSIVE {_near_sql(samples, where)},
+y AS (SELECT *, 1 / (1 + exp(-(a / 4000 - b / 400 + CASE WHEN kind = 2 THEN 1.0 ELSE 0.0 END))) AS y FROM near),
+g AS (SELECT id, {', '.join(f'{v} AS {n}' for n, v in s.items())} FROM y GROUP BY id),
+b AS (SELECT id, unnest([0, 1, 2]) AS pos, unnest([{', '.join(f'{det(*put(j))} / {det(*rows)}' for j in range(3))}]) AS weight FROM g),
+t AS (SELECT id, {rule('c_acctbal', 'list_sort(ea)', 'ba')} AS r0, {rule('age', 'list_sort(eb)', 'bb')} AS r1, 'kind=' || ['DUMMY_VAL', 'a', 'b', 'c'][c::INT + 1] AS r2 FROM own, edges)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, pos)::INT AS rank, CASE pos WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS rule, round(weight, 6) AS weight FROM b JOIN t USING (id)"""
+
+
+@query("perturb_neighbourhood", f"""WITH RECURSIVE {_near_sql(60)} SELECT id, sample, round(a, 6) AS c_acctbal, round(b, 6) AS age, kind, [sa, sb, sc] AS same, 3 - sa - sb - sc AS differ, round(w, 9) AS weight FROM near""")
 def perturb_neighbourhood(t: Tables):
     df, ex, _ = _explained(t)
-    return L.neighbour_weights(L.perturb(df, ex, "id", 20, SEED), L.default_width(3))
+    near = L.neighbour_weights(L.perturb(df, ex, "id", 60, SEED), L.default_width(3))
+    return near.withColumns({"c_acctbal": F.round("c_acctbal", 6), "age": F.round("age", 6), "weight": F.round("weight", 9)})
 
 
-@query("explain_batch")
+@query("explain_batch", _fit_sql(200))
 def explain_batch(t: Tables):
     df, ex, score = _explained(t)
-    return L.explain(df, ex, score, "id", samples=200, num_features=3)
+    return L.explain(df, ex, score, "id", samples=200, num_features=3).withColumn("weight", F.round("weight", 6))
+
+
+_CUT_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _entropy_sql(rounds: int) -> str:
+    """Bins cut in two round by round: every cut between two values of a bin is tried."""
+    e = lambda a, b: f"(CASE WHEN {a} > 0 THEN -({a} / ({a} + {b})) * log2({a} / ({a} + {b})) ELSE 0 END + CASE WHEN {b} > 0 THEN -({b} / ({a} + {b})) * log2({b} / ({a} + {b})) ELSE 0 END)"
+    sql = "WITH l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, (l_returnflag = 'R')::INT AS y FROM lineitem" for c in _CUT_COLUMNS) + """),
+n AS (SELECT feature, value, count(*) - sum(y) AS n0, sum(y) AS n1, '' AS bin FROM l GROUP BY 1, 2)"""
+    last = "n"
+    for r in range(rounds):
+        sql += f""",
+c{r} AS (SELECT *, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, sum(n0) OVER b AS t0, sum(n1) OVER b AS t1, lead(value) OVER w AS after FROM {last}
+ WINDOW w AS (PARTITION BY feature, bin ORDER BY value), b AS (PARTITION BY feature, bin)),
+g{r} AS (SELECT *, round({e('t0', 't1')} - (l0 + l1) / (t0 + t1) * {e('l0', 'l1')} - (t0 + t1 - l0 - l1) / (t0 + t1) * {e('(t0 - l0)', '(t1 - l1)')}, 12) AS gain FROM c{r} WHERE after IS NOT NULL),
+b{r} AS (SELECT feature, bin, value AS cut, (value + after) / 2 AS edge FROM g{r} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY feature, bin ORDER BY gain DESC, value) = 1),
+n{r} AS (SELECT x.feature, value, n0, n1, x.bin || CASE WHEN cut IS NULL THEN '-' WHEN value <= cut THEN 'l' ELSE 'r' END AS bin FROM {last} x LEFT JOIN b{r} b ON x.feature = b.feature AND x.bin = b.bin)"""
+        last = f"n{r}"
+    return sql + " SELECT feature, list_transform(list_sort(list(edge)), lambda x: round(x, 6)) AS edges FROM (" + " UNION ALL ".join(f"SELECT feature, edge FROM b{r}" for r in range(rounds)) + ") GROUP BY 1"
+
+
+@query("entropy_bins", _entropy_sql(3))
+def entropy_bins(t: Tables):
+    df = t.lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return N.entropy_bins(df, _CUT_COLUMNS, "y").where(F.size("edges") > 0).withColumn("edges", F.transform("edges", lambda x: F.round(x, 6)))
 
 
 @query("explain_select", """WITH s AS (SELECT event_id, (value > 60)::INT AS pred, (event_type = 'error')::INT AS y, lag((value > 60)::INT) OVER (ORDER BY event_id) AS before FROM events)
@@ -359,10 +435,10 @@ def explain_select(t: Tables):
     return L.explain_select(df, "event_id", everything=False, chunk=2_000)
 
 
-@query("explain_one")
+@query("explain_one", _fit_sql(Settings().explain.num_samples, "id = 42"))
 def explain_one(t: Tables):
     df, ex, score = _explained(t)
-    return L.explain_one(df, ex, score, "id", 42, samples=1_000, num_features=3)
+    return L.explain_one(df, ex, score, "id", 42, samples=Settings().explain.num_samples, num_features=3).withColumn("weight", F.round("weight", 6))
 
 
 _EXP = "e AS (SELECT l_orderkey AS exp_id, l_returnflag || l_linestatus || l_linenumber AS rule, l_tax - 0.04::DOUBLE AS weight FROM lineitem)"

@@ -7,13 +7,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from spanledger.functions.exprs import col
-from spanledger.functions.ordered import exact_quantiles
+from spanledger.functions.exprs import col, total
+from spanledger.functions.ordered import exact_quantiles, running_sums
 from spanledger.operators.collapse import unpivot
 
 # Fixed value: name of code 0, which no category uses.
 DUMMY = "DUMMY_VAL"
 UNKNOWN_CODE = -1
+#: Classes of a label that bins are cut by at most.
+MOST_CLASSES = 64
 
 
 def onehot_multi(df: DataFrame, keys: Sequence[str], vocab: Mapping[str, Sequence[str]], null_as: str = "None") -> DataFrame:
@@ -132,6 +134,68 @@ def bin_edges(df: DataFrame, columns: Sequence[str], parts: int) -> DataFrame:
     return q.groupBy("feature").agg(F.array_sort(F.collect_set("q")).alias("edges"))
 
 
+def _entropy(counts: Sequence[Column]) -> Column:
+    """Entropy in bits of class counts, 0 for none."""
+    n = total(list(counts))
+    return total([F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0) for c in counts])
+
+
+def entropy_bins(df: DataFrame, columns: Sequence[str], label: str, depth: int = 3, mdl: bool = False) -> DataFrame:
+    """(feature, edges): cut points that tell most about ``label``, found by halving bins ``depth`` times.
+
+    In every round each bin of every feature is cut where the entropy of the label falls most (the
+    smallest such point; halfway between two values), if it falls at all; with ``mdl``, if the fall pays for
+    the description of the cut (Fayyad and Irani 1993). Distinct values and their class counts are
+    made once; a round is one aggregate over their running sums, for all features together, so no
+    column is ever in one task. Bins are few and are sent to all tasks. Null values and labels are left out.
+    """
+    rows = long_numbers(df, columns, F.col(label).alias("_label")).where(F.col("value").isNotNull() & F.col("_label").isNotNull())
+    classes = [r["_label"] for r in df.select(F.col(label).alias("_label")).where(F.col("_label").isNotNull()).distinct().orderBy("_label").limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    names = [f"n{i}" for i in range(len(classes))]
+    counts = rows.groupBy("feature", "value").agg(*[F.count_if(F.col("_label") == c).alias(n) for c, n in zip(classes, names)])
+    sums = running_sums(counts, "value", names, within=["feature"]).persist() if classes else counts
+    spark = df.sparkSession
+    # A bin: (feature, no, values above lo up to hi, class counts below it and in it).
+    everything = sums.groupBy("feature").agg(*[F.sum(n) for n in names]).collect()
+    bins = [(r[0], 0, None, None, [0] * len(names), list(r[1:])) for r in everything]
+    edges: dict[str, list[float]] = {f: [] for f in columns}
+    schema = "feature string, no int, lo double, hi double, below array<long>, inside array<long>"
+    for _ in range(depth):
+        bins = [b for b in bins if sum(n > 0 for n in b[5]) > 1]
+        if not bins:
+            break
+        own = sums.join(F.broadcast(spark.createDataFrame(bins, schema)), "feature").where(
+            (F.col("lo").isNull() | (F.col("value") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi"))))
+        left = [F.col(f"cum_{n}") - F.col("below")[i] for i, n in enumerate(names)]
+        whole = [F.col("inside")[i] for i in range(len(names))]
+        right = [w - c for w, c in zip(whole, left)]
+        n, n_left = total(whole), total(left)
+        e, e_left, e_right = _entropy(whole), _entropy(left), _entropy(right)
+        gain = F.round(e - n_left / n * e_left - (n - n_left) / n * e_right, 12)
+        least = F.lit(0.0)
+        if mdl:
+            kinds, k_left, k_right = (total([(c > 0).cast("int") for c in part]) for part in (whole, left, right))
+            least = (F.log2(n - 1) + F.log2(F.pow(F.lit(3.0), kinds) - 2) - (kinds * e - k_left * e_left - k_right * e_right)) / n
+        best = own.where(n_left < n).groupBy("feature", "no").agg(F.max(F.when(gain > least, F.struct(gain.alias("gain"), (-F.col("value")).alias("at"), F.array(*left).alias("left")))).alias("b"))
+        found = {(r["feature"], r["no"]): (-r["b"]["at"], list(r["b"]["left"])) for r in best.where("b IS NOT NULL").collect()}
+        if not found:
+            break
+        # Where the next value above each cut is.
+        cuts = spark.createDataFrame([(f, no, v) for (f, no), (v, _) in found.items()], "feature string, no int, cut double")
+        above = {(r[0], r[1]): r[2] for r in sums.join(F.broadcast(cuts), "feature").where("value > cut").groupBy("feature", "no").agg(F.min("value")).collect()}
+        after = []
+        for f, no, lo, hi, below, inside in bins:
+            if (f, no) in found:
+                v, own_left = found[f, no]
+                edges[f].append((v + above[f, no]) / 2)
+                after += [(f, 2 * no, lo, v, below, own_left), (f, 2 * no + 1, v, hi, [a + b for a, b in zip(below, own_left)], [a - b for a, b in zip(inside, own_left)])]
+        bins = after
+    sums.unpersist()
+    return spark.createDataFrame([(f, sorted(edges[f])) for f in columns], "feature string, edges array<double>")
+
+
 def bin_index(value: Column, edges: Column) -> Column:
     """Bin of a value: number of edges below it (bins are closed on the right)."""
     return F.size(F.filter(edges, lambda e: e < value))

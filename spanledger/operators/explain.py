@@ -3,23 +3,28 @@
 A training table is summarised per feature: bin edges, frequency and moments per bin, frequency per
 code. An example is perturbed by drawing each feature from its frequencies, all perturbations are
 scored by the model as ordinary rows, and one weighted ridge fit per example gives its rules.
+
+Draws come from alias tables: a feature with k slots has k columns of equal height, each with one slot
+at the bottom and another on top. One number names a column and a height in it, so a draw is one look
+at a constant array and one comparison, however many slots there are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from spanledger.functions.exprs import int_div, mix, total
 from spanledger.functions.ordered import prior_row, slice_count
-from spanledger.operators.encode import bin_edges, bin_index
+from spanledger.operators.encode import bin_edges, bin_index, entropy_bins
+from spanledger.operators.localfit import local_fit
 
-SELECT_ALPHA = 0.01
-FIT_ALPHA = 1.0
+# Fixed value: ``mix`` draws whole numbers below this.
+DRAWS = 2_147_483_647
 
 
 @dataclass(frozen=True)
@@ -29,7 +34,7 @@ class Explainer:
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
     edges: dict[str, list[float]]
-    # feature -> list of (bin or code, frequency, mean, std, min, max)
+    # feature -> list of (bin or code, count or share, mean, std, min, max)
     table: dict[str, list[tuple[int, float, float, float, float, float]]]
     names: Mapping[str, Sequence[str]]
 
@@ -39,9 +44,17 @@ class Explainer:
 
 
 def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), parts: int = 4,
-        names: Mapping[str, Sequence[str]] | None = None) -> Explainer:
-    """Bin edges, then one aggregation for frequencies and moments of all features."""
-    edges = {r["feature"]: [float(e) for e in r["edges"]] for r in bin_edges(df, numeric, parts).collect()} if numeric else {}
+        names: Mapping[str, Sequence[str]] | None = None, label: str | None = None,
+        edges: Mapping[str, Sequence[float]] | None = None) -> Explainer:
+    """Bin edges, then one aggregation for frequencies and moments of all features.
+
+    Bins are quantiles (``parts``), or cut where they tell most about ``label`` if one is named, or
+    given as ``edges``.
+    """
+    if edges is None:
+        cuts = entropy_bins(df, numeric, label) if label else bin_edges(df, numeric, parts)
+        edges = {r["feature"]: [float(e) for e in r["edges"]] for r in cuts.collect()} if numeric else {}
+    edges = {f: list(edges.get(f, [])) for f in numeric}
     slots = [F.struct(F.lit(f).alias("feature"), _bin(f, edges).alias("slot"), F.col(f).cast("double").alias("v")) for f in numeric]
     slots += [F.struct(F.lit(f).alias("feature"), F.col(f).cast("int").alias("slot"), F.col(f).cast("double").alias("v")) for f in categorical]
     stats = (df.select(F.inline(F.array(*slots))).where(F.col("v").isNotNull()).groupBy("feature", "slot")
@@ -49,64 +62,93 @@ def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
     table: dict = {f: [] for f in (*numeric, *categorical)}
     for r in sorted(stats.collect(), key=lambda r: (r["feature"], r["slot"])):
         table[r["feature"]].append((r["slot"], r["n"], r["mean"], r["std"], r["lo"], r["hi"]))
-    for f, rows in table.items():
-        n = sum(r[1] for r in rows)
-        table[f] = [(s, c / n, m, sd, lo, hi) for s, c, m, sd, lo, hi in rows]
     return Explainer(tuple(numeric), tuple(categorical), edges, table, names or {})
 
 
-def _bin(f: str, edges: Mapping[str, list[float]]) -> Column:
-    return bin_index(F.col(f), F.array(*[F.lit(e) for e in edges[f]]).cast("array<double>"))
-
+def from_statistics(bins: Mapping[str, Sequence[float]], stats: Mapping[str, Sequence[tuple]], codes: Mapping[str, Mapping[int, float]] | None = None,
+                    names: Mapping[str, Sequence[str]] | None = None) -> Explainer:
+    """An explainer without a training table: edges, (share, mean, std, min, max) of every bin, and the share of every code."""
+    table = {f: [(i, *s) for i, s in enumerate(stats[f])] for f in bins}
+    for f, edges in bins.items():
+        if len(stats[f]) != len(edges) + 1:
+            raise ValueError(f"{f}: {len(edges)} edges make {len(edges) + 1} bins")
+    table |= {f: [(c, n, float(c), 0.0, float(c), float(c)) for c, n in sorted(own.items())] for f, own in (codes or {}).items()}
+    return Explainer(tuple(bins), tuple(codes or ()), {f: sorted(map(float, e)) for f, e in bins.items()}, table, names or {})
 
-def _unit(tag: int, *keys: Column) -> Column:
-    """Draw in [0, 1) from the row identity, so a lost task redraws the same values."""
-    return F.pmod(F.xxhash64(*keys, F.lit(tag)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
 
+def _bin(f: str, edges: Mapping[str, list[float]]) -> Column:
+    return bin_index(F.col(f), F.array(*[F.lit(e) for e in edges[f]]).cast("array<double>"))
 
-def _draw(u: Column, cum: np.ndarray) -> Column:
-    """How many cumulative shares are at most ``u``: every ``steps``-th is looked at, then those between."""
-    if not len(cum):
-        return F.lit(0)
-    steps = math.isqrt(len(cum)) + 1
 
-    def count(v: Column) -> Column:
-        coarse = F.size(F.filter(F.lit(cum[steps - 1::steps]), lambda x: x <= v)) if len(cum) >= steps else F.lit(0)
-        return F.transform(F.array(coarse), lambda c: c * steps + F.size(F.filter(F.slice(F.lit(cum), c * steps + 1, steps), lambda x: x <= v)))[0]
+def alias_table(weights: Sequence[float]) -> tuple[list[int], list[int]]:
+    """For each column: the height, of ``DRAWS``, below which its own slot is drawn, and the slot drawn above.
 
-    return F.transform(F.array(u), count)[0]
+    The poorest slot is filled up from the richest one until none is poor. Counts are handled as whole
+    numbers, so any engine makes the same table.
+    """
+    if any(int(w) != w for w in weights):
+        weights = [round(w * (1 << 40)) for w in weights]
+    k, whole = len(weights), int(sum(weights))
+    if not whole:
+        return [DRAWS] * k, list(range(k))
+    mass = [int(w) * k for w in weights]
+    poor = [(m, i) for i, m in enumerate(mass) if m < whole]
+    rich = [(-m, i) for i, m in enumerate(mass) if m >= whole]
+    heapify(poor)
+    heapify(rich)
+    cut, other = [DRAWS] * k, list(range(k))
+    while poor:
+        m, i = heappop(poor)
+        j = heappop(rich)[1]
+        cut[i], other[i] = m * DRAWS // whole, j
+        mass[j] -= whole - m
+        heappush(*((poor, (mass[j], j)) if mass[j] < whole else (rich, (-mass[j], j))))
+    return cut, other
 
 
 def perturb(examples: DataFrame, ex: Explainer, key: str, samples: int, seed: int = 7) -> DataFrame:
-    """(key, sample, <features>, same): drawn neighbours of each example, sample 0 is the example itself.
+    """(key, sample, <features>, same, differ): drawn neighbours of each example, sample 0 is the example itself.
 
-    ``same`` holds 1 per feature that falls in the example's bin or has its code. Categories that
-    are 0 in the example stay 0, as their sparse entries are never drawn. Within a bin a value is
-    drawn around the bin mean and kept inside the bin.
+    ``same`` holds 1 per feature that falls in the example's bin or has its code, ``differ`` counts the
+    others. Categories that are 0 in the example stay 0, as their sparse entries are never drawn. Within
+    a bin a value is drawn around the bin mean and kept inside the bin. Draws are ``mix`` of the row's
+    number, so a lost task redraws the same values. Columns are made in steps, each used more than
+    once by the next, so nothing is drawn twice.
     """
-    rows = examples.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    first = F.col("sample") == 0
-    values, same = [], []
+    first, number = F.col("sample") == 0, F.col(key) * samples + F.col("sample")
+    own = {f"_own{i}": _bin(f, ex.edges) for i, f in enumerate(ex.features) if f in ex.numeric}
+    rows = examples.select(key, *ex.features, *[c.alias(n) for n, c in own.items()]).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    at, slot, values, same = {}, {}, [], []
     for i, f in enumerate(ex.features):
-        ids = (F.col(key), F.col("sample"))
-        u = _unit(seed * 1_000 + 3 * i, *ids)
-        pick = _draw(u, np.cumsum([r[1] for r in ex.table[f]])[:-1])
-        slot = F.element_at(F.lit(np.array([r[0] for r in ex.table[f]])), pick + 1)
+        k = len(ex.table[f])
+        at[f"_at{i}"] = mix(number, seed * 1_000 + 3 * i) * k
+        cut, other = alias_table([r[1] for r in ex.table[f]])
+        column = int_div(F.col(f"_at{i}"), DRAWS)
+        slot[f"_slot{i}"] = F.when(F.col(f"_at{i}") % DRAWS < _pick(cut, column), column.cast("int")).otherwise(_pick(other, column).cast("int"))
+        drawn = F.col(f"_slot{i}")
+        code = _pick([r[0] for r in ex.table[f]], drawn)
         if f in ex.numeric:
-            own = _bin(f, ex.edges)
-            r = F.element_at(F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(t[2:], ("m", "s", "lo", "hi"))])
-                                       for t in ex.table[f]]), pick + 1)
-            z = (F.sqrt(-2 * F.log(1 - _unit(seed * 1_000 + 3 * i + 1, *ids)))
-                 * F.cos(2 * np.pi * _unit(seed * 1_000 + 3 * i + 2, *ids)))
-            drawn = F.greatest(r["lo"], F.least(r["hi"], r["m"] + r["s"] * z))
-            values.append(F.when(first, F.col(f).cast("double")).otherwise(drawn).alias(f))
-            same.append(F.when(first | (slot == own), 1).otherwise(0))
+            u, v = (mix(number, seed * 1_000 + 3 * i + j) for j in (1, 2))
+            slot[f"_z{i}"] = F.sqrt(-2 * F.log((u + 1) / F.lit(float(DRAWS)))) * F.cos(v * F.lit(2 * np.pi / DRAWS))
+            mean, std, lo, hi = (_pick([float(r[j]) for r in ex.table[f]], drawn) for j in (2, 3, 4, 5))
+            inside = F.greatest(lo, F.least(hi, mean + std * F.col(f"_z{i}")))
+            values.append(F.when(first, F.col(f).cast("double")).otherwise(inside).alias(f))
+            same.append(F.when(first | (code == F.col(f"_own{i}")), 1).otherwise(0))
         else:
             keep = first | (F.col(f) == 0)
-            values.append(F.when(keep, F.col(f)).otherwise(slot).cast("double").alias(f))
-            same.append(F.when(keep | (slot == F.col(f)), 1).otherwise(0))
+            values.append(F.when(keep, F.col(f)).otherwise(code).cast("double").alias(f))
+            same.append(F.when(keep | (code == F.col(f)), 1).otherwise(0))
+    rows = rows.withColumns(at).withColumns(slot)
+    flags = [s.alias(f"_same{i}") for i, s in enumerate(same)]
     # Two steps: a lambda reads an alias of its own select before the input column of that name.
-    return (rows.withColumn("same", F.array(*same).cast("array<int>")).select(key, "sample", *values, "same"))
+    rows = rows.select(F.col(key), F.col("sample"), *values, *flags)
+    parts = [F.col(f"_same{i}") for i in range(len(flags))]
+    return rows.select(key, "sample", *ex.features, F.array(*parts).cast("array<int>").alias("same"), (F.lit(len(parts)) - total(parts)).alias("differ"))
+
+
+def _pick(values: Sequence, index: Column) -> Column:
+    """An entry of a constant array."""
+    return F.get(F.lit(np.array(values if len(values) else [0])), index)
 
 
 def kernel_weight(distance: Column, width: float) -> Column:
@@ -119,67 +161,7 @@ def default_width(features: int) -> float:
 
 def neighbour_weights(perturbed: DataFrame, width: float) -> DataFrame:
     """Distance to the example in 0/1 space is the root of the number of features that differ."""
-    differ = F.aggregate("same", F.lit(0), lambda s, v: s + (1 - v))
-    return perturbed.withColumn("weight", kernel_weight(F.sqrt(differ.cast("double")), width))
-
-
-class _Gram:
-    """Weighted sums of one example's perturbations, enough for any ridge fit on its features."""
-
-    def __init__(self, d: int):
-        self.w, self.y, self.x, self.xy, self.xx = 0.0, 0.0, np.zeros(d), np.zeros(d), np.zeros((d, d))
-
-    def add(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        xw = x * w[:, None]
-        self.w += w.sum()
-        self.y += w @ y
-        self.x += xw.sum(0)
-        self.xy += xw.T @ y
-        self.xx += xw.T @ x
-
-    def ridge(self, alpha: float, use: np.ndarray) -> np.ndarray:
-        xm, ym = self.x[use] / self.w, self.y / self.w
-        cov = self.xx[np.ix_(use, use)] / self.w - np.outer(xm, xm)
-        return np.linalg.solve(cov + np.eye(len(use)) * alpha / self.w, self.xy[use] / self.w - xm * ym)
-
-
-def local_fit(scored: DataFrame, key: str, num_features: int) -> DataFrame:
-    """(key, pos, weight): per example a ridge fit of the score on ``same``, then refitted on the
-    ``num_features`` strongest.
-
-    The rows of an example must follow one another, as ``perturb`` and a row-wise ``score`` leave
-    them. So nothing is shuffled: tasks stream their batches and keep one set of sums.
-    """
-    schema = pa.schema([(key, pa.int64()), ("pos", pa.int32()), ("weight", pa.float64())])
-
-    def solve(example: int, g: _Gram) -> pa.RecordBatch:
-        # The example itself has every feature present, so the coefficient is the feature's effect.
-        strong = np.argsort(-np.abs(g.ridge(SELECT_ALPHA, np.arange(len(g.x)))), kind="stable")[:num_features]
-        coef = g.ridge(FIT_ALPHA, strong)
-        order = np.argsort(-np.abs(coef), kind="stable")
-        return pa.RecordBatch.from_arrays([pa.array([example] * len(coef), pa.int64()), pa.array(strong[order], pa.int32()),
-                                           pa.array(coef[order], pa.float64())], schema=schema)
-
-    def task(batches):
-        example, sums = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in (key, "score", "weight"))
-            x = b.column("same").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if ids[lo] != example:
-                    if sums is not None:
-                        yield solve(example, sums)
-                    example, sums = int(ids[lo]), _Gram(x.shape[1])
-                sums.add(x[lo:hi], y[lo:hi], w[lo:hi])
-        if sums is not None:
-            yield solve(example, sums)
-
-    return (scored.select(F.col(key).cast("long").alias(key), F.col("score").cast("double").alias("score"),
-                          F.col("weight").cast("double").alias("weight"), "same")
-            .mapInArrow(task, f"{key} long, pos int, weight double"))
+    return perturbed.withColumn("weight", kernel_weight(F.sqrt(F.col("differ").cast("double")), width))
 
 
 def rules(examples: DataFrame, ex: Explainer, key: str) -> DataFrame:
@@ -200,13 +182,13 @@ def rules(examples: DataFrame, ex: Explainer, key: str) -> DataFrame:
 
 
 def explain(examples: DataFrame, ex: Explainer, score, key: str, samples: int, num_features: int,
-            width: float | None = None, seed: int = 7) -> DataFrame:
-    """(key, rank, rule, weight) for every example. ``score`` adds ``score`` to feature rows, row by row."""
+            width: float | None = None, seed: int = 7, method: str = "lasso_path") -> DataFrame:
+    """(key, rank, rule, weight) for every example. ``score`` adds ``score`` to feature rows, in any order of rows."""
     width = width or default_width(len(ex.features))
     # Each example becomes ``samples`` rows, so the few input rows are spread out first.
     examples = examples.repartition(slice_count(examples), key)
     near = score(neighbour_weights(perturb(examples, ex, key, samples, seed), width))
-    fits = local_fit(near, key, num_features)
+    fits = local_fit(near, key, num_features, method)
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.abs("weight")), "pos"))
     return fits.join(rules(examples, ex, key), [key, "pos"]).select(key, rank.alias("rank"), "rule", "weight")
 
