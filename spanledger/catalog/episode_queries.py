@@ -286,12 +286,12 @@ def window_features(t: Tables):
 _COLS = {"signup": "signup", "purchase": "purchase"}
 
 
-def _grid_sql() -> str:
+def _grid_sql(horizon: int = S.HORIZON) -> str:
     """Every anchor recomputed from the history cut there."""
     n = {s: S.visits(s) for s in ("click", "view", "error")}
-    return EP + f""", {S.ANCHORS},
-la AS (SELECT client, k, cut, s, least(e, cut + {S.HORIZON}) AS e FROM ep, anchors WHERE service = 'signup' AND s <= cut + {S.HORIZON}),
-ld AS ({S.label_sql('la', 'client, k, cut', f'(cut + {S.HORIZON})')}),
+    return EP + f""", {S.anchors(horizon)},
+la AS (SELECT client, k, cut, s, least(e, cut + {horizon}) AS e FROM ep, anchors WHERE service = 'signup' AND s <= cut + {horizon}),
+ld AS ({S.label_sql('la', 'client, k, cut', f'(cut + {horizon})')}),
 h AS (SELECT client, service, k, cut, s, least(e, cut - 1) AS e, kind, amount, e AS e_full FROM ep, anchors WHERE s <= cut - 1),
 seen AS (SELECT client, k, cut FROM ep, anchors GROUP BY ALL
  HAVING bool_or(s <= cut) AND bool_or(s <= cut - 1)),
@@ -335,6 +335,23 @@ def anchor_grid(t: Tables):
     return _dated(_grid(t))
 
 
+_WEEKS = (0, 1, 2)
+
+
+@query("horizon_grid", " UNION ALL ".join(f"SELECT {n} AS n, * FROM ({_grid_sql(n * 7 * S.DAY)} SELECT * FROM g)" for n in _WEEKS))
+def horizon_grid(t: Tables):
+    """The anchor grid of every horizon, from one pass over the records."""
+    base = G.Grid.ending(CFG.label_date, S.N, CFG.series.step_days, 0)
+    grid = G.HorizonGrid.of(base, tuple(7 * n for n in _WEEKS))
+    df = cleanse.parse_amounts(t.episodes(), "MonthlyAmount")
+    out = D.series_features(df.drop("DOB"), grid, CFG)
+    lab = grid.spread(G.labels(intervals(df), base, CFG))
+    out = (out.join(lab, ["client", "k"], "left").fillna({"GroundTruth": 0}).withColumn("IncomeTotal", F.round("IncomeTotal", 2))
+           .withColumn("Date", F.date_format(grid.date(F.col("k")), "yyyy-MM-dd")).drop("k"))
+    n = F.get(F.array(*[F.lit(w) for w in _WEEKS]), grid.horizon_of())
+    return out.select(n.alias("n"), grid.client_of().alias("ClientID"), *[F.col(f"`{c}`") for c in out.columns if c != "client"])
+
+
 _STEPS = [f"3-Day_{s}" for s in ("signup", "purchase", "click", "view", "error")]
 _LAGS = ", ".join(f'coalesce(lag("{f}", {i}) OVER (PARTITION BY "ClientID" ORDER BY "Date"), 0) AS "(-{i}){f}"'
                   for i in range(S.TX - 1, 0, -1) for f in _STEPS)

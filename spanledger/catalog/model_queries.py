@@ -7,9 +7,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from spanledger.catalog.registry import query
-from spanledger.config import Settings
+from spanledger.config import HorizonSettings, Settings
 from spanledger.operators import cluster as K, encode as N, explain as L, metrics as M, models, neighbours as B, split
-from spanledger.plans import dataset as D
+from spanledger.plans import dataset as D, jobs
+from spanledger.session import cut_lineage
 from spanledger.sources.adapters import EVENT_CFG as CFG, Tables
 
 SEED = 7
@@ -252,21 +253,21 @@ def fit_score_mlp(t: Tables):
     return _fit_score(t, "mlp")
 
 
-def _series(t: Tables, weeks: float = 1, meta=None, labels=None):
-    cfg = replace(CFG, horizon_weeks=weeks)
-    ds = D.series_dataset(t.raw_episodes(), cfg, meta, n_anchors=7, labels=labels)
+def _series(t: Tables):
+    ds = D.series_dataset(t.raw_episodes(), CFG, n_anchors=7)
     cols = [c for c in ds.encoded.columns if c not in ("ClientID", "Date", "GroundTruth")]
     # Column names with dots or brackets are awkward to assemble; positions serve as well.
     names = {c: f"f{i}" for i, c in enumerate(cols)}
     df = ds.encoded.select("ClientID", "Date", F.col("GroundTruth").cast("int").alias("y"),
                            *[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()])
-    return df, list(names.values()), ds.meta
+    # Stored once: folds and fits read the table, not the plan that made it.
+    return cut_lineage(df), list(names.values()), ds.meta
 
 
 @query("fit_score_lags")
 def fit_score_lags(t: Tables):
     df, cols, _ = _series(t)
-    rows = split.apply_dates(df, split.date_split(df, "Date"), "Date").persist()
+    rows = split.apply_dates(df, split.date_split(df, "Date"), "Date")
     train = rows.where("role = 'train'")
     fitted = N.moments(train, cols)
     model = models.fit("logreg", N.standard_scale(train, fitted), cols, "y", seed=SEED, regParam=0.01)
@@ -296,23 +297,14 @@ def kfold_cv(t: Tables):
 @query("forward_cv")
 def forward_cv(t: Tables):
     df, cols, _ = _series(t)
-    return models.forward_cv(df, "Date", 2, kind="logreg", columns=cols, label="y", scaled=cols, regParam=0.01)
+    return models.forward_cv(df, "Date", CFG.series.folds, kind="logreg", columns=cols, label="y", scaled=cols, regParam=0.01)
 
 
 @query("horizon_search")
 def horizon_search(t: Tables):
-    labels = D.label_table(t.raw_episodes(), CFG, series=True, n_anchors=7).persist()
-    learnt = {}
-
-    def build(n):
-        df, learnt["cols"], meta = _series(t, n, learnt.get("meta"), labels)
-        learnt.setdefault("meta", meta)
-        return df
-
-    def validate(df):
-        return models.forward_cv(df, "Date", 2, kind="logreg", columns=learnt["cols"], label="y", scaled=learnt["cols"], regParam=0.01)
-
-    return models.horizon_search(build, [0, 1], validate)
+    # As many horizons as the month of events has weeks for.
+    cfg = replace(CFG, horizon=HorizonSettings(0, 2, 1))
+    return jobs.horizon_search(t.raw_episodes(), cfg, "logreg", series=True, n_anchors=7, regParam=0.01)
 
 
 @query("batch_predict")
@@ -386,7 +378,8 @@ y AS (SELECT *, 1 / (1 + exp(-(a / 4000 - b / 400 + CASE WHEN kind = 2 THEN 1.0
 g AS (SELECT id, {', '.join(f'{v} AS {n}' for n, v in s.items())} FROM y GROUP BY id),
 b AS (SELECT id, unnest([0, 1, 2]) AS pos, unnest([{', '.join(f'{det(*put(j))} / {det(*rows)}' for j in range(3))}]) AS weight FROM g),
 t AS (SELECT id, {rule('c_acctbal', 'list_sort(ea)', 'ba')} AS r0, {rule('age', 'list_sort(eb)', 'bb')} AS r1, 'kind=' || ['DUMMY_VAL', 'a', 'b', 'c'][c::INT + 1] AS r2 FROM own, edges)
-SELECT id, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, pos)::INT AS rank, CASE pos WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS rule, round(weight, 6) AS weight FROM b JOIN t USING (id)"""
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, pos)::INT AS rank, CASE pos WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS rule, round(weight, 6) AS weight FROM b JOIN t USING (id) JOIN (SELECT id, c FROM f) USING (id)
+WHERE NOT (pos = 2 AND c = 0)"""  # a feature that never changes is on no path
 
 
 @query("perturb_neighbourhood", f"""WITH RECURSIVE {_near_sql(60)} SELECT id, sample, round(a, 6) AS c_acctbal, round(b, 6) AS age, kind, [sa, sb, sc] AS same, 3 - sa - sb - sc AS differ, round(w, 9) AS weight FROM near""")

@@ -28,7 +28,8 @@ ep AS (SELECT *, coalesce(e0, {RUN}) AS e,
   631152000 + client * 37 * 86400 AS dob FROM ev)"""
 
 
-ANCHORS = f"""anchors AS (SELECT i::INT AS k, ({GT - HORIZON} - ({N - 1} - i) * {STEP})::BIGINT AS cut
+def anchors(horizon: int = HORIZON) -> str:
+    return f"""anchors AS (SELECT i::INT AS k, ({GT - horizon} - ({N - 1} - i) * {STEP})::BIGINT AS cut
  FROM range({N}) t(i))"""
 
 

@@ -49,8 +49,8 @@ def collapse_asof(df: DataFrame, grid: Grid, spec: Collapse, client: str = "Clie
     """
     w = W.partitionBy("client").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     until = F.coalesce(F.lead("k").over(W.partitionBy("client").orderBy("k")), F.lit(grid.n)) - 1
-    rows = (df.withColumn("k", grid.covering(secs("DateStart"))).where(F.col("k") < grid.n)
-            .withColumnRenamed(client, "client"))
+    rows = (grid.spread(df.withColumnRenamed(client, "client")).withColumn("k", grid.covering(secs("DateStart")))
+            .where(F.col("k") < grid.n))
     aggs = [F.max(c).alias(c) for c in spec.largest]
     aggs += [F.sum(c).alias(c) for c in spec.summed]
     aggs += [newest_value(c, order).alias(c) for c in spec.newest]

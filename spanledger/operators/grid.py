@@ -49,12 +49,20 @@ class Grid:
     def static(cfg: Settings) -> "Grid":
         return Grid.ending(cfg.label_date, 1, 1, cfg.horizon_days, close=0)
 
+    def origin(self) -> Column:
+        """The first cut-off of a row's client."""
+        return F.lit(self.first)
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows as the grid's clients see them."""
+        return rows
+
     def cutoff(self, k: Column) -> Column:
-        return k.cast("long") * self.step + self.first
+        return k.cast("long") * self.step + self.origin()
 
     def slot(self, t: Column, lag: int = 0) -> Column:
         """First k whose cut-off, less ``lag`` seconds, is at or after ``t``; n or more means none."""
-        return F.greatest(F.lit(0), ceil_div(t + lag - self.first, self.step)).cast("int")
+        return F.greatest(F.lit(0), ceil_div(t + lag - self.origin(), self.step)).cast("int")
 
     def covering(self, t: Column) -> Column:
         """First k whose features can see time ``t``."""
@@ -64,6 +72,37 @@ class Grid:
         return F.to_date(F.timestamp_seconds(self.cutoff(k)))
 
 
+@dataclass(frozen=True)
+class HorizonGrid(Grid):
+    """The same label dates seen from several horizons, whose cut-offs lie that long before them.
+
+    A client is known once for each horizon, under the number ``client * horizons + i``. What does not
+    depend on cut-offs (which spans and visits count) is worked out per client and only then spread, so the
+    records are read and ordered once however many horizons there are.
+    """
+
+    horizons: tuple[int, ...] = ()
+
+    @staticmethod
+    def of(base: Grid, horizon_days: tuple[int, ...]) -> "HorizonGrid":
+        """``base`` has horizon 0."""
+        return HorizonGrid(base.first, base.step, base.n, 0, base.close, tuple(d * DAY for d in horizon_days))
+
+    def horizon_of(self, client: str = "client") -> Column:
+        return F.pmod(F.col(client), F.lit(len(self.horizons))).cast("int")
+
+    def client_of(self, client: str = "client") -> Column:
+        """The client's own number; also right for negative ones."""
+        return int_div(F.col(client) - self.horizon_of(client), len(self.horizons))
+
+    def origin(self) -> Column:
+        return F.lit(self.first) - F.get(F.array(*[F.lit(h) for h in self.horizons]), self.horizon_of())
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        h = F.explode(F.array(*[F.lit(i) for i in range(len(self.horizons))]))
+        return rows.withColumn("_h", h).withColumn("client", F.col("client").cast("long") * len(self.horizons) + F.col("_h")).drop("_h")
+
+
 def _range(lo: Column, hi: Column) -> Column:
     """Integers lo..hi, empty when hi < lo (``sequence`` would count down)."""
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
@@ -99,7 +138,7 @@ def timed_flows(spans: DataFrame, grid: Grid, cfg: Settings) -> DataFrame:
                         F.when(counts, span_days(F.col("a"), c, F.col("last"))).otherwise(0).cast("long").alias("at"))
 
     straddled = _range(grid.covering(F.col("s")), F.least(F.col("whole") - 1, F.lit(grid.n - 1)))
-    return (spans.withColumn("a", a).withColumn("whole", whole).withColumn("need", need)
+    return (grid.spread(spans).withColumn("a", a).withColumn("whole", whole).withColumn("need", need)
             .select("client", "service", F.inline(F.concat(
                 F.array(F.struct(F.col("whole").alias("k"),
                                  span_days(F.col("a"), F.col("e"), F.col("last")).cast("long").alias("add"),
@@ -123,7 +162,7 @@ def counted_since(rows: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def counted_flows(since: DataFrame, grid: Grid) -> DataFrame:
-    return (since.select("client", "service", grid.covering(F.col("t")).alias("k"),
+    return (grid.spread(since).select("client", "service", grid.covering(F.col("t")).alias("k"),
                          F.lit(1).cast("long").alias("add"), F.lit(0).cast("long").alias("at"))
             .where(F.col("k") < grid.n))
 
@@ -139,7 +178,7 @@ def income_totals(rows: DataFrame, grid: Grid, tie: list[str]) -> DataFrame:
     best = F.struct("s", *tie, F.coalesce("amount", F.lit(0.0)).alias("_amt"))
     w = W.partitionBy("client", "kind").orderBy("k")
     until = F.coalesce(F.lead("k").over(w), F.lit(grid.n)) - 1
-    return (rows.withColumn("k", grid.covering(F.col("s"))).where(F.col("k") < grid.n)
+    return (grid.spread(rows).withColumn("k", grid.covering(F.col("s"))).where(F.col("k") < grid.n)
             .groupBy("client", "kind", "k").agg(F.max(best).alias("best"))
             .select("client", "k", F.col("best._amt").alias("amount"), until.alias("until"))
             .select("client", F.explode(F.sequence("k", "until")).alias("k"), "amount")
@@ -193,9 +232,9 @@ def _flag(seen: DataFrame, days: DataFrame, cfg: Settings) -> DataFrame:
 
 def _windows(rows: DataFrame, grid: Grid) -> DataFrame:
     """One row per window [cutoff - step, cutoff - 1 s] the record touches, clipped to it."""
-    lo = F.greatest(F.lit(0), ceil_div(F.col("s") + 1 - grid.first, grid.step)).cast("int")
-    hi = F.least(F.lit(grid.n - 1), _floor_div(F.col("e") + grid.step - grid.first, grid.step)).cast("int")
-    return (rows.withColumn("k", F.explode(_range(lo, hi)))
+    lo = F.greatest(F.lit(0), ceil_div(F.col("s") + 1 - grid.origin(), grid.step)).cast("int")
+    hi = F.least(F.lit(grid.n - 1), _floor_div(F.col("e") + grid.step - grid.origin(), grid.step)).cast("int")
+    return (grid.spread(rows).withColumn("k", F.explode(_range(lo, hi)))
             .withColumn("w0", grid.cutoff(F.col("k")) - grid.step)
             .withColumn("w1", grid.cutoff(F.col("k")) - 1))
 
@@ -249,7 +288,7 @@ def presence(rows: DataFrame, grid: Grid, cfg: Settings, any_service: bool) -> D
     kinds = list(cfg.timed_services + cfg.counted_services)
     served = F.col("service").isin(kinds) if not any_service else F.lit(True)
     first = rows.groupBy("client").agg(F.min("s").alias("s"), F.min(F.when(served, F.col("s"))).alias("t"))
-    return (first.where(F.col("t").isNotNull())
+    return (grid.spread(first.where(F.col("t").isNotNull()))
             .withColumn("k0", F.greatest(grid.slot(F.col("t")), grid.covering(F.col("s"))))
             .select("client", F.explode(_range(F.col("k0"), F.lit(grid.n - 1))).alias("k")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
@@ -165,12 +166,13 @@ def static_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
 
 
 def series_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None = None, training: bool = True,
-                   n_anchors: int | None = None, since_k: int | None = None, labels: DataFrame | None = None) -> Dataset:
+                   n_anchors: int | None = None, since_k: int | None = None, labels: DataFrame | None = None,
+                   grid: G.Grid | None = None) -> Dataset:
     """One row per client and anchor date, every anchor in the same job, with lagged time steps.
 
     The label stands ``horizon`` after the cut-off in training and is left out when scoring.
     """
-    grid = _series_grid(cfg, training, n_anchors)
+    grid = grid or _series_grid(cfg, training, n_anchors)
     since_k = since_k if since_k is not None else first_kept(cfg, grid, training)
     df = clean(episodes, cfg)
     cats, nums = _columns(df, cfg, series=True)
@@ -189,14 +191,35 @@ def series_dataset(episodes: DataFrame, cfg: Settings, meta: FeatureMeta | None
     lagged = lag_assembly(wide, steps, cfg.series.t_x, since=F.lit(since_k), date="k").drop("k")
     if training:
         labels = labels if labels is not None else G.labels(intervals(df), grid, cfg)
-        labels = (labels.withColumn("Date", grid.date(F.col("k"))).drop("k")
+        labels = (grid.spread(labels).withColumn("Date", grid.date(F.col("k"))).drop("k")
                   .withColumnRenamed("client", "ClientID"))
     tail = [lag_name(i, f) for i in range(cfg.series.t_x - 1, 0, -1) for f in steps] + steps
     attributes = (G.presence(intervals(df), grid, cfg, any_service=False).where(F.col("k") >= since_k)
                   .join(collapse_asof(df, grid, Collapse(newest=single)), ["client", "k"], "left"))
+    if isinstance(grid, G.HorizonGrid):  # codes are those of the first horizon, as if it were the only one
+        attributes = attributes.where(grid.horizon_of() == 0)
     return _finish(lagged, ["ClientID", "Date"], numeric, single, values, labels if training else None, meta, cfg, tail, attributes)
 
 
+def horizon_dataset(episodes: DataFrame, cfg: Settings, weeks: Sequence[float], meta: FeatureMeta | None = None, n_anchors: int | None = None,
+                    labels: DataFrame | None = None) -> Dataset:
+    """``series_dataset`` for several horizons at once, told apart by ``n`` (weeks); vocabularies are those of the first.
+
+    Label dates do not depend on the horizon, cut-offs do: the records are read, ordered and turned into counted spans
+    once, then placed on the cut-offs of every horizon. Client numbers must be whole.
+    """
+    base = _series_grid(replace(cfg, horizon_weeks=0), True, n_anchors)
+    grid = G.HorizonGrid.of(base, tuple(replace(cfg, horizon_weeks=w).horizon_days for w in weeks))
+    labels = labels if labels is not None else G.labels(intervals(clean(episodes, cfg)), base, cfg)
+    ds = series_dataset(episodes, replace(cfg, horizon_weeks=weeks[0]), meta, n_anchors=n_anchors, labels=labels, grid=grid)
+    n = F.get(F.array(*[F.lit(w) for w in weeks]), grid.horizon_of("ClientID")).alias("n")
+
+    def apart(df: DataFrame) -> DataFrame:
+        return df.select(n, grid.client_of("ClientID").alias("ClientID"), *[col(c) for c in df.columns if c != "ClientID"])
+
+    return Dataset(apart(ds.features), apart(ds.encoded), ds.meta, ("n", "ClientID", "Date"))
+
+
 def series_features(df: DataFrame, grid: G.Grid, cfg: Settings, spec: Collapse | None = None) -> DataFrame:
     """(client, k, attributes, totals, IncomeTotal, time-step values) on every anchor of a client."""
     rows = intervals(df)
@@ -212,7 +235,7 @@ def series_features(df: DataFrame, grid: G.Grid, cfg: Settings, spec: Collapse |
     out = fill_null(out.join(G.step_features(windows, steps), on, "left"), dict.fromkeys(steps.values(), 0))
     if "DOB" in df.columns:
         born = df.groupBy(F.col("ClientID").alias("client")).agg(F.min(secs("DOB")).alias("_dob"))
-        out = (out.join(born, "client", "left")
+        out = (out.join(grid.spread(born), "client", "left")
                .withColumn("CurrentAge", F.floor((grid.cutoff(F.col("k")) - F.col("_dob")) / (365.2425 * 86_400))).drop("_dob"))
     return out
 

@@ -12,7 +12,8 @@ from spanledger.config import Settings
 from spanledger.functions.exprs import col, mix
 from spanledger.operators import cluster as K, encode, explain as L, metrics as M, models, neighbours, split
 from spanledger.operators.answers import questionnaire
-from spanledger.plans.dataset import Dataset, FeatureMeta, label_table, series_dataset, static_dataset
+from spanledger.plans.dataset import Dataset, FeatureMeta, horizon_dataset, label_table, series_dataset, static_dataset
+from spanledger.session import cut_lineage
 from spanledger.sources import sinks
 
 LABEL = "GroundTruth"
@@ -162,17 +163,28 @@ def experiment(ds: Dataset, cfg: Settings, kind: str, what: str = "single_train"
     raise ValueError(what)
 
 
-def horizon_search(episodes: DataFrame, cfg: Settings, kind: str, series: bool, **params) -> DataFrame:
-    """(n, fold, metrics...) for each horizon; labels and vocabularies are made once, at the first one."""
+def horizon_search(episodes: DataFrame, cfg: Settings, kind: str, series: bool, n_anchors: int | None = None, **params) -> DataFrame:
+    """(n, fold, metrics...) for each horizon; labels and vocabularies are made once, at the first one.
+
+    Series features of all horizons come from one pass over the records; the table is stored and each horizon's cross
+    validation reads its own part. Static features are cut at one date per horizon, and are made horizon by horizon.
+    """
     meta: FeatureMeta | None = None
-    labels = label_table(episodes, cfg, series).persist()
+    labels = label_table(episodes, cfg, series, n_anchors).persist()
+    every = None
+    if series:
+        ds = horizon_dataset(episodes, cfg, cfg.horizon.weeks(), n_anchors=n_anchors, labels=labels)
+        every, meta = cut_lineage(ds.encoded), ds.meta
     out = None
     for n in cfg.horizon.weeks():
         at = replace(cfg, horizon_weeks=n)
-        build = series_dataset if series else static_dataset
-        ds = build(episodes, at, meta, labels=labels)
-        meta = meta or ds.meta
-        folds = experiment(ds, at, kind, "cross_validation", **params)[0].withColumn("n", F.lit(n))
+        if series:
+            part = every.where(F.col("n") == n).drop("n")
+            own = Dataset(part, part, meta, ("ClientID", "Date"))
+        else:
+            own = static_dataset(episodes, at, meta, labels=labels)
+            meta = meta or own.meta
+        folds = experiment(own, at, kind, "cross_validation", **params)[0].withColumn("n", F.lit(n))
         out = folds if out is None else out.unionByName(folds)
     labels.unpersist()
     return out
