@@ -1,8 +1,12 @@
 """Byte-level BPE by corpus-level merge replay.
 
 The words (pattern matches) of all texts in an Arrow batch are one corpus: each distinct word stands in it once. An inverted index leads from the
-rank of a token pair to the positions where it stands; ranks are taken in ascending order, every merge rewrites only its own position and the
+rank of a token pair to the positions where it stands; merges are taken in order of rank, every merge rewrites only its own position and the
 pairs at its two neighbours. Then the ids of the words are dealt back to the texts. Nothing is shuffled.
+
+Merges in different words do not touch each other, so only the order inside a word matters. Short words are replayed together, in passes: a pass applies to
+every word the first place of its lowest rank, all as array operations on the index by position. Long words, which would need many passes, are
+replayed rank by rank through a queue.
 """
 
 from __future__ import annotations
@@ -25,10 +29,14 @@ from spanledger.llm.pretokens import Encoder, read_ranks
 
 #: Words of one replay: bounds the memory of its index.
 REPLAY_WORDS = 30_000
+#: Bytes of a word that is replayed in passes, and words in one replay of them.
+SHORT, SHORT_WORDS = 64, 100_000
 #: Ids that are decoded at once.
 DECODE_IDS = 1_000_000
 _SHIFT = 21
 _END = (1 << _SHIFT) - 1
+_NONE = 1 << 62
+_SPREAD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
 
 class Merges:
@@ -46,17 +54,92 @@ class Merges:
         self.keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
         order = np.argsort(self.keys)
         self.keys, self.values = self.keys[order], np.fromiter(self.pairs.values(), np.int64, len(order))[order]
+        self.bytes = np.array(self.byte, np.int64)
+        # The same pairs as a table of places by hash, a quarter full, with free places behind its end.
+        bits = max(8, int(len(order) * 4 - 1).bit_length())
+        self.drop = np.uint64(64 - bits)
+        self.slots, self.found = np.full((1 << bits) + len(order) + 1, -1), np.zeros((1 << bits) + len(order) + 1, np.int64)
+        left = np.arange(len(self.keys))
+        at = (self.keys * _SPREAD).view(np.uint64) >> self.drop
+        while len(left):
+            free = self.slots[at] < 0
+            place, first = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.slots[place], self.found[place] = self.keys[left[won]], self.values[left[won]]
+            on = np.ones(len(left), bool)
+            on[won] = False
+            left, at = left[on], at[on]
+            at = at + (self.slots[at] >= 0).astype(np.uint64)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as unsigned 32-bit numbers. A word that is a token itself is that token."""
         out = [array("I", (r,)).tobytes() if (r := self.ranks.get(w)) is not None else None for w in words]
-        rest = [i for i, ids in enumerate(out) if ids is None]
+        rest = [i for i, ids in enumerate(out) if ids is None and len(words[i]) > SHORT]
+        short = [i for i, ids in enumerate(out) if ids is None and len(words[i]) <= SHORT]
+        for a in range(0, len(short), SHORT_WORDS):
+            part = short[a:a + SHORT_WORDS]
+            for i, ids in zip(part, self._passes([words[i] for i in part]), strict=True):
+                out[i] = ids
         for a in range(0, len(rest), REPLAY_WORDS):
             part = rest[a:a + REPLAY_WORDS]
             for i, ids in zip(part, self._merge([words[i] for i in part]), strict=True):
                 out[i] = ids
         return out
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, ``_NONE`` where it is no token."""
+        key = a << _SHIFT | b
+        at = (key * _SPREAD).view(np.uint64) >> self.drop
+        out = np.full(len(key), _NONE)
+        left = np.arange(len(key))
+        while len(left):  # open addressing: the next place until the key or a free one is met
+            met = self.slots[at]
+            same = met == key[left]
+            out[left[same]] = self.found[at[same]]
+            on = ~same & (met >= 0)
+            left, at = left[on], at[on] + np.uint64(1)
+        return out
+
+    def _passes(self, words: list[bytes]) -> list[bytes]:
+        """Replays all words at once: in every pass each word's first pair of lowest rank becomes one token."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        token = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), size)
+        rank = np.full(len(token), _NONE)
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        rank[inside] = self._rank(token[inside], token[inside + 1])
+        done_word, done_token = [], []
+        while len(token):
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            size = np.diff(begin, append=len(word))
+            low = np.minimum.reduceat(rank, begin)
+            live = low < _NONE
+            stay = np.repeat(live, size)
+            if not live.all():  # finished words leave
+                done_word.append(word[~stay])
+                done_token.append(token[~stay])
+                token, word, rank = token[stay], word[stay], rank[stay]
+                size, low = size[live], low[live]
+            if not len(token):
+                break
+            hits = np.flatnonzero(rank == np.repeat(low, size))
+            at = hits[np.flatnonzero(np.diff(word[hits], prepend=-1))]  # the first place in each word
+            token[at] = low
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            token, word, rank = token[keep], word[keep], rank[keep]
+            at -= np.arange(len(at))  # places after those before them have gone
+            touched = np.concatenate([at, at[at > 0] - 1])
+            rank[touched] = _NONE
+            touched = touched[touched + 1 < len(token)]
+            touched = touched[word[touched] == word[touched + 1]]
+            rank[touched] = self._rank(token[touched], token[touched + 1])
+        word, token = np.concatenate(done_word), np.concatenate(done_token)
+        order = np.argsort(word, kind="stable")
+        data = token[order].astype(np.uint32).tobytes()
+        ends = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def _merge(self, words: list[bytes]) -> list[bytes]:
         token, starts = [], []
         for w in words:
