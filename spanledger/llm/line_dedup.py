@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from spanledger.llm.common import cut_lineage, fresh_names
 
 RATIO = 0.3
-#: Hosts with fewer pages keep all lines, unless a caller passes another ``min_pages``; the SQL of op5 has this floor.
-MIN_PAGES = 20
+#: Pages of a host that has a line on two pages at least can lose it, however small the host; a caller may ask for more.
+MIN_PAGES = 1
 #: Boilerplate lines of all hosts together that may be broadcast (about 5 MB); more are joined by host.
 BROADCAST_LINES = 100_000
 # Fixed value: the host of a URL.

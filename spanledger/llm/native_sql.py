@@ -11,9 +11,9 @@ from spanledger.llm import quality_rules as Q
 
 LINE_DEDUP = f"""
 WITH p AS (SELECT page_id, coalesce(lower(regexp_extract(url, '{L.HOST}', 1)), '') AS host, string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)) AS lines FROM pages),
-t AS (SELECT host, count(*) AS pages FROM p GROUP BY ALL HAVING count(*) >= {L.MIN_PAGES}),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY ALL),
 l AS (SELECT DISTINCT page_id, host, unnest(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13)))) AS line FROM p),
-b AS (SELECT host, line FROM l JOIN t USING (host) WHERE line <> '' GROUP BY ALL HAVING count(*) > {L.RATIO} * any_value(pages)),
+b AS (SELECT host, line FROM l JOIN t USING (host) WHERE line <> '' GROUP BY ALL HAVING count(*) > 1 AND count(*) > {L.RATIO} * any_value(pages)),
 g AS (SELECT host, list(line) AS gone FROM b GROUP BY ALL),
 k AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept FROM p LEFT JOIN g USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k"""

@@ -45,7 +45,7 @@ def test_lines(sp, monkeypatch, bound):
     want = []
     for i, u, t in own:
         h = host(u)
-        bad = lambda x: x.strip(" \t\r") != "" and pages[h] >= L.MIN_PAGES and seen[h, x.strip(" \t\r")] > L.RATIO * pages[h]  # noqa: B023, E731
+        bad = lambda x: x.strip(" \t\r") != "" and seen[h, x.strip(" \t\r")] > 1 and seen[h, x.strip(" \t\r")] > L.RATIO * pages[h]  # noqa: B023, E731
         lines = t.split("\n") if t is not None else []
         kept = [x for x in lines if not bad(x)]
         want.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
@@ -187,3 +187,26 @@ def test_map_versions(sp, tmp_path):
 
 def test_text_hash_of_removed_lines():
     assert hashlib.sha256(b"").hexdigest().endswith("b855")
+
+
+def test_a_repeated_row_does_not_fill_one_shard(sp, tmp_path):
+    rows = [(i, f"text {i}") for i in range(4000)] + [(7, "the same row")] * 2000
+    docs = sp.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = H.shard_records(sp, docs, str(tmp_path / "map"), 24).collect()
+    by = shards_of(got)
+    load = {s: sum(r["size"] for r in own) for s, own in by.items()}
+    assert len(got) == 6000 and max(load.values()) < 1.1 * sum(load.values()) / 24
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_copies_are_numbered(sp):
+    df = sp.createDataFrame([(i % 3 if i < 90 else i, None if i % 2 else "x") for i in range(120)], "a long, b string").repartition(5)
+    got = Counter((r.a, r.copy) for r in H.numbered_copies(df.select("a"), ["a"]).collect())
+    assert got == Counter([(a, c) for a in range(3) for c in range(30)] + [(a, 0) for a in range(90, 120)])
+
+
+def test_lines_of_small_hosts_go(sp):
+    rows = [(1, "http://few", "menu\nown 1"), (2, "http://few", "menu\nown 2"), (3, "http://one", "menu\nmenu")]
+    got = {r.page_id: r.text for r in L.drop_boilerplate(sp.createDataFrame(rows, "page_id long, url string, text string"), L.url_host()).collect()}
+    assert got == {1: "own 1", 2: "own 2", 3: "menu\nmenu"}
