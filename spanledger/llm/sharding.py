@@ -11,7 +11,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import fresh_names
+from spanledger.llm.common import cut_lineage, fresh_names
 
 #: Slots for ever; also the bound of everything that reaches the driver or is broadcast.
 SLOTS = 16_384
@@ -28,6 +28,23 @@ def virtual_slot(key: str = "doc_id", text: str = "text", slots: int = SLOTS):
     return F.pmod(F.xxhash64(key, text), F.lit(slots)).cast("int")
 
 
+def numbered_copies(records: DataFrame, same: list[str], out: str = "copy") -> DataFrame:
+    """Adds the number of each row among rows with equal ``same``, from 0: all of 0 where a row has no copy.
+
+    Copies are counted task by task, so a group of any size is numbered by the tasks that hold its rows, and only one count per
+    group and task is ordered. Which copy has which number is no matter, as they are equal."""
+    part, ahead, n = fresh_names(records, "part", "ahead", "n")
+    rows = cut_lineage(records.withColumn(part, F.spark_partition_id()))
+    counts = rows.groupBy(*same, part).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(*same).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*same, part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(ahead), F.sum(n).over(Window.partitionBy(*same)).alias(n))
+    again = cut_lineage(before.where(F.col(n) > 1).drop(n))
+    found = rows.join(again, [*same, part], "left")
+    own = F.row_number().over(Window.partitionBy(*same, part).orderBy(F.lit(0))) - 1
+    several = found.where(F.col(ahead).isNotNull()).withColumn(out, F.col(ahead) + own)
+    return found.where(F.col(ahead).isNull()).withColumn(out, F.lit(0).cast("long")).unionByName(several).drop(part, ahead)
+
+
 def slot_loads(records: DataFrame, size: str = "size", slot: str = "virtual_slot") -> list[tuple[int, int, int]]:
     """(slot, bytes, rows) of all slots in use: at most SLOTS rows, summed on the executors."""
     return sorted(tuple(r) for r in records.groupBy(slot).agg(F.sum(size).alias("b"), F.count("*").alias("n")).collect())
@@ -107,10 +124,14 @@ def shard_places(records: DataFrame, owner: DataFrame, order: list[str], slot: s
 def shard_records(spark: SparkSession, docs: DataFrame, folder: str, shards: int, key: str = "doc_id", version: int = 1, slots: int = SLOTS) -> DataFrame:
     """Deals all records into shards of near equal bytes and stores the map: key, size, text_crc32, virtual_slot, shard, slot, map_version.
 
-    Null text has no bytes; null keys, equal keys and repeated rows are records like others (identical rows share a virtual slot).
-    An empty table stores a map and gives no rows. Only the key and figures of the text are shuffled."""
+    Null text has no bytes; null keys, equal keys and repeated rows are records like others (identical rows go to slots by their number among
+    them, so that no slot has them all). Texts of any length count with all their bytes. An empty table stores a map and gives no rows. Only the key and
+    figures of the text are shuffled."""
     records = docs.select(key, record_size().alias("size"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
-                          virtual_slot(key, "text", slots).alias("virtual_slot"))
+                          virtual_slot(key, "text", slots).alias("virtual_slot"), F.xxhash64(key, "text").alias("record"))
+    records = numbered_copies(records, ["record"])
+    spread = F.when(F.col("copy") == 0, F.col("virtual_slot")).otherwise(F.pmod(F.xxhash64("record", "copy"), F.lit(slots)).cast("int"))
+    records = cut_lineage(records.select(key, "size", "text_crc32", spread.alias("virtual_slot")))
     loads = slot_loads(records)
     store_map(spark, folder, version, first_map(loads, shards, slots), loads)
     return shard_places(records, load_map(spark, folder, version), [key, "text_crc32"]).withColumn("map_version", F.lit(version))
