@@ -79,3 +79,10 @@ def test_run_equals_the_stages(sp, tmp_path):
     folder = planted(tmp_path, sp)
     got = P.run(sp, folder)
     assert got.agg(F.sum("length")).first()[0] > 0 and "sequence_id" in got.columns
+
+
+def test_documents_of_one_number_that_differ_stay(sp):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = sp.createDataFrame([(1, one, "en", "s", 0), (1, two, "en", "s", 0), (1, two, "en", "s", 0), (5, "", "en", "s", 0)], schema)
+    assert sorted((r.doc_id, r.text) for r in P.keep_one_of_each(sp, docs, "").collect()) == sorted([(1, one), (1, two), (5, "")])
