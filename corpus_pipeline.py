@@ -49,15 +49,15 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, five words and 0.8: of each component the document with the smallest number stays (rows of equal number: one).
+    """Operator 4, five words and 0.8: of each component the document with the smallest number stays (rows of equal number and text: one).
 
-    A document without shingles or number is no copy and stays."""
+    A document without shingles or number is no copy and stays, as do documents of one number that differ."""
     near = cut_lineage(near_duplicates(docs, n=5, percent=80))
     gone = near.where("doc_id <> component_id").select("doc_id").distinct()
     again = near.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
     if again.limit(1).count():
-        twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         left = left.join(again, "doc_id", "left_anti").unionByName(twice)
     return left.select(*docs.columns)
 
