@@ -25,8 +25,10 @@ WINDOW = 50
 RUN = 8
 #: Words of one bucket, on average; its task holds some numbers of each.
 BUCKET_WORDS = 1_500_000
-#: A minimiser with more different contents is dealt out by window instead of sorted in one bucket.
-HOT_CONTENTS = 20_000
+#: A minimiser with more different contents, or with contents of more bytes, is dealt out by window instead of sorted in one bucket.
+HOT_CONTENTS, HOT_BYTES = 20_000, 12 * BUCKET_WORDS
+#: Windows that are handed on at once.
+WINDOW_BATCH = 20_000
 #: Documents whose keys may be broadcast to pick their texts before a shuffle (about 35 MB as a hash table); more are joined by key.
 PICKED_DOCS = 500_000
 SUPER = "start int, n int, minimiser long, content long"
@@ -153,17 +155,17 @@ def _older_by_window(hot: DataFrame, window: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
+        names = ["minimiser", "content", "first"]
         for batch in batches:
-            out = ([], [], [])
-            for i, packed in enumerate(batch.column(batch.schema.get_field_index("packed")).to_pylist()):
-                own = packed.split()
-                for j in range(len(own) - window + 1):
-                    for column, v in zip(out, (i, j, blake2b(b" ".join(own[j:j + window]), digest_size=16).digest()), strict=True):
-                        column.append(v)
-            take = pa.array(out[0], pa.int64())
-            names = ["minimiser", "content", "first"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).take(take) for c in names), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
-                                             [*names, "run_from", "digest"])
+            column = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            packed = batch.column(batch.schema.get_field_index("packed"))
+            for i in range(len(batch)):  # one content at a time, and of a long one some windows at a time
+                own = packed[i].as_py().split()
+                for a in range(0, len(own) - window + 1, WINDOW_BATCH):
+                    places = range(a, min(a + WINDOW_BATCH, len(own) - window + 1))
+                    digests = [blake2b(b" ".join(own[j:j + window]), digest_size=16).digest() for j in places]
+                    take = pa.array(np.full(len(places), i))
+                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in column), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], [*names, "run_from", "digest"])
 
     kind = dict(hot.dtypes)["first"]
     each = hot.mapInArrow(work, f"minimiser long, content long, first {kind}, run_from int, digest binary")
@@ -183,7 +185,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", window: int = WINDOW, r
     strings = cut_lineage(packed_strings(docs, firsts.where("mixed").drop("mixed"), key, window))
     total = strings.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     buckets = max(1, round(total / 6 / BUCKET_WORDS))
-    often = strings.groupBy("minimiser").count().where(F.col("count") > HOT_CONTENTS).select("minimiser")
+    weight = strings.groupBy("minimiser").agg(F.count("*").alias("n"), F.sum(F.octet_length("packed")).alias("bytes"))
+    often = weight.where((F.col("n") > HOT_CONTENTS) | (F.col("bytes") > HOT_BYTES)).select("minimiser")
     older = (strings.join(often, "minimiser", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets)))
              .groupBy("bucket").applyInArrow(_older(window, key), "minimiser long, content long, run_from int, run_n int"))
     if often.count():

@@ -105,6 +105,15 @@ def test_substrings(sp, monkeypatch, hot, seed):
     assert got == removed(own, 12)
 
 
+def test_long_filler_does_not_meet_in_one_bucket(sp, monkeypatch):
+    # One word over and over has one minimiser, and every length of it is another content.
+    monkeypatch.setattr(S, "HOT_BYTES", 2_000)
+    monkeypatch.setattr(S, "WINDOW_BATCH", 7)
+    own = [(i, "| " * (20 + 5 * i)) for i in range(40)] + [(50 + i, " ".join(f"w{j}" for j in range(i, i + 80))) for i in range(3)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in S.drop_repeats(sp.createDataFrame(own, "doc_id long, text string"), window=12, run=4).collect())
+    assert got == removed(own, 12)
+
+
 def test_substrings_beyond_the_broadcast_bound(sp, monkeypatch):
     monkeypatch.setattr(S, "PICKED_DOCS", 0)
     own = passages(3)
