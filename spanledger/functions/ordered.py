@@ -10,6 +10,7 @@ per-key step sees one row per bucket.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -119,6 +120,70 @@ def exact_quantiles(counts: DataFrame, group: str, value: str, n: str, at: list[
             .select(group, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_x") - F.floor("_x"))).alias("q")))
 
 
+#: Rows of one hash range that are looked at one by one.
+FEW_ROWS = 10_000
+
+
+def rank_cuts(df: DataFrame, key: str, seed: int, ranks, slices: int = 4096) -> tuple[int, list[tuple[int, int] | None]]:
+    """Row count, and for each function of it in ``ranks`` the (hash, id) of the row with that 1-based rank in hash order.
+
+    None stands for a rank below 1; ranks beyond the end are the last row's. Rows are counted per hash range, then
+    only the ranges with a wanted rank are divided further, until they hold few rows. So a rank is compared with, not
+    carried by, the rows: whoever asks on which side of a cut a row lies needs no exchange. Ids are unique; rows that
+    repeat one lie on the same side.
+    """
+    hashed = df.select(F.col(key).cast("long").alias("k"), mix(F.col(key), seed).alias("h"))
+
+    def counts(ranges: list[tuple[int, int]]) -> dict[tuple[int, int], dict[int, int]]:
+        inside = [F.when((F.col("h") >= lo) & (F.col("h") < lo + slices * w), F.struct(F.lit(i).alias("i"), int_div(F.col("h") - lo, w).alias("b"))) for i, (lo, w) in enumerate(ranges)]
+        out: dict = {r: {} for r in ranges}
+        for r in hashed.groupBy(F.coalesce(*inside).alias("at")).agg(F.count("*").alias("n")).where("at IS NOT NULL").collect():
+            out[ranges[r["at"]["i"]]][r["at"]["b"]] = r["n"]
+        return out
+
+    top = (0, -(-2_147_483_647 // slices))
+    level = {top: counts([top])[top]}
+    n = sum(level[top].values())
+    wanted = [min(int(r(n) if callable(r) else r), n) for r in ranks]
+    # Of each rank: the range it is in, and the rows before that range.
+    open_, cuts = {r: (top, 0) for r in wanted if r > 0}, {}
+    while open_:
+        few: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r, (where, before) in list(open_.items()):
+            lo, w = where
+            for b in sorted(level[where]):
+                if before + level[where][b] >= r:
+                    break
+                before += level[where][b]
+            if level[where][b] <= FEW_ROWS or w == 1:
+                few.setdefault((lo + b * w, w), []).append((r, before))
+                del open_[r]
+            else:
+                open_[r] = ((lo + b * w, -(-w // slices)), before)
+        if few:
+            here = reduce(lambda a, c: a | c, [(F.col("h") >= lo) & (F.col("h") < lo + w) for lo, w in few])
+            rows = [(r["h"], r["k"], r["n"]) for r in hashed.where(here).groupBy("h", "k").agg(F.count("*").alias("n")).orderBy("h", "k").collect()]
+            for (lo, w), asked in few.items():
+                own = [x for x in rows if lo <= x[0] < lo + w]
+                for r, before in asked:
+                    for h, k, m in own:
+                        before += m
+                        if before >= r:
+                            cuts[r] = (h, k)
+                            break
+        fresh = list({where for where, _ in open_.values()})
+        level = counts(fresh) if fresh else {}
+    return n, [cuts.get(r) for r in wanted]
+
+
+def up_to(key: str, seed: int, cut: tuple[int, int] | None) -> Column:
+    """Whether a row's rank is at most that of the cut."""
+    if cut is None:
+        return F.lit(False)
+    h = mix(F.col(key), seed)
+    return (h < cut[0]) | ((h == cut[0]) & (F.col(key).cast("long") <= cut[1]))
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, out: str, within: list[str] | None = None,
               slices: int = 1024, size: str | None = None) -> DataFrame:
     """Adds ``out``: 1-based rank of the row in hash order of a unique id, per ``within`` group, and

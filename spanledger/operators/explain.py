@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -221,30 +221,54 @@ def rule_importance(exps: DataFrame, key: str = "exp_id") -> DataFrame:
     return w.groupBy("rule").agg(F.sqrt(F.sum(F.abs("w"))).alias("importance"))
 
 
-def greedy_pick(exps: DataFrame, picks: int, key: str = "exp_id") -> DataFrame:
+def greedy_pick(exps: DataFrame, picks: int, key: str = "exp_id", held: int = 2_048) -> DataFrame:
     """(step, exp_id, coverage): explanations that together cover the most important rules.
 
     Each step adds the explanation with the largest importance of rules not yet covered, the last
-    one on ties. The chosen ids are literals, so every step plans from the same tables.
+    one on ties. What an explanation adds can only fall as others are picked, so a gain once known bounds it
+    from above (Minoux 1978): of a queue by bounds only the head is reckoned anew, until it keeps its place. The queue
+    holds the ``held`` best; when its head falls below what was left outside, gains of all are made again in one scan.
     """
     spark = exps.sparkSession
-    w = exps.groupBy(key, "rule").agg(F.sum("weight").alias("w")).persist()
-    entries = w.where("w <> 0").select(key, "rule").join(rule_importance(exps, key), "rule").persist()
-    everyone = w.select(key).distinct()
+    w = exps.groupBy(key, "rule").agg(F.sum("weight").alias("w"))
+    per = (w.join(rule_importance(exps, key), "rule").groupBy(key)
+           .agg(F.collect_list(F.when(F.col("w") != 0, F.struct("rule", "importance"))).alias("rules")).persist())
     chosen: list[tuple[int, int, float]] = []
-    total = 0.0
-    for step in range(1, picks + 1):
-        ids = [c[1] for c in chosen]
-        open_rules = entries.join(entries.where(F.col(key).isin(ids)).select("rule").distinct(), "rule", "left_anti") if ids else entries
-        gain = open_rules.groupBy(key).agg(F.sum("importance").alias("g"))
-        best = (everyone.where(~F.col(key).isin(ids)) if ids else everyone).join(gain, key, "left").agg(
-            F.max(F.struct(F.round(F.coalesce("g", F.lit(0.0)), 9).alias("g"), key))).first()[0]
-        if best is None:
-            break
-        total += best["g"]
-        chosen.append((step, best[key], total))
-    w.unpersist()
-    entries.unpersist()
+    covered: set[str] = set()
+    queue: list[tuple[float, int]] = []
+    rules: dict[int, list[tuple[str, float]]] = {}
+    outside, total_gain = None, 0.0
+
+    def gain(e: int) -> float:
+        return round(sum(sorted(v for r, v in rules[e] if r not in covered)), 9)
+
+    while len(chosen) < picks:
+        best = None
+        while queue:
+            bound, e = -queue[0][0], -queue[0][1]
+            now = gain(e)
+            if now < bound:
+                heapreplace(queue, (-now, -e))
+            else:
+                best = (now, e)
+                break
+        if best is None or (outside is not None and best < outside):
+            left = F.filter("rules", lambda r: ~r["rule"].isin(sorted(covered))) if covered else F.col("rules")
+            sums = F.round(F.aggregate(F.array_sort(F.transform(left, lambda r: r["importance"])), F.lit(0.0), lambda s, v: s + v), 9)
+            open_ = per.where(~F.col(key).isin([c[1] for c in chosen])) if chosen else per
+            rows = open_.select(sums.alias("g"), key, "rules").orderBy(F.desc("g"), F.desc(key)).limit(held).collect()
+            if not rows:
+                break
+            rules = {r[key]: [(x["rule"], x["importance"]) for x in r["rules"]] for r in rows}
+            queue = [(-gain(r[key]), -r[key]) for r in rows]
+            heapify(queue)
+            outside = (rows[-1]["g"], rows[-1][key]) if len(rows) == held else None
+            best = (-queue[0][0], -queue[0][1])
+        heappop(queue)
+        covered |= {r for r, _ in rules[best[1]]}
+        total_gain += best[0]
+        chosen.append((len(chosen) + 1, best[1], total_gain))
+    per.unpersist()
     return spark.createDataFrame(chosen, f"step int, {key} long, coverage double")
 
 

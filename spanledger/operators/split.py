@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil, exp
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from spanledger.functions.exprs import int_div
-from spanledger.functions.ordered import hash_rank
+from spanledger.functions.exprs import col, total
+from spanledger.functions.ordered import rank_cuts, up_to
+
+# Fixed value: draws are whole numbers below this.
+DRAWS = 2_147_483_647
 
 
 def with_count(df: DataFrame, name: str = "_n") -> DataFrame:
@@ -16,13 +22,13 @@ def with_count(df: DataFrame, name: str = "_n") -> DataFrame:
 def hash_split(df: DataFrame, key: str, train: float, val: float, test: float, seed: int) -> DataFrame:
     """Adds ``role``. Sizes are exact: the test share is rounded up, then the validation share of the rest.
 
-    The role depends on the key alone, so encoded and raw tables of the same keys split alike.
+    The role depends on the key alone, so encoded and raw tables of the same keys split alike. The rows of
+    the shares' ends are looked up first; then each row knows its role by itself, and none is moved.
     """
-    rows = hash_rank(df, key, seed, "_r", size="_n")
-    n_test = F.ceil(F.col("_n") * F.lit(test))
-    n_val = F.ceil((F.col("_n") - n_test) * F.lit(val / (train + val)))
-    return (rows.withColumn("role", F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val")
-                            .otherwise("train")).drop("_r", "_n"))
+    n_test = lambda n: ceil(n * test)
+    n_both = lambda n: n_test(n) + ceil((n - n_test(n)) * (val / (train + val)))
+    _, (last_test, last_val) = rank_cuts(df, key, seed, [n_test, n_both])
+    return df.withColumn("role", F.when(up_to(key, seed, last_test), "test").when(up_to(key, seed, last_val), "val").otherwise("train"))
 
 
 def _sizes(n: Column, val: float, test: float) -> tuple[Column, Column]:
@@ -57,15 +63,10 @@ def apply_dates(df: DataFrame, roles: DataFrame, date: str) -> DataFrame:
 
 
 def kfold_assign(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Adds ``fold`` 0..k-1 in hash order; the first n mod k folds have one row more."""
-    rows = hash_rank(df, key, seed, "_r", size="_n")
-    size, more = int_div(F.col("_n"), 1) - F.pmod("_n", F.lit(k)), F.pmod("_n", F.lit(k))
-    q = int_div(size, k)
-    head = more * (q + 1)
-    r = F.col("_r") - 1
-    fold = F.when(r < head, F.call_function("div", r, q + 1)).otherwise(
-        more + F.call_function("div", r - head, F.greatest(q, F.lit(1))))
-    return rows.withColumn("fold", fold.cast("int")).drop("_r", "_n")
+    """Adds ``fold`` 0..k-1 in hash order; the first n mod k folds have one row more. No row is moved."""
+    ends = [lambda n, i=i: n // k * i + min(n % k, i) for i in range(1, k)]
+    _, cuts = rank_cuts(df, key, seed, ends)
+    return df.withColumn("fold", total([(~up_to(key, seed, c)).cast("int") for c in cuts]) if cuts else F.lit(0))
 
 
 def fold_role(fold: Column, i: int, k: int) -> Column:
@@ -95,19 +96,39 @@ def oversample_parity(df: DataFrame, key: str, label: str, seed: int) -> DataFra
     Every minority row comes M div m times, the first M mod m in hash order once more. Repeating
     happens in place: no row moves for it.
     """
-    pos, n = F.sum(label), F.count("*")
-    sizes = df.agg(F.struct(pos.alias("p"), (n - pos).alias("q"))).scalar()
-    ranked = hash_rank(df, key, seed, "_r", within=[label]).withColumn("_s", sizes)
-    big, few = F.greatest("_s.p", "_s.q"), F.least("_s.p", "_s.q")
-    minority = F.col(label) == F.when(F.col("_s.p") <= F.col("_s.q"), 1).otherwise(0)
-    times = (F.call_function("div", big, few) + F.when(F.col("_r") <= big % few, 1).otherwise(0)).cast("int")
-    return (ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(minority & (few > 0), times).otherwise(1))))
-            .drop("_r", "_s"))
+    sizes = {int(r[label]): r["count"] for r in df.groupBy(label).count().where(F.col(label).isNotNull()).collect()}
+    p, q = sizes.get(1, 0), sizes.get(0, 0)
+    rare, few, big = (1, p, q) if p <= q else (0, q, p)
+    if not few:
+        return df.withColumn("copy", F.lit(1))
+    minority = F.col(label) == rare
+    _, (last,) = rank_cuts(df.where(minority), key, seed, [big % few])
+    times = F.when(minority, big // few + up_to(key, seed, last).cast("int")).otherwise(1)
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+
+
+def _poisson(rate: float) -> list[float]:
+    """Shares of 0, at most 1, at most 2, ... draws, as far as a draw of 31 bits can tell."""
+    out, term, have, i = [], exp(-rate), 0.0, 0
+    while have < 1 - 2.0 ** -31 and i < 40 + 4 * rate:
+        have += term
+        out.append(have)
+        i += 1
+        term *= rate / i
+    return out
 
 
 def oversample_random(df: DataFrame, label: str, seed: int) -> DataFrame:
-    """Minority rows drawn with replacement to about the size of the majority."""
+    """Minority rows drawn with replacement to about the size of the majority.
+
+    How often a row is drawn follows from a hash of its values, so the same rows are drawn however they are stored.
+    """
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     few = min(sizes, key=sizes.get)
     rate = max(sizes.values()) / sizes[few] - 1
-    return df.unionByName(df.where(F.col(label) == few).sample(True, rate, seed))
+    # Drawn in parts that the exponential can hold.
+    parts = max(1, ceil(rate / 50))
+    row = F.xxhash64(*[col(c) for c in df.columns])
+    draws = [F.size(F.filter(F.lit(np.array(_poisson(rate / parts))), lambda x, i=i: x <= F.pmod(F.xxhash64(row, F.lit(seed), F.lit(i)), F.lit(DRAWS)) / float(DRAWS))) for i in range(parts)]
+    extra = F.explode(F.array_repeat(F.lit(0), total(draws)))
+    return df.unionByName(df.where(F.col(label) == few).withColumn("_again", extra).drop("_again"))
