@@ -93,9 +93,23 @@ def minority_knn(t: Tables):
     return B.minority_knn(_points(t), "y", 5).select("id", "nb", "rank", F.round("d2", 6).alias("d2"))
 
 
-@query("smote")
+_UNIT = lambda seed: f"({mix_sql('(id * 65536 + copy)', seed)} / 2147483647.0::DOUBLE)"
+_BETWEEN = f"""deg AS (SELECT id, max(rank) AS deg FROM k GROUP BY 1),
+pick AS (SELECT id, copy, (floor({_UNIT(SEED)} * deg) + 1)::INT AS rank, {_UNIT(SEED + 1)} AS g FROM times JOIN deg USING (id), range(1, 100000) t(copy) WHERE copy <= t),
+new AS (SELECT id, copy::INT AS copy, nb, list_transform(list_zip(a.x::DOUBLE[], b.x::DOUBLE[]), lambda z: z[1] + g * (z[2] - z[1])) AS x
+ FROM pick JOIN k USING (id, rank) JOIN v a USING (id) JOIN v b ON b.id = nb)
+SELECT id, copy, nb, round(x[1], 6) AS x_first, round(list_sum(x), 6) AS x_sum FROM new"""
+
+
+def _drawn(new):
+    return new.select("id", "copy", "nb", F.round(F.col("x")[0], 6).alias("x_first"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("x_sum"))
+
+
+@query("smote", "WITH " + _KNN.format(same="AND b.y = 1") + f""", k AS (SELECT id, nb, rank FROM n WHERE rank <= 5),
+m AS (SELECT id, row_number() OVER (ORDER BY {mix_sql('id')}, id) AS r, count(*) OVER () AS few FROM v WHERE y = 1), d AS (SELECT sum(1 - y) - sum(y) AS need FROM v),
+times AS (SELECT id, need // few + CASE WHEN r <= need % few THEN 1 ELSE 0 END AS t FROM m, d), """ + _BETWEEN)
 def smote(t: Tables):
-    return B.smote(_points(t), "y", 5)
+    return _drawn(B.smote(_points(t), "y", 5))
 
 
 @query("adasyn_weights", "WITH " + _KNN.format(same="") + """, r AS (SELECT id, sum(1 - nb_y) / 5.0::DOUBLE AS ratio FROM n WHERE rank <= 5 GROUP BY 1),
@@ -105,9 +119,11 @@ def adasyn_weights(t: Tables):
     return B.adasyn_weights(_points(t), "y", 5)
 
 
-@query("adasyn")
+@query("adasyn", "WITH " + _KNN.format(same="") + """, r AS (SELECT id, sum(1 - nb_y) / 5.0::DOUBLE AS ratio FROM n WHERE rank <= 5 GROUP BY 1),
+s AS (SELECT sum(1 - y) - sum(y) AS need FROM v), times AS (SELECT id, round_even(ratio / (SELECT sum(ratio) FROM r) * need, 0)::BIGINT AS t FROM r, s),
+k AS (SELECT id, nb, place AS rank FROM (SELECT id, nb, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS place FROM n WHERE nb_y = 1) WHERE place <= 5), """ + _BETWEEN)
 def adasyn(t: Tables):
-    return B.adasyn(_points(t), "y", 5)
+    return _drawn(B.adasyn(_points(t), "y", 5))
 
 
 # --- metrics -------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spanledger.config import DAY
 from spanledger.functions.exprs import int_div, mix
+from spanledger.session import cut_lineage
 
 BUCKET = 30 * DAY
 
@@ -120,6 +121,21 @@ def exact_quantiles(counts: DataFrame, group: str, value: str, n: str, at: list[
             .select(group, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_x") - F.floor("_x"))).alias("q")))
 
 
+def range_rank(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: 1-based rank of the row within its group, by ``order``.
+
+    Rows are parted by ranges of (group, order), so a hot group lies in as many parts as it fills; a
+    rank is the place in the part and what earlier parts hold of the group, one count per part and group. The
+    table is stored in that order.
+    """
+    rows = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut_lineage(rows.withColumn("_part", F.shiftright("_at", 33)))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (rows.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+              .select(group, "_part", (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0)) - 1).alias("_first")))
+    return rows.join(starts, [group, "_part"]).withColumn(out, F.col("_at") - F.col("_first")).drop("_at", "_part", "_first")
+
+
 #: Rows of one hash range that are looked at one by one.
 FEW_ROWS = 10_000
 

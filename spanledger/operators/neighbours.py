@@ -1,10 +1,12 @@
 """Exact k nearest neighbours and the over-sampling built on them.
 
 The join follows the pivot method for kNN joins (Lu et al., VLDB 2012): rows belong to the cell of
-their nearest pivot, cells are cut into blocks of bounded size, a first pass inside the own cell
-bounds each block's neighbour distance, and only block pairs that the triangle inequality cannot
-rule out are compared. A task holds two blocks, whatever the size of a cell; a row sends on at most
-k candidates per compared block. Over-sampling follows SMOTE (Chawla 2002) and ADASYN (He 2008).
+their nearest pivot, and a cell is cut into rings by the distance to it, each a block of bounded size. A
+first pass over the nearest ring of the own cell bounds each block's neighbour distance. By the triangle
+inequality a ring can be too near to its pivot or too far from it to hold a neighbour; only the block
+pairs that are left are compared. A task holds two blocks, whatever the size of a cell; a row sends on at
+most k candidates per compared block. The driver knows pivots and cells, about the root of the table over
+eight, and no block. Over-sampling follows SMOTE (Chawla 2002) and ADASYN (He 2008).
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from spanledger.functions.exprs import mix
-from spanledger.functions.ordered import hash_rank
+from spanledger.functions.exprs import int_div, mix
+from spanledger.functions.ordered import range_rank, rank_cuts, up_to
 from spanledger.session import cut_lineage
 
 BLOCK_ROWS = 4096
@@ -24,8 +26,8 @@ BLOCK_ROWS = 4096
 SLACK = 1e-9
 
 
-def _cells(df: DataFrame, pivots: np.ndarray, block_rows: int, seed: int) -> DataFrame:
-    """(id, x, cell, pd, chunk): nearest pivot, distance to it, and a block within the cell."""
+def _cells(df: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
+    """(id, x, cell, pd, chunk): nearest pivot, distance to it, and the ring of the cell, the innermost first."""
     def assign(batches):
         for b in batches:
             x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, pivots.shape[1]))
@@ -34,10 +36,11 @@ def _cells(df: DataFrame, pivots: np.ndarray, block_rows: int, seed: int) -> Dat
             yield b.assign(cell=cell.astype("int32"), pd=np.sqrt(((x - pivots[cell]) ** 2).sum(1)))
 
     rows = df.select("id", "x").mapInPandas(assign, "id long, x array<double>, cell int, pd double")
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_chunks"))
-    # One row per cell.
-    return (rows.join(F.broadcast(sizes), "cell")
-            .withColumn("chunk", F.pmod(mix(F.col("id"), seed), F.col("_chunks")).cast("int")).drop("_chunks"))
+    return range_rank(rows, "cell", ["pd", "id"], "chunk").withColumn("chunk", int_div(F.col("chunk") - 1, block_rows).cast("int"))
+
+
+def _rings(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("cell", "chunk").agg(F.min("pd").alias("near"), F.max("pd").alias("far"), F.count("*").alias("n"))
 
 
 def _compare(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -79,6 +82,43 @@ def _best(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _named(blocks: DataFrame, side: str, *columns: str) -> DataFrame:
+    return blocks.select(*[F.col(c).alias(side + c) for c in columns])
+
+
+def block_pairs(left: DataFrame, right: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates of the first pass, further block pairs that may hold neighbours)."""
+    lblocks, rblocks = cut_lineage(_rings(left)), cut_lineage(_rings(right))
+    l, r = _named(lblocks, "l", "cell", "chunk", "near", "far"), _named(rblocks, "r", "cell", "chunk", "near", "far")
+    apart = F.abs(F.col("lnear") + F.col("lfar") - F.col("rnear") - F.col("rfar"))
+    own = (l.join(r, F.col("lcell") == F.col("rcell")).groupBy("lcell", "lchunk", "rcell").agg(F.min(F.struct(apart.alias("d"), F.col("rchunk").alias("c")))["c"].alias("rchunk")))
+    own = cut_lineage(own)
+    first = cut_lineage(_compare(left, right, own, k))
+    reach = (left.join(first.groupBy("id").agg(F.count("*").alias("_n"), F.max("d2").alias("_d")), "id", "left").groupBy("cell", "chunk")
+             .agg(F.min("pd").alias("near"), F.max("pd").alias("far"),
+                  F.max(F.when(F.col("_n") >= k, F.sqrt("_d")).otherwise(F.lit(float("inf")))).alias("reach")))
+    # One row per cell.
+    cells = {r_["cell"]: (r_["near"], r_["far"]) for r_ in rblocks.groupBy("cell").agg(F.min("near").alias("near"), F.max("far").alias("far")).collect()}
+    number = np.array(sorted(cells), np.int32)
+    inner, outer = (np.array([cells[c][i] for c in number.tolist()]) for i in (0, 1))
+    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))
+
+    def cells_of(batches):
+        for b in batches:
+            for c, h, lo, hi, r_ in zip(b["cell"], b["chunk"], b["near"], b["far"], b["reach"]):
+                # Distance of the block's rows to another pivot: between these two.
+                to, up = (np.where(number == c, lo, gaps[c, number] - hi), np.where(number == c, hi, gaps[c, number] + hi))
+                keep = (to - outer <= r_ * (1 + SLACK) + SLACK) & (inner - up <= r_ * (1 + SLACK) + SLACK)
+                yield pd.DataFrame({"lcell": np.full(keep.sum(), c), "lchunk": np.full(keep.sum(), h), "rcell": number[keep], "at_least": to[keep], "at_most": up[keep],
+                                    "reach": np.full(keep.sum(), r_)})
+
+    asked = reach.mapInPandas(cells_of, "lcell int, lchunk int, rcell int, at_least double, at_most double, reach double")
+    bound = F.col("reach") * (1 + SLACK) + SLACK
+    more = (asked.join(r, "rcell").where((F.col("at_least") - F.col("rfar") <= bound) & (F.col("rnear") - F.col("at_most") <= bound))
+            .select("lcell", "lchunk", "rcell", "rchunk"))
+    return first, cut_lineage(more.join(own, ["lcell", "lchunk", "rcell", "rchunk"], "left_anti"))
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, nb, d2, rank): the k nearest base rows of each query row, itself left out; ties by id.
 
@@ -91,46 +131,24 @@ def knn(queries: DataFrame, base: DataFrame, k: int, seed: int = 7, block_rows:
     if not chosen:
         return queries.select("id", F.lit(0).cast("long").alias("nb"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).where("false")
     pivots = np.array([r["x"] for r in chosen])
-    left, right = _cells(queries, pivots, block_rows, seed), _cells(base, pivots, block_rows, seed)
-    lblocks = left.groupBy("cell", "chunk").agg(F.max("pd").alias("far"))
-    own = (lblocks.select(F.col("cell").alias("lcell"), F.col("chunk").alias("lchunk"))
-           .withColumn("rcell", F.col("lcell")).withColumn("rchunk", F.lit(0)))
-    first = cut_lineage(_compare(left, right, own, k))
-    reach = (left.join(first.groupBy("id").agg(F.count("*").alias("_n"), F.max("d2").alias("_d")), "id", "left")
-             .groupBy("cell", "chunk")
-             .agg(F.max("pd").alias("far"), F.max(F.when(F.col("_n") >= k, F.sqrt("_d"))
-                                                  .otherwise(F.lit(float("inf")))).alias("reach")))
-    # Block tables: one row per block, n / block_rows rows plus the cells.
-    blocks = right.groupBy("cell", "chunk").agg(F.max("pd").alias("far"), F.min("pd").alias("near")).toPandas()
-    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))
-    rcell, far = blocks["cell"].to_numpy(), blocks["far"].to_numpy()
-    rchunk = blocks["chunk"].to_numpy()
-
-    def pair_up(batches):
-        for b in batches:
-            for c, h, f, r in zip(b["cell"], b["chunk"], b["far"], b["reach"]):
-                keep = gaps[c, rcell] - f - far <= r * (1 + SLACK) + SLACK
-                keep &= ~((rcell == c) & (rchunk == 0))
-                yield pd.DataFrame({"lcell": np.full(keep.sum(), c), "lchunk": np.full(keep.sum(), h),
-                                    "rcell": rcell[keep], "rchunk": rchunk[keep]})
-
-    more = reach.mapInPandas(pair_up, "lcell int, lchunk int, rcell int, rchunk int")
+    left, right = _cells(queries, pivots, block_rows), _cells(base, pivots, block_rows)
+    first, more = block_pairs(left, right, pivots, k)
     return _best(first.unionByName(_compare(left, right, more, k)), k)
 
 
 # --- synthetic minority rows ---------------------------------------------------------------------
 
-def _unit(*parts) -> F.Column:
-    """Reproducible draw in [0, 1) from the row identity, the same on any re-execution."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_003.0)
+def _unit(seed: int) -> F.Column:
+    """Reproducible draw in [0, 1) from row and copy, the same on any re-execution and in any engine."""
+    return mix(F.col("id") * 65_536 + F.col("copy"), seed) / F.lit(2_147_483_647.0)
 
 
 def _between(picks: DataFrame, rows: DataFrame, near: DataFrame, seed: int) -> DataFrame:
     """(id, copy, nb, x): points between a minority row and one of its minority neighbours."""
     degree = near.groupBy("id").agg(F.max("rank").alias("_deg"))
     chosen = picks.join(degree, "id").withColumn(
-        "rank", (F.floor(_unit("id", "copy", F.lit(seed)) * F.col("_deg")) + 1).cast("int"))
-    gap = _unit("copy", "id", F.lit(seed + 1))
+        "rank", (F.floor(_unit(seed) * F.col("_deg")) + 1).cast("int"))
+    gap = _unit(seed + 1)
     far = rows.select(F.col("id").alias("nb"), F.col("x").alias("_y"))
     return (chosen.join(near.select("id", "nb", "rank"), ["id", "rank"]).join(rows, "id").join(far, "nb")
             .withColumn("_g", gap)
@@ -154,9 +172,9 @@ def smote(df: DataFrame, label: str, k: int = 5, seed: int = 7, **kw) -> DataFra
     """Synthetic rows (id, copy, nb, x) that bring the minority to parity."""
     few, m, need = _sizes(df, label)
     rows = df.where(F.col(label) == few).select("id", "x")
-    times = (F.lit(need // m) + F.when(F.col("_r") <= need % m, 1).otherwise(0)).cast("int")
-    picks = (hash_rank(rows.select("id"), "id", seed, "_r").withColumn("_t", times).where("_t > 0")
-             .select("id", F.explode(F.sequence(F.lit(1), F.col("_t"))).alias("copy")))
+    _, (last,) = rank_cuts(rows, "id", seed, [need % m])
+    times = F.lit(need // m) + up_to("id", seed, last).cast("int")
+    picks = rows.select("id", times.alias("_t")).where("_t > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("_t"))).alias("copy"))
     return _between(picks, rows, knn(rows, rows, k, **kw), seed)
 
 

@@ -74,3 +74,36 @@ def test_lazy_picks_equal_a_scan(spark, held, seed):
     assert sorted((r["step"], r["exp_id"], round(r["coverage"], 6)) for r in got.collect()) == want
     assert L.greedy_pick(spark.createDataFrame(data[:3], "exp_id long, rule string, weight double"), 12).count() == 1
     assert L.greedy_pick(spark.createDataFrame([], "exp_id long, rule string, weight double"), 3).count() == 0
+
+
+def test_ranks_within_hot_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 7 % 3).alias("g"), (F.col("id") * 31 % 101).alias("v"), "id").repartition(5)
+    got = {r["id"]: r["r"] for r in O.range_rank(df, "g", ["v", "id"], "r").collect()}
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["g"], []).append((r["v"], r["id"]))
+    assert got == {i: n for own in by.values() for n, (_, i) in enumerate(sorted(own), 1)}
+
+
+def test_rings_leave_out_what_is_too_near_or_too_far(spark):
+    import numpy as np
+
+    from spanledger.operators import neighbours as B
+
+    rng = np.random.default_rng(1)
+    # Shells around one centre: only the distance to the pivot can tell them apart.
+    x = rng.standard_normal((1200, 2))
+    x *= (np.arange(1200) % 40 + 1)[:, None] / np.linalg.norm(x, axis=1, keepdims=True)
+    x[0] = 0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    rows, base = B._cells(df, x[:1], 60), B._cells(df, x[:1], 60)
+    first, more = B.block_pairs(rows, base, x[:1], 3)
+    assert rows.select("chunk").distinct().count() == 20
+    assert more.count() < 0.5 * 20 * 20
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = {i: sorted(zip(d[i], range(1200)))[:3] for i in range(1200)}
+    got = {}
+    for r in B._best(first.unionByName(B._compare(rows, base, more, 3)), 3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["nb"]))
+    assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == {i: [n for _, n in v] for i, v in want.items()}
