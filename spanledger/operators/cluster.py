@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from spanledger.functions.exprs import sq_distance
+from spanledger.functions.exprs import sq_distance, total as add_up
+from spanledger.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -214,7 +215,8 @@ def silhouette_rows(df: DataFrame, gamma: float = 0.0) -> DataFrame:
 
     The distance is squared Euclidean plus mismatches, so the mean distance of a row to a cluster
     follows from the cluster's size, vector sum, squared norm and category counts. That makes it
-    exact in two linear passes, without pairs and without sampling. A cluster of one scores 0.
+    exact in two linear passes, without pairs and without sampling. A cluster of one scores 0. Only what
+    is known of whole clusters comes to the driver.
     """
     df = df if "c" in df.columns else df.withColumn("c", F.array().cast("array<int>"))
     size = df.select(F.size("x"), F.size("c")).first()
@@ -223,22 +225,21 @@ def silhouette_rows(df: DataFrame, gamma: float = 0.0) -> DataFrame:
     stats = df.withColumn("_n2", norm).groupBy("cluster").agg(
         F.count("*").alias("n"), F.sum("_n2").alias("q"), F.array(*[F.sum(F.col("x")[i]) for i in range(width)]).cast("array<double>").alias("s"))
     stats = sorted(stats.collect(), key=lambda r: r["cluster"])
-    rows = df.withColumn("_n2", norm)
+    rows, ids = df.withColumn("_n2", norm), [r["cluster"] for r in stats]
     if cats:
-        # Vocabulary by cluster and position; checked by the width of codes, not by rows.
-        seen = (df.select("cluster", F.posexplode("c").alias("pos", "v")).groupBy("cluster", "pos", "v").agg(F.count("*").alias("m")))
-        match = {r["cluster"]: {} for r in stats}
-        for r in seen.collect():
-            match[r["cluster"]][(r["pos"], r["v"])] = r["m"]
+        # How often each code stands at each position in every cluster; joined position by position, however many codes there are.
+        seen = (df.select("cluster", F.posexplode("c").alias("pos", "v")).groupBy("pos", "v")
+                .agg(F.array(*[F.count_if(F.col("cluster") == i) for i in ids]).alias("m")))
+        seen = cut_lineage(seen)
+        for p in range(cats):
+            own = seen.where(F.col("pos") == p).select(F.col("v").alias(f"_v{p}"), F.col("m").alias(f"_m{p}"))
+            rows = rows.join(own, F.col("c")[p] == F.col(f"_v{p}"), "left").drop(f"_v{p}")
 
     def mean_to(r, own: bool) -> Column:
         dot = F.aggregate(F.zip_with("x", _doubles(r["s"]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         total = F.col("_n2") * float(r["n"]) - 2.0 * dot + float(r["q"])
         if cats:
-            same = F.map_from_arrays(F.array(*[F.lit(f"{p}:{v}") for p, v in match[r["cluster"]]]),
-                                     F.array(*[F.lit(m) for m in match[r["cluster"]].values()]))
-            hits = F.aggregate(F.transform("c", lambda v, i: F.coalesce(
-                F.try_element_at(same, F.concat(i.cast("string"), F.lit(":"), v.cast("string"))), F.lit(0))), F.lit(0), lambda s, v: s + v)
+            hits = add_up([F.coalesce(F.col(f"_m{p}")[ids.index(r["cluster"])], F.lit(0)) for p in range(cats)])
             total = total + gamma * (float(r["n"]) * cats - hits)
         return total / float(r["n"] - 1 if own else r["n"])
 
@@ -252,7 +253,7 @@ def silhouette_rows(df: DataFrame, gamma: float = 0.0) -> DataFrame:
     return (rows.withColumn("_a", mine).withColumn("_b", b)
             .withColumn("silhouette", F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0.0)
                         .otherwise(F.when(F.greatest("_a", "_b") > 0, (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).otherwise(0.0)))
-            .drop("_n2", "_a", "_b"))
+            .drop("_n2", "_a", "_b", *[f"_m{p}" for p in range(cats)]))
 
 
 def silhouette(df: DataFrame, gamma: float = 0.0) -> DataFrame:

@@ -54,15 +54,40 @@ def estimator(kind: str, label: str, seed: int, width: int, weight: str | None =
     raise ValueError(kind)
 
 
-def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int = 7, pos_weight: float | None = None, **params):
-    """Fitted model; ``pos_weight`` turns on class weights."""
+def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int = 7, pos_weight: float | None = None,
+        val: DataFrame | None = None, **params):
+    """Fitted model; ``pos_weight`` turns on class weights.
+
+    Rows of ``val`` say when to stop: boosting ends when its loss on them no longer falls, and of networks trained for more and
+    more iterations the one with the least loss on them is kept. Other models are fitted to their end and do not look at them.
+    """
+    weighted = pos_weight is not None
+
+    def ready(part: DataFrame) -> DataFrame:
+        return assemble(part, columns).withColumn(label, F.col(label).cast("double"))
+
     rows = df.withColumn(label, F.col(label).cast("int"))
-    if pos_weight is not None:
+    if weighted:
         rows = with_weights(rows, label, pos_weight)
         if kind == "mlp":
             rows = replicated(rows)
-    rows = assemble(rows, columns).withColumn(label, F.col(label).cast("double"))
-    return estimator(kind, label, seed, len(columns), "weight" if pos_weight is not None else None, **params).fit(rows)
+    own = estimator(kind, label, seed, len(columns), "weight" if weighted else None, **params)
+    if val is None or kind not in ("gbt", "mlp") or not val.limit(1).count():
+        return own.fit(ready(rows))
+    if kind == "gbt":
+        check = val.withColumn("weight", F.lit(1.0)) if weighted else val
+        keep = [*columns, label, *(["weight"] if weighted else [])]
+        both = (rows.select(*[col(c) for c in keep], F.lit(False).alias("_val"))
+                .unionByName(check.select(*[col(c) for c in keep], F.lit(True).alias("_val"))))
+        return own.setValidationIndicatorCol("_val").fit(ready(both))
+    most, models_ = own.getMaxIter(), []
+    rows = ready(rows).persist()
+    for iterations in sorted({max(1, most // 4), max(1, most // 2), most}):
+        model = own.copy({own.maxIter: iterations}).fit(rows)
+        loss = M.accuracy_logloss(score(model, val, columns), label).first()["loss"]
+        models_.append((loss, iterations, model))
+    rows.unpersist()
+    return min(models_, key=lambda m: m[:2])[2]
 
 
 def score(model, df: DataFrame, columns: Sequence[str], out: str = "p") -> DataFrame:
@@ -107,11 +132,13 @@ METRICS = ("recall", "f1score", "precision", "auc", "loss", "accuracy")
 
 def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str, scaled: Sequence[str], seed: int = 7,
                 pos_weight: float | None = None, balance: Callable[[DataFrame], DataFrame] | None = None, **params) -> dict[str, float]:
-    """Scale on train, balance it, fit, measure on test. ``parts`` has a ``role`` column; who runs several rounds keeps it cached meanwhile."""
+    """Scale on train, balance it, fit (stopped by val), measure on test. ``parts`` has a ``role`` column; who runs several rounds keeps it
+    cached meanwhile."""
     train = parts.where("role = 'train'")
     fitted = encode.fixed_moments(encode.moments(train, list(scaled)))
     ready = encode.standard_scale(train, fitted)
-    model = fit(kind, balance(ready) if balance else ready, columns, label, seed, pos_weight, **params)
+    val = encode.standard_scale(parts.where("role = 'val'"), fitted)
+    model = fit(kind, balance(ready) if balance else ready, columns, label, seed, pos_weight, val, **params)
     return run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label)
 
 

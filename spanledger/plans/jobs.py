@@ -124,7 +124,7 @@ def numeric_inputs(ds: Dataset) -> list[str]:
 
 
 def train(ds: Dataset, cfg: Settings, kind: str, **params) -> Trained:
-    """Split, scale on the training part, balance, fit, and measure on the test part."""
+    """Split, scale on the training part, balance, fit until the validation part says stop, and measure on the test part."""
     columns = inputs(ds)
     parts = split_roles(ds, cfg).persist()
     # One row per column: read once, and kept as values.
@@ -132,7 +132,8 @@ def train(ds: Dataset, cfg: Settings, kind: str, **params) -> Trained:
     fitted = parts.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
     ready = rebalance(encode.standard_scale(parts.where("role = 'train'"), fitted), columns, cfg)
     pos_weight = cfg.train.pos_weight if cfg.train.imbalance == "class_weight" else None
-    model = models.fit(kind, ready, columns, LABEL, cfg.seed, pos_weight, **params)
+    val = encode.standard_scale(parts.where("role = 'val'"), fitted)
+    model = models.fit(kind, ready, columns, LABEL, cfg.seed, pos_weight, val, **params)
     out = Trained(kind, model, fitted, columns)
     scored = out.score(parts.where("role = 'test'"))
     metrics = models.evaluate(scored, cfg.train.thresholds, LABEL)
