@@ -138,7 +138,7 @@ def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str,
     fitted = encode.fixed_moments(encode.moments(train, list(scaled)))
     ready = encode.standard_scale(train, fitted)
     val = encode.standard_scale(parts.where("role = 'val'"), fitted)
-    model = fit(kind, balance(ready) if balance else ready, columns, label, seed, pos_weight, val, **params)
+    model = fit(kind, balance(ready) if balance else ready, columns, label, seed, pos_weight, val=val, **params)
     return run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label)
 
 

@@ -133,7 +133,7 @@ def train(ds: Dataset, cfg: Settings, kind: str, **params) -> Trained:
     ready = rebalance(encode.standard_scale(parts.where("role = 'train'"), fitted), columns, cfg)
     pos_weight = cfg.train.pos_weight if cfg.train.imbalance == "class_weight" else None
     val = encode.standard_scale(parts.where("role = 'val'"), fitted)
-    model = models.fit(kind, ready, columns, LABEL, cfg.seed, pos_weight, val, **params)
+    model = models.fit(kind, ready, columns, LABEL, cfg.seed, pos_weight, val=val, **params)
     out = Trained(kind, model, fitted, columns)
     scored = out.score(parts.where("role = 'test'"))
     metrics = models.evaluate(scored, cfg.train.thresholds, LABEL)
