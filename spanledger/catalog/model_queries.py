@@ -318,7 +318,7 @@ def forward_cv(t: Tables):
 
 @query("horizon_search")
 def horizon_search(t: Tables):
-    # As many horizons as the month of events has weeks for.
+    # The events span one month, so weeks 0 to 2 in place of the settings' 0 to 52.
     cfg = replace(CFG, horizon=HorizonSettings(0, 2, 1))
     return jobs.horizon_search(t.raw_episodes(), cfg, "logreg", series=True, n_anchors=7, regParam=0.01)
 
