@@ -168,6 +168,25 @@ def episode_export(union: DataFrame, services: DataFrame, ordered: bool = False)
     return out.orderBy("ClientID", "DateStart", "DateEnd") if ordered else out
 
 
+def detail_branches(src: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The nine detail records of clients by service type, codes named, columns as in the export."""
+    meds = src["medications"]
+    return {
+        "Income": incomes(src["incomes"], src["income_types"]).withColumn("ReasonForService", F.col("IncomeType")),
+        "Expenses": expenses(src["expenses"], src["expense_types"], src["frequency_types"]),
+        "Education": lookup(src["education"], src["education_types"], "EducationLevelTypeID", "EducationLevel"),
+        "HealthIssues": health_issues(src["health_issues"], src["health_issue_types"], meds)
+        .withColumnsRenamed({"DateFrom": "DateStart", "DateTo": "DateEnd"}),
+        "Medications": free_medications(meds).withColumnRenamed("MedicationName", "OtherMedications").drop("HealthIssueID"),
+        "Contributing Factor": lookup(src["contributing_factors"], src["contributing_types"], "ContributingTypeID", "ContributingFactor"),
+        "Behavioral Risk Factor": lookup(lookup(src["behaviours"], src["behaviour_types"], "BehavioralTypeID", "BehavioralFactor"),
+                                         src["probability_types"], "ProbabilityTypeID", "Severity"),
+        "Life Events": life_events(src["life_events"], src["life_event_types"], src["clients"]),
+        "Diet": lookup(lookup(src["diets"], src["diet_types"], "DietCategoryTypeID", "DietCatetory"),
+                       src["food_types"], "DietFoodItemTypeID", "FoodType").withColumnRenamed("CreatedDate", "DateStart"),
+    }
+
+
 def export(src: Mapping[str, DataFrame], now: str, second_choice: str = "Declined", cluster: int = 16) -> DataFrame:
     """The whole export over normalised tables; see README for the table names it expects."""
     orgs = src["organizations"].where(F.col("ClusterID") == cluster)
@@ -189,7 +208,6 @@ def export(src: Mapping[str, DataFrame], now: str, second_choice: str = "Decline
     keep = [c for c in EXPORT_COLUMNS[:20] if c in basics.columns]
     basics = basics.select(*keep)
     services = known_only(src["client_services"], basics)
-    meds = src["medications"]
     modules = text_list(lookup(src["barred_modules"], src["module_types"], "ServiceRestrictionModuleTypeID", "Module"),
                         "ClientBarredPeriodID", "Module", "Modules")
     barred = src["barred_periods"].join(src["barred_organizations"], "ClientBarredPeriodID")
@@ -200,21 +218,10 @@ def export(src: Mapping[str, DataFrame], now: str, second_choice: str = "Decline
                     src["intake_types"], "IntakeType", "SPDAT_Type")
     scored = lookup(lookup(scored, src["prescreen_types"], "PreScreenPeriodTypeID", "PreScreenPeriod", "left"),
                     orgs, "OrganizationID", "OrganizationName", code_id="OrganizationID", name="Name")
-    # Service types of the record branches.
+    # Service types of the record branches, in export order.
     branches = {
         None: services,
-        "Income": incomes(src["incomes"], src["income_types"]).withColumn("ReasonForService", F.col("IncomeType")),
-        "Expenses": expenses(src["expenses"], src["expense_types"], src["frequency_types"]),
-        "Education": lookup(src["education"], src["education_types"], "EducationLevelTypeID", "EducationLevel"),
-        "HealthIssues": health_issues(src["health_issues"], src["health_issue_types"], meds)
-        .withColumnsRenamed({"DateFrom": "DateStart", "DateTo": "DateEnd"}),
-        "Medications": free_medications(meds).withColumnRenamed("MedicationName", "OtherMedications").drop("HealthIssueID"),
-        "Contributing Factor": lookup(src["contributing_factors"], src["contributing_types"], "ContributingTypeID", "ContributingFactor"),
-        "Behavioral Risk Factor": lookup(lookup(src["behaviours"], src["behaviour_types"], "BehavioralTypeID", "BehavioralFactor"),
-                                         src["probability_types"], "ProbabilityTypeID", "Severity"),
-        "Life Events": life_events(src["life_events"], src["life_event_types"], src["clients"]),
-        "Diet": lookup(lookup(src["diets"], src["diet_types"], "DietCategoryTypeID", "DietCatetory"),
-                       src["food_types"], "DietFoodItemTypeID", "FoodType").withColumnRenamed("CreatedDate", "DateStart"),
+        **detail_branches(src),
         "VISPDAT": assessments(scored).withColumnRenamed("StartDateTime", "DateStart"),
         "Service Restriction": restrictions(barred, src["barred_reasons"], src["organizations"], consent)
         .join(modules, "ClientBarredPeriodID", "left"),
