@@ -48,9 +48,13 @@ def scan_episodes(t: Tables):
 SELECT user_id AS "ClientID", CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, count(*)::BIGINT AS n
 FROM events GROUP BY ALL""")
 def scan_answers(t: Tables):
-    doc = F.from_json("props", "k long")
-    return (t.events.select(F.col("user_id").alias("ClientID"), doc["k"].alias("k"))
-            .groupBy("ClientID", "k").agg(F.count("*").alias("n")))
+    """events written as UTF-16 documents of 2,000 answers each and read back in ranges."""
+    path = scratch(t, "answers")
+    k = F.from_json("props", "k long")["k"]
+    rows = t.events.select(F.col("event_id").alias("IntakeID"), F.col("user_id").alias("ClientID"), F.col("props").alias("QuestionE"), k.cast("string").alias("ScoreValue"))
+    sinks.write_documents(rows, path, "VISPDATS", F.floor(F.col("IntakeID") / 2000))
+    return (readers.read_answers(t.spark, path, range_bytes=1 << 16).groupBy("ClientID", F.col("ScoreValue").cast("long").alias("k"))
+            .agg(F.count("*").alias("n")))
 
 
 @query("trending_append", """

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from spanledger.sources.json_array import RANGE_BYTES, json_array
+
 # Columns of the episode export by type, in export order.
 LONGS = ("ClientID", "PersonID", "FamilyID", "ServiceID", "ClientExpenseID", "HealthIssueID", "clientContributingFactorID",
          "ClientBehaviouralFactorID", "PeopleLifeEventID", "ClientDietID", "IntakeID", "ClientBarredPeriodID")
@@ -44,20 +46,20 @@ def read_episodes(spark: SparkSession, path: str, columns: Sequence[str] = EXPOR
             .option("mode", "PERMISSIVE").csv(path))
 
 
-def read_answers(spark: SparkSession, path: str, root: str = "VISPDATS", encoding: str = "UTF-16") -> DataFrame:
+def read_answers(spark: SparkSession, path: str, root: str = "VISPDATS", encoding: str = "UTF-16",
+                 range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Questionnaire export: one JSON document whose root array holds the answers, in order.
 
-    ``pos`` keeps the order within a file and, above that, the order of the paths: files have numbers 2**40 apart. Line breaks inside the document are dropped, as
+    A document is read in ranges, by as many tasks (``json_array``). ``pos`` keeps the order within a file and, above that,
+    the order of the paths: files have numbers 2**40 apart. Line breaks inside the document are dropped, as
     they are put in by the export and can stand inside strings.
     """
-    doc = F.decode("content", encoding)
-    doc = F.regexp_replace(doc, "^﻿", "")
-    doc = F.regexp_replace(doc, "[\r\n]", "")
-    parsed = F.from_json(doc, f"{root} array<struct<{_ddl(ANSWER_FIELDS)}>>")
-    files = spark.read.format("binaryFile").load(path)
+    records = json_array(spark, path, root, encoding, range_bytes)
     # One row per file.
+    files = spark.read.format("binaryFile").load(path).select("path")
     number = files.select("path", (F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("_file"))
-    rows = (files.select("path", F.posexplode(parsed[root]).alias("pos", "a")).join(number, "path")
+    answer = F.from_json(F.regexp_replace("text", "[\r\n]", ""), f"struct<{_ddl(ANSWER_FIELDS)}>")
+    rows = (records.select("path", "pos", answer.alias("a")).join(number, "path")
             .select("path", (F.col("_file") * (1 << 40) + F.col("pos")).alias("pos"), "a.*"))
     numeric = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.LongType, T.DoubleType))]
     text = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType) and f.name != "path"]

@@ -45,3 +45,9 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     json_rows(df).write.mode("overwrite").text(path)
+
+
+def write_documents(df: DataFrame, path: str, root: str, number: Column, encoding: str = "UTF-16") -> None:
+    """One JSON document per ``number``, in a folder of its own, with its rows in array ``root``; a document must fit one task."""
+    docs = df.groupBy(number.alias("document")).agg(F.collect_list(F.struct(*df.columns)).alias(root))
+    docs.write.mode("overwrite").partitionBy("document").option("encoding", encoding).option("lineSep", "\n").json(path)
