@@ -135,8 +135,10 @@ def _answer_sql(root: str, kind: str) -> str:
     return f"""max(CASE WHEN question = 'about {root} 100%about {kind} 100%' THEN {a} END) AS "about {root} 100about {kind} 100\""""
 
 
-@query("questionnaire", f"WITH {_QA}, {_ASOF}, {_ROOTS.replace('''CASE WHEN contains(question, '...') THEN descr ELSE question END''', 'descr')}, " + """
-l AS (SELECT client, full_text AS question, arg_max(answer, pos) AS answer FROM f WHERE full_text NOT IN (SELECT text FROM roots) GROUP BY 1, 2)
-SELECT client AS "ClientID", """ + ", ".join(_answer_sql(a, b) for a, b in _PAIRS) + " FROM l GROUP BY 1")
+_QUESTIONS = f"WITH {_QA}, {_ASOF}, {_ROOTS.replace('''CASE WHEN contains(question, '...') THEN descr ELSE question END''', 'descr')}, " + """
+l AS (SELECT client, full_text AS question, arg_max(answer, pos) AS answer FROM f WHERE full_text NOT IN (SELECT text FROM roots) GROUP BY 1, 2)"""
+
+
+@query("questionnaire", _QUESTIONS + ' SELECT client AS "ClientID", ' + ", ".join(_answer_sql(a, b) for a, b in _PAIRS) + " FROM l GROUP BY 1")
 def questionnaire(t: Tables):
     return Q.questionnaire(t.answers(), "2024-01-24 00:00:00")

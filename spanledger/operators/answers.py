@@ -82,7 +82,7 @@ def answers_pivot(answers: DataFrame, kinds: DataFrame | None = None) -> DataFra
     """
     rows = (kinds if kinds is not None else answer_types(answers)).limit(MAX_COLUMNS + 1).collect()
     if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} questions")
+        raise ValueError(f"more than {MAX_COLUMNS} questions; use operators.sparse")
     wide = []
     for r in sorted(rows, key=lambda r: r["question"]):
         name = r["question"].replace("%", "").replace("\r", "").replace("\n", "")

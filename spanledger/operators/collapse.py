@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spanledger.functions.exprs import col, fill_null, secs
+from spanledger.functions.ordered import range_rank
 from spanledger.operators.grid import Grid
 
 
@@ -95,8 +96,9 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, code): distinct values with codes 1.. in lexical order per feature."""
-    return distinct_values(df, columns).withColumn("code", F.row_number().over(W.partitionBy("feature").orderBy("value")))
+    """(feature, value, code): distinct values with codes 1.. in lexical order per feature; ranks are found by ranges, so
+    no task sees all values of a feature."""
+    return range_rank(distinct_values(df, columns), "feature", ["value"], "code").withColumn("code", F.col("code").cast("int"))
 
 
 MAX_COLUMNS = 20_000
@@ -105,11 +107,12 @@ MAX_COLUMNS = 20_000
 def vocabulary_lists(values: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Distinct values per feature in lexical order, as column names need them.
 
-    Wide output is what bounds the vocabulary; its size is checked, it is never cut.
+    A table with a column per value is what bounds the vocabulary; its size is checked, it is never cut. Beyond it
+    rows are made by ``operators.sparse``, which has no such bound.
     """
     rows = values.where(F.col("feature").isin(list(columns))).limit(MAX_COLUMNS + 1).collect()
     if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} one-hot columns; drop a free-text feature first")
+        raise ValueError(f"more than {MAX_COLUMNS} one-hot columns; use operators.sparse or drop a free-text feature")
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in sorted(rows, key=lambda r: (r["feature"], r["value"])):
         out[r["feature"]].append(r["value"])

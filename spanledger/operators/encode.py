@@ -44,14 +44,6 @@ def ordinal_encode(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFra
     return df.withColumns({f: F.coalesce(_code(f, vs), F.lit(UNKNOWN_CODE)) for f, vs in vocab.items()})
 
 
-def ordinal_encode_join(df: DataFrame, vocab: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same with the vocabulary as a table, for vocabularies too large for literals."""
-    for c in columns:
-        v = vocab.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("code").alias(f"_{c}"))
-        df = df.join(v, c, "left").withColumn(c, F.coalesce(f"_{c}", F.lit(UNKNOWN_CODE))).drop(f"_{c}")
-    return df
-
-
 def onehot_single(encoded: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFrame:
     """0/1 columns from ordinal codes, in front of the remaining columns."""
     hot = [(col(f) == i + 1).cast("int").alias(f"{f}_{v}") for f, vs in vocab.items() for i, v in enumerate(vs)]
