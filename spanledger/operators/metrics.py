@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanledger.functions.exprs import col
 from spanledger.functions.ordered import running_sums
 
 # Clipping of probabilities in the log loss, stabiliser of the soft F1, its recall factor.
@@ -83,9 +84,9 @@ def weighted_soft_f1(df: DataFrame, y: str = "y", p: str = "p", recall_factor: f
 
 def fold_summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """(metric, mean, std) over folds, sample standard deviation."""
-    wide = df.agg(*[F.struct(F.avg(m).alias("mean"), F.stddev_samp(m).alias("std")).alias(m) for m in metrics])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m)["mean"].alias("mean"),
-                                                   F.col(m)["std"].alias("std")) for m in metrics])))
+    wide = df.agg(*[F.struct(F.avg(col(m)).alias("mean"), F.stddev_samp(col(m)).alias("std")).alias(f"m{i}") for i, m in enumerate(metrics)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"m{i}.mean").alias("mean"),
+                                                   F.col(f"m{i}.std").alias("std")) for i, m in enumerate(metrics)])))
 
 
 def horizon_trend(df: DataFrame, metric: str, n: str = "n") -> DataFrame:

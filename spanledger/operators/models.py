@@ -119,19 +119,28 @@ def evaluate(scored: DataFrame, thresholds: Sequence[float], y: str = "y", p: st
             .unionByName(long(auc, none, ("auc",))))
 
 
-def run_metrics(scored: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5) -> dict[str, float]:
-    """The same at one threshold, on the driver: six numbers."""
-    scored = scored.select(y, p).persist()
-    rows = evaluate(scored, [threshold], y, p).collect()
-    scored.unpersist()
-    return {r["metric"]: float(r["value"]) if r["value"] is not None else 0.0 for r in rows}
+METRICS = ("recall", "f1score", "precision", "auc", "loss", "accuracy")
+AT_THRESHOLD = ("precision", "recall", "f1score")
 
 
-METRICS = ("recall", "f1score", "precision", "auc", "loss", "accuracy")
+def metric_names(thresholds: Sequence[float] = ()) -> list[str]:
+    """Columns of run and fold tables: the metrics at one threshold, then those of each further threshold, ``recall_thr=0.3`` and so on."""
+    return [*METRICS, *[f"{m}_thr={t}" for m in AT_THRESHOLD for t in thresholds]]
+
+
+def run_metrics(scored: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5, thresholds: Sequence[float] = ()) -> dict[str, float]:
+    """The same on the driver: six numbers at ``threshold``, three more for each of ``thresholds``. Undefined ones are 0."""
+    scored = scored.select(y, p).persist()
+    rows = evaluate(scored, sorted({threshold, *thresholds}), y, p).collect()
+    scored.unpersist()
+    value = {(r["metric"], r["threshold"]): float(r["value"]) if r["value"] is not None else 0.0 for r in rows}
+    own = {m: value[m, float(threshold) if m in AT_THRESHOLD else None] for m in METRICS}
+    return own | {f"{m}_thr={t}": value[m, float(t)] for m in AT_THRESHOLD for t in thresholds}
 
 
 def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str, scaled: Sequence[str], seed: int = 7,
-                pos_weight: float | None = None, balance: Callable[[DataFrame], DataFrame] | None = None, **params) -> dict[str, float]:
+                pos_weight: float | None = None, balance: Callable[[DataFrame], DataFrame] | None = None, thresholds: Sequence[float] = (),
+                **params) -> dict[str, float]:
     """Scale on train, balance it, fit (stopped by val), measure on test. ``parts`` has a ``role`` column; who runs several rounds keeps it
     cached meanwhile."""
     train = parts.where("role = 'train'")
@@ -139,12 +148,17 @@ def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str,
     ready = encode.standard_scale(train, fitted)
     val = encode.standard_scale(parts.where("role = 'val'"), fitted)
     model = fit(kind, balance(ready) if balance else ready, columns, label, seed, pos_weight, val=val, **params)
-    return run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label)
+    return run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label, thresholds=thresholds)
+
+
+def _names(rows: list[dict]) -> list[str]:
+    return [*METRICS, *[n for n in (rows[0] if rows else ()) if "_thr=" in n]]
 
 
 def _table(spark, rows: list[dict], first: str) -> DataFrame:
-    data = [(int(r[first]), *[float(r[m]) for m in METRICS]) for r in rows]
-    return spark.createDataFrame(data, f"{first} int, " + ", ".join(f"{m} double" for m in METRICS))
+    names = _names(rows)
+    data = [(int(r[first]), *[float(r[m]) for m in names]) for r in rows]
+    return spark.createDataFrame(data, f"{first} int, " + ", ".join(f"`{m}` double" for m in names))
 
 
 def multi_run(parts: DataFrame, runs: int, parallel: int = 4, seed: int = 7, **kw) -> DataFrame:
@@ -206,9 +220,10 @@ def hparam_trials(parts: DataFrame, trials: list[dict], parallel: int = 4, seed:
         rows = pool.map(lambda t: t | train_round(parts, seed=seed + t["trial"], **kw, **t["params"]), trials)
     parts.unpersist()
     names = list(trials[0]["params"])
-    data = [(r["trial"], *[str(r["params"][n]) for n in names], *[float(r[m]) for m in METRICS]) for r in rows]
+    measured = _names(rows)
+    data = [(r["trial"], *[str(r["params"][n]) for n in names], *[float(r[m]) for m in measured]) for r in rows]
     return parts.sparkSession.createDataFrame(
-        data, "trial int, " + ", ".join([f"{n} string" for n in names] + [f"{m} double" for m in METRICS]))
+        data, "trial int, " + ", ".join([f"{n} string" for n in names] + [f"`{m}` double" for m in measured]))
 
 
 def horizon_search(build: Callable[[int], DataFrame], weeks: Sequence[int], validate: Callable[[DataFrame], DataFrame]) -> DataFrame:

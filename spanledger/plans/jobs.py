@@ -146,7 +146,7 @@ def experiment(ds: Dataset, cfg: Settings, kind: str, what: str = "single_train"
     """Dispatch: single_train, multi_train, hparam_search or cross_validation."""
     columns = inputs(ds)
     # The strategy for unequal classes holds in every round of every experiment.
-    common = dict(kind=kind, columns=columns, label=LABEL, scaled=numeric_inputs(ds), balance=lambda rows: rebalance(rows, columns, cfg),
+    common = dict(kind=kind, columns=columns, label=LABEL, thresholds=cfg.train.thresholds, scaled=numeric_inputs(ds), balance=lambda rows: rebalance(rows, columns, cfg),
                   pos_weight=cfg.train.pos_weight if cfg.train.imbalance == "class_weight" else None)
     if what == "single_train":
         return train(ds, cfg, kind, **params)
@@ -164,6 +164,11 @@ def experiment(ds: Dataset, cfg: Settings, kind: str, what: str = "single_train"
     raise ValueError(what)
 
 
+def threshold_summary(folds: DataFrame, cfg: Settings) -> DataFrame:
+    """(metric, mean, std) over folds for every metric, those at each threshold of the settings among them."""
+    return M.fold_summary(folds, models.metric_names(cfg.train.thresholds))
+
+
 def horizon_search(episodes: DataFrame, cfg: Settings, kind: str, series: bool, n_anchors: int | None = None, **params) -> DataFrame:
     """(n, fold, metrics...) for each horizon; labels and vocabularies are made once, at the first one.
 
