@@ -25,6 +25,9 @@ from spanledger.operators.localfit import local_fit
 
 # Fixed value: ``mix`` draws whole numbers below this.
 DRAWS = 2_147_483_647
+# Rows drawn by one task, and the samples of an example that stay together.
+TASK_ROWS = 500_000
+PART_SAMPLES = 5_000
 
 
 @dataclass(frozen=True)
@@ -117,7 +120,7 @@ def perturb(examples: DataFrame, ex: Explainer, key: str, samples: int, seed: in
     """
     first, number = F.col("sample") == 0, F.col(key) * samples + F.col("sample")
     own = {f"_own{i}": _bin(f, ex.edges) for i, f in enumerate(ex.features) if f in ex.numeric}
-    rows = examples.select(key, *ex.features, *[c.alias(n) for n, c in own.items()]).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    rows = _spread(examples.select(key, *ex.features, *[c.alias(n) for n, c in own.items()]), key, samples)
     at, slot, values, same = {}, {}, [], []
     for i, f in enumerate(ex.features):
         k = len(ex.table[f])
@@ -146,6 +149,17 @@ def perturb(examples: DataFrame, ex: Explainer, key: str, samples: int, seed: in
     return rows.select(key, "sample", *ex.features, F.array(*parts).cast("array<int>").alias("same"), (F.lit(len(parts)) - total(parts)).alias("differ"))
 
 
+def _spread(rows: DataFrame, key: str, samples: int) -> DataFrame:
+    """Rows repeated with ``sample`` 0.., in tasks of about ``TASK_ROWS``: examples are few bytes and would be drawn from by as few
+    tasks as read them. Parts of an example's samples are dealt, so one example with many samples is spread as well."""
+    tasks, draws = min(-(-rows.count() * samples // TASK_ROWS), 100_000), F.sequence(F.lit(0), F.lit(samples - 1))
+    if samples <= PART_SAMPLES:
+        return (rows.repartition(tasks, key) if tasks > 1 else rows).select("*", F.explode(draws).alias("sample"))
+    parts = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(PART_SAMPLES))).alias("_from"))
+    until = F.least(F.col("_from") + (PART_SAMPLES - 1), F.lit(samples - 1))
+    return (parts.repartition(tasks, key, "_from") if tasks > 1 else parts).select("*", F.explode(F.sequence("_from", until)).alias("sample")).drop("_from")
+
+
 def _pick(values: Sequence, index: Column) -> Column:
     """An entry of a constant array."""
     return F.get(F.lit(np.array(values if len(values) else [0])), index)
