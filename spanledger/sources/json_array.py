@@ -224,19 +224,32 @@ def _read(encoding: str, width: int, most: int = 4096):
     return run
 
 
-def json_array(spark: SparkSession, path: str, root: str, encoding: str = "UTF-16", range_bytes: int = RANGE_BYTES) -> DataFrame:
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the documents under a path."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def _tasks(spark: SparkSession, ranges: int, size: int) -> int:
+    """Tasks for so many ranges: one for each ``RANGE_BYTES``, at least one per core, none without a range. A small range costs less
+    than the start of a task, so a task reads several."""
+    return max(1, min(ranges, max(-(-size // RANGE_BYTES), 2 * spark.sparkContext.defaultParallelism), 100_000))
+
+
+def json_array(spark: SparkSession, path: str, root: str, encoding: str = "UTF-16", range_bytes: int = RANGE_BYTES,
+               files: DataFrame | None = None) -> DataFrame:
     """(path, pos, text): the objects of array ``root`` of each JSON document under ``path``.
 
     ``pos`` numbers the objects of a document from 0, in the order of the array. ``root`` is a name of the outermost object; if it stands there twice the first one is read. Elements that are
     no objects are left out, and so is a last record that the document does not close. Empty documents and
     documents without the array give no rows. Ranges are read by the workers themselves, so ``path`` must be one that
-    pyarrow can open (local or shared folders, HDFS, S3, GCS).
+    pyarrow can open (local or shared folders, HDFS, S3, GCS). ``files``, (path, length), saves listing the path again.
     """
     width = max(range_bytes // 2 if encoding.lower().startswith("utf-16") else range_bytes, 1)
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = listed(spark, path) if files is None else files
     unit = 2 if encoding.lower().startswith("utf-16") else 1
     ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / unit), F.lit(width))).alias("start"))
-    n = max(1, files.agg(F.sum(F.ceil(F.col("length") / (width * unit)))).first()[0] or 1)
-    states = (ranges.repartition(min(n, 100_000)).mapInArrow(_summarise(root, encoding, width), _SUMMARY_DDL)
+    n, size = files.agg(F.sum(F.ceil(F.col("length") / (width * unit))), F.sum("length")).first()
+    tasks = _tasks(spark, n or 1, size or 0)
+    states = (ranges.repartition(tasks).mapInArrow(_summarise(root, encoding, width), _SUMMARY_DDL)
               .groupBy("path").applyInArrow(_fold, _STATE_DDL))
-    return states.repartition(min(n, 100_000)).mapInArrow(_read(encoding, width), _RECORD_DDL)
+    return states.repartition(tasks).mapInArrow(_read(encoding, width), _RECORD_DDL)

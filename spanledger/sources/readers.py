@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from spanledger.sources.json_array import RANGE_BYTES, json_array
+from spanledger.sources.json_array import RANGE_BYTES, json_array, listed
 
 # Columns of the episode export by type, in export order.
 LONGS = ("ClientID", "PersonID", "FamilyID", "ServiceID", "ClientExpenseID", "HealthIssueID", "clientContributingFactorID",
@@ -54,9 +54,9 @@ def read_answers(spark: SparkSession, path: str, root: str = "VISPDATS", encodin
     the order of the paths: files have numbers 2**40 apart. Line breaks inside the document are dropped, as
     they are put in by the export and can stand inside strings.
     """
-    records = json_array(spark, path, root, encoding, range_bytes)
     # One row per file.
-    files = spark.read.format("binaryFile").load(path).select("path")
+    files = listed(spark, path)
+    records = json_array(spark, path, root, encoding, range_bytes, files)
     number = files.select("path", (F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("_file"))
     answer = F.from_json(F.regexp_replace("text", "[\r\n]", ""), f"struct<{_ddl(ANSWER_FIELDS)}>")
     rows = (records.select("path", "pos", answer.alias("a")).join(number, "path")
