@@ -16,6 +16,9 @@ from spanledger.functions.ordered import range_rank
 from spanledger.operators.answers import is_numeric
 from spanledger.operators.collapse import distinct_values, unpivot
 
+# Terms of a column that are sent to all tasks.
+FEW_TERMS = 100_000
+
 
 def dictionary(terms: DataFrame) -> DataFrame:
     """(feature, value, at): distinct terms with places 0.. in the order of feature and value, nulls first.
@@ -51,12 +54,36 @@ def sparse_rows(cells: DataFrame, keys: Sequence[str], known: DataFrame) -> Data
                        F.transform("_c", lambda c: c["x"]).alias("values"))
 
 
+def _counts(known: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Terms per column, one row each."""
+    return {r["feature"]: r["count"] for r in known.where(F.col("feature").isin(list(columns))).groupBy("feature").count().collect()}
+
+
+def _coded(df: DataFrame, feature: str, value: Column, known: DataFrame, code: str, out: str, terms: int) -> DataFrame:
+    """Rows with the code of a value, null where it has none.
+
+    Up to ``FEW_TERMS`` terms are sent out, so rows of a few hot values stay where they are; longer lists meet the rows in hash tables.
+    """
+    v = known.where(F.col("feature") == feature).select(F.col("value").alias("_v"), F.col(code).alias(out))
+    v = F.broadcast(v) if terms <= FEW_TERMS else v.hint("shuffle_hash")
+    return df.join(v, value == F.col("_v"), "left").drop("_v")
+
+
 def onehot_sparse(df: DataFrame, keys: Sequence[str], columns: Sequence[str], known: DataFrame, null_as: str | None = None) -> DataFrame:
-    """The one-hot form of text columns: 1 at each value that any row of the key holds; nulls as ``null_as``, or no place."""
-    cells = unpivot(df, columns, *keys)
-    value = F.coalesce("value", F.lit(null_as)) if null_as is not None else F.col("value")
-    # A null value must not meet the place of a numeric feature.
-    return sparse_rows(cells.select(*keys, F.when(value.isNotNull(), F.col("feature")).alias("feature"), value.alias("value"), F.lit(1.0).alias("x")), keys, known)
+    """The one-hot form of text columns: 1 at each value that any row of the key holds; nulls as ``null_as``, or no place.
+
+    Rows look up their places column by column, as they are; then the sets of places of a key are united, in each task first, so a
+    hot key is small before it is moved. A table with a row per cell would be moved in place of the rows, and be as many times longer as there are columns.
+    """
+    columns = list(dict.fromkeys(columns))
+    terms, rows = _counts(known, columns), df.select(*keys, *[F.col(c).cast("string").alias(f"_w{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        value = F.coalesce(f"_w{i}", F.lit(null_as)) if null_as is not None else F.col(f"_w{i}")
+        rows = _coded(rows, c, value, known, "at", f"_at{i}", terms.get(c, 0)).drop(f"_w{i}")
+    sets = rows.groupBy(*keys).agg(*[F.collect_set(f"_at{i}").alias(f"_s{i}") for i in range(len(columns))])
+    places = F.array_sort(F.concat(*[F.col(f"_s{i}") for i in range(len(columns))]))
+    return (sets.select(*keys, F.coalesce(_size(known), F.lit(0)).alias("size"), places.alias("indices"))
+            .withColumn("values", F.transform("indices", lambda i: F.lit(1.0))))
 
 
 def answer_cells(answers: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -79,8 +106,7 @@ def as_vectors(rows: DataFrame, out: str = "features") -> DataFrame:
 
 def ordinal_wide(df: DataFrame, columns: Sequence[str], vocab: DataFrame, unknown: int = -1) -> DataFrame:
     """Columns replaced by their codes in (feature, value, code); unseen values and nulls are ``unknown``. One join per column, columns keep their order."""
-    out = df
+    out, terms = df, _counts(vocab, columns)
     for c in columns:
-        v = vocab.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-        out = out.join(v, F.col(c).cast("string") == F.col("_v"), "left").withColumn(c, F.coalesce("_code", F.lit(unknown))).drop("_v", "_code")
+        out = _coded(out, c, F.col(c).cast("string"), vocab, "code", "_code", terms.get(c, 0)).withColumn(c, F.coalesce("_code", F.lit(unknown))).drop("_code")
     return out
