@@ -10,12 +10,11 @@ per-key step sees one row per bucket.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spanledger.config import DAY
-from spanledger.functions.exprs import int_div, mix
+from spanledger.functions.exprs import int_div, mix, total
 from spanledger.session import cut_lineage
 
 BUCKET = 30 * DAY
@@ -121,19 +120,25 @@ def exact_quantiles(counts: DataFrame, group: str, value: str, n: str, at: list[
             .select(group, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_x") - F.floor("_x"))).alias("q")))
 
 
+#: Counts of parts that are sent out rather than joined by a shuffle.
+MOST_COUNTS = 200_000
+
+
 def range_rank(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
     """Adds ``out``: 1-based rank of the row within its group, by ``order``.
 
     Rows are parted by ranges of (group, order), so a hot group lies in as many parts as it fills; a
     rank is the place in the part and what earlier parts hold of the group, one count per part and group. The
-    table is stored in that order.
+    table is stored in that order. A group lies in neighbouring parts, so there are fewer counts than parts and groups
+    together; they are sent out, and the rows are not moved again, unless there are more than ``MOST_COUNTS``.
     """
     rows = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id())
     rows = cut_lineage(rows.withColumn("_part", F.shiftright("_at", 33)))
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = (rows.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-              .select(group, "_part", (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0)) - 1).alias("_first")))
-    return rows.join(starts, [group, "_part"]).withColumn(out, F.col("_at") - F.col("_first")).drop("_at", "_part", "_first")
+    starts = cut_lineage(rows.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+                         .select(group, "_part", (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0)) - 1).alias("_first")))
+    few = starts.count() <= MOST_COUNTS
+    return rows.join(F.broadcast(starts) if few else starts, [group, "_part"]).withColumn(out, F.col("_at") - F.col("_first")).drop("_at", "_part", "_first")
 
 
 #: Rows of one hash range that are looked at one by one.
@@ -150,11 +155,17 @@ def rank_cuts(df: DataFrame, key: str, seed: int, ranks, slices: int = 4096) ->
     """
     hashed = df.select(F.col(key).cast("long").alias("k"), mix(F.col(key), seed).alias("h"))
 
+    def between(lo: int, hi: int) -> list[Column]:
+        """1 and 0 if the hash lies in the range. A sum of these, unlike OR, reads the hash unconditionally, so it is worked out once a
+        row. A filter would not share it either: rows outside are one group, which is dropped after counting."""
+        return [(F.col("h") >= lo).cast("int"), -(F.col("h") >= hi).cast("int")]
+
     def counts(ranges: list[tuple[int, int]]) -> dict[tuple[int, int], dict[int, int]]:
-        inside = [F.when((F.col("h") >= lo) & (F.col("h") < lo + slices * w), F.struct(F.lit(i).alias("i"), int_div(F.col("h") - lo, w).alias("b"))) for i, (lo, w) in enumerate(ranges)]
+        inside = [F.when(total(between(lo, lo + slices * w)) == 1, F.struct(F.lit(i).alias("i"), int_div(F.col("h") - lo, w).alias("b"))) for i, (lo, w) in enumerate(ranges)]
         out: dict = {r: {} for r in ranges}
-        for r in hashed.groupBy(F.coalesce(*inside).alias("at")).agg(F.count("*").alias("n")).where("at IS NOT NULL").collect():
-            out[ranges[r["at"]["i"]]][r["at"]["b"]] = r["n"]
+        for r in hashed.groupBy(F.coalesce(*inside).alias("at")).agg(F.count("*").alias("n")).collect():
+            if r["at"] is not None:
+                out[ranges[r["at"]["i"]]][r["at"]["b"]] = r["n"]
         return out
 
     top = (0, -(-2_147_483_647 // slices))
@@ -177,8 +188,9 @@ def rank_cuts(df: DataFrame, key: str, seed: int, ranks, slices: int = 4096) ->
             else:
                 open_[r] = ((lo + b * w, -(-w // slices)), before)
         if few:
-            here = reduce(lambda a, c: a | c, [(F.col("h") >= lo) & (F.col("h") < lo + w) for lo, w in few])
-            rows = [(r["h"], r["k"], r["n"]) for r in hashed.where(here).groupBy("h", "k").agg(F.count("*").alias("n")).orderBy("h", "k").collect()]
+            here = total([c for lo, w in few for c in between(lo, lo + w)]) > 0
+            found = hashed.groupBy(F.when(here, F.struct("h", "k")).alias("at")).agg(F.count("*").alias("n")).collect()
+            rows = sorted((r["at"]["h"], r["at"]["k"], r["n"]) for r in found if r["at"] is not None)
             for (lo, w), asked in few.items():
                 own = [x for x in rows if lo <= x[0] < lo + w]
                 for r, before in asked:
