@@ -18,6 +18,9 @@ from spanledger.operators import encode, metrics as M, split
 TREES = 100
 ROUNDS = 100
 LAYERS = (80, 60, 60)
+# What one task of a fit keeps of its rows at most, and how many rows of a network, which reckons some ten microseconds on each.
+TASK_BYTES = 1_000_000_000
+NETWORK_ROWS = 100_000
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -54,6 +57,23 @@ def estimator(kind: str, label: str, seed: int, width: int, weight: str | None =
     raise ValueError(kind)
 
 
+def task_rows(kind: str, **params) -> int | None:
+    """Rows that one task of a fit may hold; none for fits that pack their rows. Trees keep a row as an object, a forest also a count per tree."""
+    if kind == "mlp":
+        return NETWORK_ROWS
+    trees = {"forest": params.get("numTrees", TREES), "gbt": 1}.get(kind)
+    return trees and max(1, TASK_BYTES // (150 + 5 * trees))
+
+
+def spread(kind: str, df: DataFrame, **params) -> DataFrame:
+    """Rows in tasks of bounded size. A fit keeps the tasks of its input, and large files are read by few; rows are moved only if a task has too many."""
+    most = task_rows(kind, **params)
+    if most is None:
+        return df
+    n, largest = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    return df.repartition(min(-(-n // most), 100_000)) if n and largest > most else df
+
+
 def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int = 7, pos_weight: float | None = None,
         val: DataFrame | None = None, **params):
     """Fitted model; ``pos_weight`` turns on class weights.
@@ -61,6 +81,19 @@ def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int
     Rows of ``val`` say when to stop: boosting ends when its loss on them no longer falls, and of networks trained for more and
     more iterations the one with the least loss on them is kept. Other models are fitted to their end and do not look at them.
     """
+    own = df.select(*[col(c) for c in dict.fromkeys([*columns, label])])
+    rows = spread(kind, own, **params)
+    if rows is own:
+        return _fit(kind, own, columns, label, seed, pos_weight, val, **params)
+    # Moved once, read by every pass.
+    rows = rows.persist()
+    try:
+        return _fit(kind, rows, columns, label, seed, pos_weight, val, **params)
+    finally:
+        rows.unpersist()
+
+
+def _fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int, pos_weight: float | None, val: DataFrame | None, **params):
     weighted = pos_weight is not None
 
     def ready(part: DataFrame) -> DataFrame:
