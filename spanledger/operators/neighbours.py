@@ -22,6 +22,8 @@ from spanledger.functions.ordered import range_rank, rank_cuts, up_to
 from spanledger.session import cut_lineage
 
 BLOCK_ROWS = 4096
+# Block pairs that are sent to the rows; more of them are joined by moving the rows once more.
+MOST_PAIRS = 500_000
 # Distances are compared with this slack, so rounding cannot rule out a true neighbour.
 SLACK = 1e-9
 
@@ -47,6 +49,8 @@ def _compare(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int) -> Dat
     """(id, nb, d2): the k nearest of each left row within each paired right block."""
     lkeys = ["lcell", "lchunk"]
     rkeys = ["rcell", "rchunk"]
+    if pairs.count() <= MOST_PAIRS:
+        pairs = F.broadcast(pairs)
     ls = left.select(F.col("cell").alias("lcell"), F.col("chunk").alias("lchunk"), "id", "x").join(pairs, lkeys)
     rs = right.select(F.col("cell").alias("rcell"), F.col("chunk").alias("rchunk"), "id", "x").join(pairs, rkeys)
 
