@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, sqrt
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -21,15 +22,19 @@ LAYERS = (80, 60, 60)
 # What one task of a fit keeps of its rows at most, and how many rows of a network, which reckons some five microseconds on each, a hundred times.
 TASK_BYTES = 1_000_000_000
 NETWORK_ROWS = 30_000
+# Boosting reads cells of rows from so many rows and up to so many columns on; values beyond those of a column's own bins are never cells.
+CELL_ROWS = 100_000
+CELL_COLUMNS = 20
+TASK_CELLS = 30_000
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.array(*[col(c).cast("double") for c in columns])))
 
 
-def with_weights(df: DataFrame, label: str, pos_weight: float) -> DataFrame:
-    """Class weight beside every row; two values, read once."""
-    w = {r[label]: r["weight"] for r in split.class_weights(df, label, pos_weight).collect()}
+def with_weights(df: DataFrame, label: str, pos_weight: float, of: DataFrame | None = None) -> DataFrame:
+    """Class weight beside every row; two values, read once, from the rows themselves or from those they stand for."""
+    w = {r[label]: r["weight"] for r in split.class_weights(df if of is None else of, label, pos_weight).collect()}
     return df.withColumn("weight", F.when(F.col(label) == 1, w[1]).otherwise(w[0]))
 
 
@@ -74,6 +79,50 @@ def spread(kind: str, df: DataFrame, **params) -> DataFrame:
     return df.repartition(min(-(-n // most), 100_000)) if n and largest > most else df
 
 
+def _values(df: DataFrame, columns: Sequence[str], bins: int) -> list[list[float]]:
+    """At most ``bins`` values of each column: all there are, or values that share the rows about evenly."""
+    def spots(c, n, rest):
+        return F.percentile_approx(F.when(~c.isin(rest), c) if rest else c, [(i + 0.5) / n for i in range(n)], 10_000)
+
+    cs = [col(c) for c in columns]
+    few = df.agg(*[F.approx_count_distinct(c, 0.01) for c in cs]).first()
+    first = df.agg(*[F.collect_set(c) if n <= bins else spots(c, bins, []) for c, n in zip(cs, few)]).first()
+    out = [sorted(set(v)) for v in first]
+    # A value of many rows takes several places; those left go to the other values.
+    short = [i for i, n in enumerate(few) if n > bins > len(out[i])]
+    if short:
+        more = df.agg(*[spots(cs[i], bins - len(out[i]), out[i]) for i in short]).first()
+        for i, v in zip(short, more):
+            out[i] = sorted({*out[i], *(v or [])})
+    return out
+
+
+def _nearest(c: Column, values: Sequence[float]) -> Column:
+    """The nearest value, the lower one of two; a middle between values is where a tree may part them."""
+    if len(values) == 1:
+        return F.lit(values[0])
+    half = len(values) // 2
+    return (F.when(c <= (values[half - 1] + values[half]) / 2.0, _nearest(c, values[:half])).otherwise(_nearest(c, values[half:])))
+
+
+def cells(df: DataFrame, columns: Sequence[str], label: str, bins: int) -> DataFrame | None:
+    """Rows whose values share all bins, and their label, as one row with their number ``_n``; none where that would not halve the rows.
+
+    Trees see a value by its bin only, and a bin ends in the middle between two values kept; so a fit of the cells, weighted by their
+    numbers, is the fit of the rows, and a row is scored in the bin that it was fitted in.
+    """
+    whole = df.agg(F.count("*"), *[F.count(F.when(F.abs(col(c)) < float("inf"), 1)) for c in columns]).first()
+    if whole[0] < CELL_ROWS or len(columns) > CELL_COLUMNS or min(whole) < whole[0]:
+        return None
+    doubles = df.select(*[col(c).cast("double").alias(c) for c in columns], col(label))
+    kept = _values(doubles, columns, bins)
+    binned = doubles.select(*[_nearest(col(c), v).alias(c) for c, v in zip(columns, kept)], col(label))
+    n = binned.agg(F.approx_count_distinct(F.xxhash64(*[col(c) for c in binned.columns]))).first()[0]
+    if 2 * n > whole[0]:
+        return None
+    return binned.groupBy(*[col(c) for c in binned.columns]).agg(F.count("*").alias("_n")).coalesce(ceil(n / TASK_CELLS))
+
+
 def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int = 7, pos_weight: float | None = None,
         val: DataFrame | None = None, **params):
     """Fitted model; ``pos_weight`` turns on class weights.
@@ -82,6 +131,15 @@ def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int
     more iterations the one with the least loss on them is kept. Other models are fitted to their end and do not look at them.
     """
     own = df.select(*[col(c) for c in dict.fromkeys([*columns, label])])
+    # Bootstrapped or counted rows are not the same as weighted ones.
+    if kind == "gbt" and params.get("subsamplingRate", 1.0) == 1.0 and params.get("minInstancesPerNode", 1) == 1:
+        few = cells(own, columns, label, params.get("maxBins", 32))
+        if few is not None:
+            few = few.persist()
+            try:
+                return _fit(kind, few, columns, label, seed, pos_weight, val, own, **params)
+            finally:
+                few.unpersist()
     rows = spread(kind, own, **params)
     if rows is own:
         return _fit(kind, own, columns, label, seed, pos_weight, val, **params)
@@ -93,15 +151,22 @@ def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int
         rows.unpersist()
 
 
-def _fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int, pos_weight: float | None, val: DataFrame | None, **params):
-    weighted = pos_weight is not None
+def _fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int, pos_weight: float | None, val: DataFrame | None,
+         of: DataFrame | None = None, **params):
+    """``of`` are the rows that cells in ``df`` stand for."""
+    weighted = pos_weight is not None or of is not None
 
     def ready(part: DataFrame) -> DataFrame:
         return assemble(part, columns).withColumn(label, F.col(label).cast("double"))
 
     rows = df.withColumn(label, F.col(label).cast("int"))
+    if pos_weight is not None:
+        rows = with_weights(rows, label, pos_weight, of if of is None else of.withColumn(label, F.col(label).cast("int")))
+    if of is not None:
+        rows = rows.withColumn("weight", (F.col("weight") if pos_weight is not None else F.lit(1.0)) * F.col("_n"))
+        # MLlib looks for bins in the square of this number of rows; all cells, so that it finds the values kept, and no others.
+        params["maxBins"] = max(params.get("maxBins", 32), ceil(sqrt(rows.count())))
     if weighted:
-        rows = with_weights(rows, label, pos_weight)
         if kind == "mlp":
             rows = replicated(rows)
     own = estimator(kind, label, seed, len(columns), "weight" if weighted else None, **params)
