@@ -114,17 +114,15 @@ def restrictions(df: DataFrame, reasons: DataFrame, organizations: DataFrame, co
 def text_list(df: DataFrame, key: str, item: str, out: str, sep: str = "|", width: int = TEXT_WIDTH) -> DataFrame:
     """Items of a key in order, joined by ``sep`` and cut to ``width`` characters.
 
-    Each item takes at least its separator, so the first ``width + 1`` items decide the text. Equal
-    items are counted map-side before anything is gathered.
+    Each item takes at least its separator, so the first ``width + 1`` rows decide the text. They are found by one sort per key, of
+    which every task of the input first keeps so many rows of a key; no table of pairs is held.
     """
     most = width + 1
     first = W.partitionBy(key).orderBy(item)
-    return (df.where(F.col(item).isNotNull()).groupBy(key, item).agg(F.count("*").alias("n"))
-            .withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most)
-            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(item, "n"))).alias("items"))
-            .select(key, F.left(F.array_join(F.flatten(F.transform(
-                "items", lambda i: F.array_repeat(i[item], F.least(i["n"], F.lit(most)).cast("int")))), sep),
-                F.lit(width)).alias(out)))
+    whole = first.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return (df.select(key, item).where(F.col(item).isNotNull()).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= most)
+            .withColumn("_items", F.collect_list(item).over(whole)).where(F.col("_rn") == 1)
+            .select(key, F.left(F.array_join("_items", sep), F.lit(width)).alias(out)))
 
 
 def assessments(intakes: DataFrame, word: str = "VI") -> DataFrame:
@@ -152,14 +150,15 @@ def episode_union(basics: DataFrame, branches: Mapping[str | None, DataFrame], c
     """All record branches in one table, client attributes on each row.
 
     The narrow branches are united first, so the client attributes are joined once rather than once
-    per branch. Branch names are the service types; the branch named None brings its own.
+    per branch. Branch names are the service types; the branch named None brings its own. Clients are
+    hashed, so that the wide records are not sorted for the join.
     """
     narrow = [c for c in columns if c == key or c not in basics.columns]
     out = None
     for kind, df in branches.items():
         rows = padded(df, kind, tuple(narrow))
         out = rows if out is None else out.unionByName(rows)
-    return out.join(basics, key).select(*[F.col(c) for c in columns])
+    return out.join(basics.hint("shuffle_hash"), key).select(*[F.col(c) for c in columns])
 
 
 def episode_export(union: DataFrame, services: DataFrame, ordered: bool = False) -> DataFrame:
@@ -207,10 +206,14 @@ def export(src: Mapping[str, DataFrame], now: str, second_choice: str = "Decline
     basics = client_basics(people, consent, placement, families, {o: (src[t], k) for o, (t, k) in codes.items()})
     keep = [c for c in EXPORT_COLUMNS[:20] if c in basics.columns]
     basics = basics.select(*keep)
-    services = known_only(src["client_services"], basics)
-    modules = text_list(lookup(src["barred_modules"], src["module_types"], "ServiceRestrictionModuleTypeID", "Module"),
+    # Consent alone parts off most services here, the join with the attributes the rest; its clients are hashed, so that services are not sorted.
+    services = src["client_services"].join(consent.select("ClientID").hint("shuffle_hash"), "ClientID", "left_semi")
+    barred = restrictions(src["barred_periods"].join(src["barred_organizations"], "ClientBarredPeriodID"), src["barred_reasons"],
+                          src["organizations"], consent)
+    # Modules of the restrictions that are exported, not of all; their keys are hashed, so that the modules are not sorted for it.
+    own = src["barred_modules"].join(barred.select("ClientBarredPeriodID").hint("shuffle_hash"), "ClientBarredPeriodID", "left_semi")
+    modules = text_list(lookup(own, src["module_types"], "ServiceRestrictionModuleTypeID", "Module"),
                         "ClientBarredPeriodID", "Module", "Modules")
-    barred = src["barred_periods"].join(src["barred_organizations"], "ClientBarredPeriodID")
     scored = lookup(src["intakes"].join(src["scores"], "IntakeID")
                     .join(src["services"].select("ServiceID", "OrganizationID"), "ServiceID")
                     .join(src["client_service_links"], "ServiceID")
@@ -223,8 +226,7 @@ def export(src: Mapping[str, DataFrame], now: str, second_choice: str = "Decline
         None: services,
         **detail_branches(src),
         "VISPDAT": assessments(scored).withColumnRenamed("StartDateTime", "DateStart"),
-        "Service Restriction": restrictions(barred, src["barred_reasons"], src["organizations"], consent)
-        .join(modules, "ClientBarredPeriodID", "left"),
+        "Service Restriction": barred.join(modules, "ClientBarredPeriodID", "left"),
     }
     return episode_export(episode_union(basics, branches), services)
 

@@ -74,7 +74,8 @@ def record_tables(t: Tables) -> dict[str, DataFrame]:
     o, c, day = F.col("o_orderkey"), F.col("o_custkey").alias("ClientID"), F.col("o_orderdate")
     p = F.col("p_partkey")
     start = F.date_trunc("second", "ts")
-    lines = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == o)
+    # Orders are hashed, so that their many lines are not sorted for the join.
+    lines = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey").hint("shuffle_hash"), F.col("l_orderkey") == o)
     return {
         "client_services": t.events.select(
             F.col("user_id").alias("ClientID"), F.col("event_id").alias("ServiceID"), F.col("event_type").alias("ServiceType"), start.alias("DateStart"),
