@@ -7,8 +7,11 @@ from math import ceil, sqrt
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,10 +25,12 @@ LAYERS = (80, 60, 60)
 # What one task of a fit keeps of its rows at most, and how many rows of a network, which reckons some five microseconds on each, a hundred times.
 TASK_BYTES = 1_000_000_000
 NETWORK_ROWS = 30_000
-# Boosting reads cells of rows from so many rows and up to so many columns on; values beyond those of a column's own bins are never cells.
+# Trees read cells of rows from so many rows and up to so many columns on; values beyond those of a column's own bins are never cells.
 CELL_ROWS = 100_000
 CELL_COLUMNS = 20
-TASK_CELLS = 30_000
+TASK_CELLS = {"gbt": 30_000, "forest": 150_000}
+# Trees of a forest over cells that are fitted at a time.
+TREES_AT_ONCE = 4
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -85,7 +90,8 @@ def _values(df: DataFrame, columns: Sequence[str], bins: int) -> list[list[float
         return F.percentile_approx(F.when(~c.isin(rest), c) if rest else c, [(i + 0.5) / n for i in range(n)], 10_000)
 
     cs = [col(c) for c in columns]
-    few = df.agg(*[F.approx_count_distinct(c, 0.01) for c in cs]).first()
+    # Sketches are exact as long as there are few values.
+    few = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c))) for c in cs]).first()
     first = df.agg(*[F.collect_set(c) if n <= bins else spots(c, bins, []) for c, n in zip(cs, few)]).first()
     out = [sorted(set(v)) for v in first]
     # A value of many rows takes several places; those left go to the other values.
@@ -105,7 +111,13 @@ def _nearest(c: Column, values: Sequence[float]) -> Column:
     return (F.when(c <= (values[half - 1] + values[half]) / 2.0, _nearest(c, values[:half])).otherwise(_nearest(c, values[half:])))
 
 
-def cells(df: DataFrame, columns: Sequence[str], label: str, bins: int) -> DataFrame | None:
+def _ends(values: Sequence[float]) -> list[float]:
+    """Ends of the bins of the same, each the first number of its bin."""
+    v = np.array(values)
+    return [-np.inf, *np.nextafter((v[:-1] + v[1:]) / 2.0, np.inf).tolist(), np.inf]
+
+
+def cells(df: DataFrame, columns: Sequence[str], label: str, bins: int, task_cells: int = TASK_CELLS["gbt"]) -> DataFrame | None:
     """Rows whose values share all bins, and their label, as one row with their number ``_n``; none where that would not halve the rows.
 
     Trees see a value by its bin only, and a bin ends in the middle between two values kept; so a fit of the cells, weighted by their
@@ -116,11 +128,77 @@ def cells(df: DataFrame, columns: Sequence[str], label: str, bins: int) -> DataF
         return None
     doubles = df.select(*[col(c).cast("double").alias(c) for c in columns], col(label))
     kept = _values(doubles, columns, bins)
-    binned = doubles.select(*[_nearest(col(c), v).alias(c) for c, v in zip(columns, kept)], col(label))
+    ends = [_ends(v) for v in kept]
+    # A bin is looked up faster than a value; neighbouring numbers have no middle to look for.
+    at = [i for i, e in enumerate(ends) if len(e) > 2 and np.diff(e).min() > 0]
+    names = [f"_b{i}" for i in range(len(columns))]
+    binned = doubles.select(*[(col(c) if i in at else _nearest(col(c), kept[i])).alias(names[i]) for i, c in enumerate(columns)], col(label))
+    if at:
+        places = Bucketizer(splitsArray=[ends[i] for i in at], inputCols=[names[i] for i in at], outputCols=[f"_at{i}" for i in at])
+        binned = places.transform(binned).select(*[F.col(f"_at{i}").cast("int").alias(n) if i in at else n for i, n in enumerate(names)], col(label))
     n = binned.agg(F.approx_count_distinct(F.xxhash64(*[col(c) for c in binned.columns]))).first()[0]
     if 2 * n > whole[0]:
         return None
-    return binned.groupBy(*[col(c) for c in binned.columns]).agg(F.count("*").alias("_n")).coalesce(ceil(n / TASK_CELLS))
+    values = [(F.lit(np.array(kept[i]))[F.col(names[i])] if i in at else F.col(names[i])).alias(c) for i, c in enumerate(columns)]
+    return (binned.groupBy(*[col(c) for c in binned.columns]).agg(F.count("*").alias("_n"))
+            .select(*values, col(label), "_n").coalesce(ceil(n / task_cells)))
+
+
+def _fits_cells(kind: str, **params) -> bool:
+    """Whether a fit of cells is one of their rows. Rows that are counted or, in boosting, drawn are not the same as weighted ones."""
+    if params.get("minInstancesPerNode", 1) != 1 or params.get("minWeightFractionPerNode", 0.0) > 0:
+        return False
+    return kind == "forest" and params.get("bootstrap", True) or kind == "gbt" and params.get("subsamplingRate", 1.0) == 1.0
+
+
+def _draws(df: DataFrame, trees: int, rate: float, seed: int) -> DataFrame:
+    """Adds ``_k``: how many rows of a cell each tree draws.
+
+    A forest draws every row a Poisson number of times, by itself for each tree. The draws of n rows together are a Poisson number of n
+    times the rate, so they are drawn at once.
+    """
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], "_k array<bigint>"])
+    first = seed % 2 ** 32
+
+    def draw(batches):
+        rng = np.random.default_rng([first, TaskContext.get().partitionId()])
+        for b in batches:
+            k = rng.poisson(rate * b["_n"].to_numpy()[:, None], (b.num_rows, trees)).astype(np.int64)
+            at = pa.array(np.arange(0, k.size + 1, trees, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(k.ravel()))], [*b.schema.names, "_k"])
+
+    return df.sortWithinPartitions(*[col(c) for c in df.columns]).mapInArrow(draw, schema)
+
+
+def _forest(own: RandomForestClassifier, rows: DataFrame, columns: Sequence[str], label: str) -> RandomForestClassificationModel:
+    """A forest over cells: what each tree drew of a cell is the cell's weight in it, so a tree is fitted by itself, without drawing again."""
+    n, seed = own.getNumTrees(), own.getSeed()
+    subset = "sqrt" if own.getFeatureSubsetStrategy() == "auto" and n > 1 else own.getFeatureSubsetStrategy()
+    one = own.copy({own.numTrees: 1, own.bootstrap: False, own.subsamplingRate: 1.0, own.featureSubsetStrategy: subset})
+    drawn = _draws(rows, n, own.getSubsamplingRate(), seed).persist()
+    try:
+        # A tree may draw no row of the rarest class.
+        classes = int(drawn.agg(F.max(label)).first()[0]) + 1
+        y = col(label).cast("double").alias(label, metadata={"ml_attr": {"type": "nominal", "num_vals": classes}})
+
+        def tree(i: int):
+            k = F.col("_k")[i]
+            bag = assemble(drawn.where(k > 0).withColumn("weight", F.col("weight") * k), columns).select("features", y, "weight")
+            return one.copy({one.seed: seed * n + i}).fit(bag).trees[0]
+
+        with ThreadPool(min(TREES_AT_ONCE, n)) as pool:
+            trees = pool.map(tree, range(n), 1)
+    finally:
+        drawn.unpersist()
+    # MLlib makes a forest of given trees, but has no Python name for it.
+    sc = rows.sparkSession.sparkContext
+    classes_ = sc._jvm.org.apache.spark.ml.classification
+    made = sc._gateway.new_array(classes_.DecisionTreeClassificationModel, n)
+    for i, t in enumerate(trees):
+        made[i] = t._java_obj
+    model = own._copyValues(RandomForestClassificationModel(classes_.RandomForestClassificationModel(own.uid, made, len(columns), classes)))
+    model._transfer_params_to_java()
+    return model
 
 
 def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int = 7, pos_weight: float | None = None,
@@ -130,25 +208,38 @@ def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int
     Rows of ``val`` say when to stop: boosting ends when its loss on them no longer falls, and of networks trained for more and
     more iterations the one with the least loss on them is kept. Other models are fitted to their end and do not look at them.
     """
+    return fits(kind, df, columns, label, [seed], 1, pos_weight, val, **params)[0]
+
+
+def _each(f: Callable, items: Sequence, parallel: int) -> list:
+    if min(parallel, len(items)) <= 1:
+        return [f(x) for x in items]
+    with ThreadPool(min(parallel, len(items))) as pool:
+        return pool.map(f, items, 1)
+
+
+def fits(kind: str, df: DataFrame, columns: Sequence[str], label: str, seeds: Sequence[int], parallel: int = 4,
+         pos_weight: float | None = None, val: DataFrame | None = None, **params) -> list:
+    """A model for each seed, several at a time; what they read is made once."""
     own = df.select(*[col(c) for c in dict.fromkeys([*columns, label])])
-    # Bootstrapped or counted rows are not the same as weighted ones.
-    if kind == "gbt" and params.get("subsamplingRate", 1.0) == 1.0 and params.get("minInstancesPerNode", 1) == 1:
-        few = cells(own, columns, label, params.get("maxBins", 32))
+    if _fits_cells(kind, **params):
+        few = cells(own, columns, label, params.get("maxBins", 32), TASK_CELLS[kind])
         if few is not None:
             few = few.persist()
             try:
-                return _fit(kind, few, columns, label, seed, pos_weight, val, own, **params)
+                return _each(lambda seed: _fit(kind, few, columns, label, seed, pos_weight, val, own, **params), seeds, parallel)
             finally:
                 few.unpersist()
     rows = spread(kind, own, **params)
-    if rows is own:
-        return _fit(kind, own, columns, label, seed, pos_weight, val, **params)
     # Moved once, read by every pass.
-    rows = rows.persist()
+    moved = rows is not own
+    if moved:
+        rows = rows.persist()
     try:
-        return _fit(kind, rows, columns, label, seed, pos_weight, val, **params)
+        return _each(lambda seed: _fit(kind, rows, columns, label, seed, pos_weight, val, **params), seeds, parallel)
     finally:
-        rows.unpersist()
+        if moved:
+            rows.unpersist()
 
 
 def _fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int, pos_weight: float | None, val: DataFrame | None,
@@ -163,13 +254,17 @@ def _fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int
     if pos_weight is not None:
         rows = with_weights(rows, label, pos_weight, of if of is None else of.withColumn(label, F.col(label).cast("int")))
     if of is not None:
-        rows = rows.withColumn("weight", (F.col("weight") if pos_weight is not None else F.lit(1.0)) * F.col("_n"))
+        # What a forest draws of a cell stands for its number.
+        each = F.col("weight") if pos_weight is not None else F.lit(1.0)
+        rows = rows.withColumn("weight", each if kind == "forest" else each * F.col("_n"))
         # MLlib looks for bins in the square of this number of rows; all cells, so that it finds the values kept, and no others.
         params["maxBins"] = max(params.get("maxBins", 32), ceil(sqrt(rows.count())))
     if weighted:
         if kind == "mlp":
             rows = replicated(rows)
     own = estimator(kind, label, seed, len(columns), "weight" if weighted else None, **params)
+    if kind == "forest" and of is not None:
+        return _forest(own, rows, columns, label)
     if val is None or kind not in ("gbt", "mlp") or not val.limit(1).count():
         if kind == "mlp" and own.getSolver() == "l-bfgs":
             return network.fit(own, ready(rows), [own.getMaxIter()])[own.getMaxIter()]
@@ -241,17 +336,23 @@ def run_metrics(scored: DataFrame, y: str = "y", p: str = "p", threshold: float
     return own | {f"{m}_thr={t}": value[m, float(t)] for m in AT_THRESHOLD for t in thresholds}
 
 
-def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str, scaled: Sequence[str], seed: int = 7,
-                pos_weight: float | None = None, balance: Callable[[DataFrame], DataFrame] | None = None, thresholds: Sequence[float] = (),
-                **params) -> dict[str, float]:
-    """Scale on train, balance it, fit (stopped by val), measure on test. ``parts`` has a ``role`` column; who runs several rounds keeps it
-    cached meanwhile."""
+def train_rounds(parts: DataFrame, seeds: Sequence[int], kind: str, columns: Sequence[str], label: str, scaled: Sequence[str],
+                 pos_weight: float | None = None, balance: Callable[[DataFrame], DataFrame] | None = None, thresholds: Sequence[float] = (),
+                 parallel: int = 4, **params) -> list[dict[str, float]]:
+    """Scale on train, balance it, fit (stopped by val) under each seed, measure on test. ``parts`` has a ``role`` column; who runs several
+    rounds keeps it cached meanwhile."""
     train = parts.where("role = 'train'")
     fitted = encode.fixed_moments(encode.moments(train, list(scaled)))
     ready = encode.standard_scale(train, fitted)
     val = encode.standard_scale(parts.where("role = 'val'"), fitted)
-    model = fit(kind, balance(ready) if balance else ready, columns, label, seed, pos_weight, val=val, **params)
-    return run_metrics(score(model, encode.standard_scale(parts.where("role = 'test'"), fitted), columns), label, thresholds=thresholds)
+    models_ = fits(kind, balance(ready) if balance else ready, columns, label, seeds, parallel, pos_weight, val=val, **params)
+    test = encode.standard_scale(parts.where("role = 'test'"), fitted)
+    return _each(lambda model: run_metrics(score(model, test, columns), label, thresholds=thresholds), models_, parallel)
+
+
+def train_round(parts: DataFrame, kind: str, columns: Sequence[str], label: str, scaled: Sequence[str], seed: int = 7, **kw) -> dict[str, float]:
+    """The same under one seed."""
+    return train_rounds(parts, [seed], kind, columns, label, scaled, parallel=1, **kw)[0]
 
 
 def _names(rows: list[dict]) -> list[str]:
@@ -267,10 +368,9 @@ def _table(spark, rows: list[dict], first: str) -> DataFrame:
 def multi_run(parts: DataFrame, runs: int, parallel: int = 4, seed: int = 7, **kw) -> DataFrame:
     """(run, metrics...): the same round under different seeds, several at a time."""
     parts = parts.persist()
-    with ThreadPool(parallel) as pool:
-        rows = pool.map(lambda i: {"run": i} | train_round(parts, seed=seed + i, **kw), range(1, runs + 1))
+    rows = train_rounds(parts, [seed + i for i in range(1, runs + 1)], parallel=parallel, **kw)
     parts.unpersist()
-    return _table(parts.sparkSession, rows, "run")
+    return _table(parts.sparkSession, [{"run": i} | r for i, r in enumerate(rows, 1)], "run")
 
 
 def kfold_cv(df: DataFrame, key: str, k: int, seed: int = 7, parallel: int = 2, **kw) -> DataFrame:
