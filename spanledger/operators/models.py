@@ -29,8 +29,16 @@ NETWORK_ROWS = 30_000
 CELL_ROWS = 100_000
 CELL_COLUMNS = 20
 TASK_CELLS = {"gbt": 30_000, "forest": 150_000}
-# Trees of a forest over cells that are fitted at a time.
-TREES_AT_ONCE = 4
+# Trees of a forest over cells that are fitted at a time, and how many cells they may keep together.
+TREES_AT_ONCE = 8
+CELLS_AT_ONCE = 4_000_000
+
+
+def _each(f: Callable, items: Sequence, parallel: int) -> list:
+    if min(parallel, len(items)) <= 1:
+        return [f(x) for x in items]
+    with ThreadPool(min(parallel, len(items))) as pool:
+        return pool.map(f, items, 1)
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -178,7 +186,8 @@ def _forest(own: RandomForestClassifier, rows: DataFrame, columns: Sequence[str]
     drawn = _draws(rows, n, own.getSubsamplingRate(), seed).persist()
     try:
         # A tree may draw no row of the rarest class.
-        classes = int(drawn.agg(F.max(label)).first()[0]) + 1
+        last, size = drawn.agg(F.max(label), F.count("*")).first()
+        classes = int(last) + 1
         y = col(label).cast("double").alias(label, metadata={"ml_attr": {"type": "nominal", "num_vals": classes}})
 
         def tree(i: int):
@@ -186,8 +195,7 @@ def _forest(own: RandomForestClassifier, rows: DataFrame, columns: Sequence[str]
             bag = assemble(drawn.where(k > 0).withColumn("weight", F.col("weight") * k), columns).select("features", y, "weight")
             return one.copy({one.seed: seed * n + i}).fit(bag).trees[0]
 
-        with ThreadPool(min(TREES_AT_ONCE, n)) as pool:
-            trees = pool.map(tree, range(n), 1)
+        trees = _each(tree, range(n), min(TREES_AT_ONCE, CELLS_AT_ONCE // size))
     finally:
         drawn.unpersist()
     # MLlib makes a forest of given trees, but has no Python name for it.
@@ -211,13 +219,6 @@ def fit(kind: str, df: DataFrame, columns: Sequence[str], label: str, seed: int
     return fits(kind, df, columns, label, [seed], 1, pos_weight, val, **params)[0]
 
 
-def _each(f: Callable, items: Sequence, parallel: int) -> list:
-    if min(parallel, len(items)) <= 1:
-        return [f(x) for x in items]
-    with ThreadPool(min(parallel, len(items))) as pool:
-        return pool.map(f, items, 1)
-
-
 def fits(kind: str, df: DataFrame, columns: Sequence[str], label: str, seeds: Sequence[int], parallel: int = 4,
          pos_weight: float | None = None, val: DataFrame | None = None, **params) -> list:
     """A model for each seed, several at a time; what they read is made once."""
@@ -227,7 +228,8 @@ def fits(kind: str, df: DataFrame, columns: Sequence[str], label: str, seeds: Se
         if few is not None:
             few = few.persist()
             try:
-                return _each(lambda seed: _fit(kind, few, columns, label, seed, pos_weight, val, own, **params), seeds, parallel)
+                # Of a forest, trees are fitted side by side.
+                return _each(lambda seed: _fit(kind, few, columns, label, seed, pos_weight, val, own, **params), seeds, 1 if kind == "forest" else parallel)
             finally:
                 few.unpersist()
     rows = spread(kind, own, **params)
